@@ -27,6 +27,12 @@ def pct(part: Column, whole: Column) -> Column:
     return F.round(share, 2).cast("decimal(18,2)")
 
 
+def mean_money(c: Column | str) -> Column:
+    """Mean of a money column with two decimals (the division keeps twelve)."""
+    mean = F.sum(c) / F.count(c).cast("decimal(12,0)")
+    return F.round(mean, 2).cast(MONEY)
+
+
 def clean_list_price(price: Column, list_price: Column) -> Column:
     """A list price counts only above the price charged."""
     return F.when(list_price > price, list_price)

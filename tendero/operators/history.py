@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lexicon as lx
-from ..functions.money import pct
+from ..functions.money import mean_money, pct
 from ..sources.tables import Tables
 from .catalog import observations
 from .current import between_dates, daily_last_price, first_per, lookback
@@ -29,7 +30,7 @@ def daily_series(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     return points.groupBy(*(keys or ["key"]), "date").agg(
         F.max("price").alias("price_cop"),
-        F.round(F.avg("price"), 2).cast("decimal(18,2)").alias("avg_price_cop"),
+        mean_money("price").alias("avg_price_cop"),
         F.min("price").alias("min_price_cop"),
         F.max("price").alias("max_price_cop"),
         F.count("*").alias("samples"),
@@ -54,7 +55,7 @@ def series_summary(points: DataFrame) -> DataFrame:
         F.count("*").alias("count"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
-        F.round(F.avg("price"), 2).cast("decimal(18,2)").alias("avg_price"),
+        mean_money("price").alias("avg_price"),
     )
     delta = F.col("last.price") - F.col("first.price")
     return grouped.select(
@@ -81,67 +82,79 @@ def top_products(summary: DataFrame, n: int = 20) -> DataFrame:
     ).limit(n)
 
 
-def series_export(points: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Nested export: summary, history[] and daily_series[] of every key.
+POINT_ORDER = ["key", "date", "price", "name", "category", "store_name", "url"]
 
-    ``history`` holds every point. Points are sorted over the whole table by
-    range, so a key with a huge history lies in several partitions; it comes as
-    several rows of at most ``chunk`` points, numbered by ``part`` in order.
-    Ordinary keys have exactly one row. ``daily_series`` is bounded by days and
-    stands in the first part.
-    """
-    order = ["key", "date", "price", "name", "category", "store_name", "url"]
+
+def _point() -> list:
+    return ["date", F.col("price").alias("price_cop"), "name", "category", "url", "store_name"]
+
+
+def _short_histories(points: DataFrame) -> DataFrame:
+    ordered = F.struct(*POINT_ORDER[1:])
+    gathered = points.groupBy("key").agg(F.array_sort(F.collect_list(ordered)).alias("p"))
+    renamed = F.transform(
+        "p",
+        lambda p: F.struct(
+            p["date"].alias("date"), p["price"].alias("price_cop"), p["name"].alias("name"),
+            p["category"].alias("category"), p["url"].alias("url"),
+            p["store_name"].alias("store_name"),
+        ),
+    )
+    return gathered.select("key", F.lit(1).alias("part"), renamed.alias("history"))
+
+
+def _long_histories(points: DataFrame, chunk: int) -> DataFrame:
+    """Histories in pieces: sorted over the whole table by range, so that one key
+    may fill several partitions, then cut after every ``chunk`` rows."""
     ordered = (
-        points.select(*order)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        points.select(*POINT_ORDER)
+        .repartitionByRange(*POINT_ORDER)
+        .sortWithinPartitions(*POINT_ORDER)
         .withColumn("_place", F.monotonically_increasing_id())
     )
-    # (partition, row within it) from the id: upper 31 bits and lower 33 bits
-    partition = F.shiftright("_place", 33)
+    # the id holds the partition above its lower 33 bits and the row within them
     row = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    pieces = (
-        ordered.groupBy("key", partition.alias("_split"), F.floor(row / chunk).alias("_slice"))
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "_place", "date", F.col("price").alias("price_cop"),
-                        "name", "category", "url", "store_name",
-                    )
-                )
-            ).alias("_points"),
-            F.min("_place").alias("_first"),
-        )
-        .select(
-            "key", "_first",
-            F.transform("_points", lambda p: p.dropFields("_place")).alias("history"),
-        )
-    )
-    from pyspark.sql.window import Window
-
-    # few rows per key: one per partition and chunk its points lie in
-    numbered = pieces.withColumn(
-        "part", F.row_number().over(Window.partitionBy("key").orderBy("_first"))
-    ).drop("_first")
+    pieces = ordered.groupBy(
+        "key", F.shiftright("_place", 33).alias("_split"), F.floor(row / chunk).alias("_slice")
+    ).agg(
+        F.array_sort(F.collect_list(F.struct("_place", *_point()))).alias("p"),
+        F.min("_place").alias("_first"),
+    )
+    # one row per piece of at most ``chunk`` points is what this window sees
+    place = F.row_number().over(Window.partitionBy("key").orderBy("_first"))
+    return pieces.select(
+        "key", place.alias("part"), F.transform("p", lambda p: p.dropFields("_place")).alias("history")
+    )
+
+
+def series_histories(points: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """(key, part, history[]) with every point of every key.
+
+    A key with up to ``chunk`` points has one row. A longer history comes as
+    several rows, numbered in order, so that no task holds all of it.
+    """
+    long_keys = (
+        points.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select("key")
+    )
+    short = _short_histories(points.join(long_keys, "key", "left_anti"))
+    return short.unionByName(_long_histories(points.join(long_keys, "key", "left_semi"), chunk))
+
+
+def series_export(points: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Nested export: summary, history[] and daily_series[] of every key.
+
+    ``daily_series`` is bounded by days and stands in the first part.
+    """
+    day = F.struct(
+        "date", "price_cop", "avg_price_cop", "min_price_cop", "max_price_cop", "samples"
+    )
     days = (
-        daily_series(points)
-        .groupBy("key")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "date", "price_cop", "avg_price_cop", "min_price_cop", "max_price_cop",
-                        "samples",
-                    )
-                )
-            ).alias("daily_series")
-        )
+        daily_series(points).groupBy("key").agg(F.array_sort(F.collect_list(day)).alias("daily_series"))
     )
     return (
         series_summary(points)
         .join(days, "key")
-        .join(numbered, "key")
+        .join(series_histories(points, chunk), "key")
         .withColumn("daily_series", F.when(F.col("part") == 1, F.col("daily_series")))
     )
 
@@ -159,7 +172,7 @@ def history_stats(points: DataFrame) -> DataFrame:
         F.count("*").alias("points"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
-        F.round(F.avg("price"), 2).cast("decimal(18,2)").alias("avg_price"),
+        mean_money("price").alias("avg_price"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..functions.money import is_drop
+from ..functions.money import from_cents, is_drop, mean_money
 from ..operators.identity import new_product_id, with_identity
 from ..operators.ingest import bad_rows, good_rows, latest_update, quarantine
 
@@ -38,9 +38,7 @@ def as_points(events: DataFrame) -> DataFrame:
         F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("key"),
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
-        (F.round(F.col("value") * 100).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)"))
-        .cast("decimal(18,2)")
-        .alias("price"),
+        from_cents(F.round(F.col("value") * 100)).alias("price"),
     )
 
 
@@ -59,7 +57,7 @@ def stream_daily(points: DataFrame, delay: str = "1 hour", key: str = "key") ->
             last.alias("last_price"),
             F.min("price").alias("min_price"),
             F.max("price").alias("max_price"),
-            F.round(F.avg("price"), 2).cast("decimal(18,2)").alias("avg_price"),
+            mean_money("price").alias("avg_price"),
             F.count("*").alias("samples"),
         )
         .select(key, F.to_date("w.start").alias("day"), "last_price", "min_price", "max_price", "avg_price", "samples")

@@ -27,12 +27,14 @@ def cents(expression: str) -> str:
     return f"CAST(({expression}) * 0.01 AS DECIMAL(18,2))"
 
 
-def pct(part: str, whole: str) -> str:
-    """100 * part / whole, two decimals half up, in whole hundredths."""
+def pct(part: str, whole: str, digits: int = 2) -> str:
+    """100 * part / whole rounded half up, computed in whole units of the last digit."""
+    w = f"CAST(abs({whole}) * 100 AS HUGEINT)"
+    units = f"(CAST(abs({part}) * 100 AS HUGEINT) * {200 * 10**digits} + {w}) // (2 * {w})"
+    last = "0." + "0" * (digits - 1) + "1"
     return (
-        f"CASE WHEN ({whole}) <> 0 THEN CAST(sign(({part})) * "
-        f"((CAST(abs({part}) * 100 AS HUGEINT) * 20000 + CAST(abs({whole}) * 100 AS HUGEINT)) "
-        f"// (2 * CAST(abs({whole}) * 100 AS HUGEINT))) * 0.01 AS DECIMAL(18,2)) END"
+        f"CASE WHEN ({whole}) <> 0 THEN "
+        f"CAST(CAST(sign({part}) AS INT) * ({units}) * {last} AS DECIMAL(18,{digits})) END"
     )
 
 
