@@ -62,25 +62,23 @@ def easter(year: Column) -> Column:
     return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), moon + weekday - late * 7)
 
 
-def holidays_of(year: Column, sunday: Column) -> Column:
-    """``array<struct(date, label, position)>`` of one year's holidays."""
+def holidays_of(year: str, sunday: str) -> Column:
+    """``array<struct(date, label, position)>`` of one year's holidays, from the
+    names of the columns that hold the year and its Easter Sunday."""
 
-    def entry(position: int, day: Column, moved: bool, label: str) -> Column:
-        return F.struct(
-            (monday_on_or_after(day) if moved else day).alias("date"),
-            F.lit(label).alias("label"),
-            F.lit(position).alias("position"),
-        )
+    def entry(position: int, day: str, moved: bool, label: str) -> str:
+        shown = f"next_day(date_sub({day}, 1), 'MON')" if moved else day
+        return f"struct({shown} AS date, '{label}' AS label, {position} AS position)"
 
     fixed = [
-        entry(position, F.make_date(year, F.lit(month), F.lit(day)), moved, label)
+        entry(position, f"make_date({year}, {month}, {day})", moved, label)
         for position, month, day, moved, label in lx.FIXED_HOLIDAYS
     ]
     movable = [
-        entry(position, F.date_add(sunday, days), moved, label)
+        entry(position, f"date_add({sunday}, {days})", moved, label)
         for position, days, moved, label in lx.EASTER_HOLIDAYS
     ]
-    return F.array(*fixed, *movable)
+    return F.expr(f"array({', '.join(fixed + movable)})")
 
 
 def holiday_calendar(years: DataFrame, year: str = "year") -> DataFrame:
@@ -91,7 +89,7 @@ def holiday_calendar(years: DataFrame, year: str = "year") -> DataFrame:
     rows = years.select(F.col(year).cast("int").alias("year")).distinct()
     rows = rows.withColumn("easter", easter(F.col("year")))
     exploded = rows.select(
-        F.explode(holidays_of(F.col("year"), F.col("easter"))).alias("h")
+        F.explode(holidays_of("year", "easter")).alias("h")
     ).select("h.*")
     return exploded.groupBy("date").agg(
         F.max_by("label", "position").alias("label"), F.min("position").alias("position")

@@ -59,6 +59,12 @@ def slugify(c: Column | str) -> Column:
     return F.coalesce(F.nullif(dashed, F.lit("")), F.lit(lx.NO_NAME_SLUG))
 
 
+def brand_slug(brand: Column | str) -> Column:
+    """Slug of a brand name, NULL for a blank one."""
+    named = F.trim(F.coalesce(_col(brand), F.lit(""))) != ""
+    return F.when(named, slugify(brand))
+
+
 def _unit_map(values: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -107,15 +113,18 @@ def format_general(c: Column | str) -> Column:
     """A number with six significant digits, as C's ``%g`` prints it."""
     value = _col(c)
     size = F.abs(value)
-    scientific = F.regexp_replace(
-        F.regexp_replace(F.format_number(value, "0.#####E00"), "E(?=[0-9])", "e+"), "E-", "e-"
-    )
+
+    def masked(mask: str) -> Column:
+        return F.call_function("format_number", value, F.lit(mask))
+
+    power = F.regexp_replace(masked("0.#####E00"), "E(?=[0-9])", "e+")
+    scientific = F.regexp_replace(power, "E-", "e-")
     out = F.when(size == 0, F.lit("0")).when(size < 1e-4, scientific)
     for exponent in range(-4, 6):
+        # up to the value that would round to the next power of ten
         limit = 10.0 ** (exponent + 1) - 0.5 * 10.0 ** (exponent - 5)
         decimals = 5 - exponent
-        mask = "0." + "#" * decimals if decimals else "0"
-        out = out.when(size < limit, F.regexp_replace(F.format_number(value, mask), ",", ""))
+        out = out.when(size < limit, masked("0." + "#" * decimals if decimals else "0"))
     return out.otherwise(scientific)
 
 

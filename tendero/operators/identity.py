@@ -19,10 +19,6 @@ from .search import similar_candidates
 LISTING_ORDER = ["store_slug", "sku"]
 
 
-def brand_slug(brand: Column) -> Column:
-    return F.when(F.trim(F.coalesce(brand, F.lit(""))) != "", tx.slugify(brand))
-
-
 def _attributes(listing: DataFrame) -> Column:
     present = (
         F.col("brand_slug").isNotNull()
@@ -41,7 +37,7 @@ def _attributes(listing: DataFrame) -> Column:
 
 def with_identity(listings: DataFrame) -> DataFrame:
     """Listings with the kind and text of their identity key."""
-    keyed = listings.withColumn("brand_slug", brand_slug(F.col("brand"))).withColumn(
+    keyed = listings.withColumn("brand_slug", tx.brand_slug("brand")).withColumn(
         "_attributes", _attributes(listings)
     )
     kind = (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.money import clean_list_price, from_cents
+from ..functions.text import brand_slug
 
 
 class Tables:
@@ -98,186 +98,138 @@ class GivenTables(Tables):
     in whole cents.
     """
 
+    def __init__(self, spark: SparkSession, directory: str):
+        super().__init__(spark, directory)
+        self._opened: dict[str, DataFrame] = {}
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory.rstrip('/')}/{name}.parquet")
+        if name not in self._opened:
+            path = f"{self.directory.rstrip('/')}/{name}.parquet"
+            self._opened[name] = self.spark.read.parquet(path)
+        return self._opened[name]
 
     @cached_property
     def stores(self) -> DataFrame:
-        slug = tx.slugify("n_name")
-        return self.read("nation").select(
-            F.col("n_nationkey").alias("store_id"),
-            slug.alias("slug"),
-            F.col("n_name").alias("name"),
-            F.lit("CO").alias("country_code"),
-            F.concat(F.lit("https://"), slug, F.lit(".example.com")).alias("website"),
-            (F.col("n_regionkey") != 4).alias("active"),
+        slugged = self.read("nation").withColumn("slug", tx.slugify("n_name"))
+        return slugged.selectExpr(
+            "n_nationkey AS store_id", "slug", "n_name AS name", "'CO' AS country_code",
+            "concat('https://', slug, '.example.com') AS website", "n_regionkey != 4 AS active",
         )
 
-    @cached_property
-    def _brand_number(self):
-        return F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
-
-    @cached_property
-    def _type_number(self):
-        return F.ascii("p_type") * 100 + F.length("p_type")
-
     @cached_property
     def brands(self) -> DataFrame:
-        return (
-            self.read("part")
-            .select("p_brand")
-            .distinct()
-            .select(
-                self._brand_number.alias("brand_id"),
-                tx.slugify("p_brand").alias("slug"),
-                F.col("p_brand").alias("name"),
-            )
+        names = self.read("part").select("p_brand").distinct()
+        return names.withColumn("slug", tx.slugify("p_brand")).selectExpr(
+            f"{BRAND_ID} AS brand_id", "slug", "p_brand AS name"
         )
 
     @cached_property
     def categories(self) -> DataFrame:
         """Two levels, part type over brand. Parts hang on the leaves."""
         pairs = self.read("part").select("p_type", "p_brand").distinct()
-        node = F.array(
-            F.struct(
-                self._type_number.alias("category_id"),
-                F.lit(None).cast("int").alias("parent_id"),
-                tx.slugify("p_type").alias("slug"),
-                F.col("p_type").alias("name"),
-            ),
-            F.struct(
-                (self._type_number * 1000 + self._brand_number).alias("category_id"),
-                self._type_number.alias("parent_id"),
-                F.concat(tx.slugify("p_type"), F.lit("/"), tx.slugify("p_brand")).alias("slug"),
-                F.col("p_brand").alias("name"),
-            ),
-        )
-        return pairs.select(F.explode(node).alias("n")).select("n.*").distinct()
+        slugged = pairs.withColumns({"top": tx.slugify("p_type"), "leaf": tx.slugify("p_brand")})
+        nodes = f"""inline(array(
+            struct({TYPE_ID} AS category_id, CAST(NULL AS INT) AS parent_id, top AS slug, p_type AS name),
+            struct({LEAF_ID} AS category_id, {TYPE_ID} AS parent_id,
+                   concat(top, '/', leaf) AS slug, p_brand AS name)))"""
+        return slugged.selectExpr(nodes).distinct()
 
     @cached_property
     def products(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.read("part").select(
-            key.alias("product_id"),
-            F.when(key % 2 == 0, F.concat(F.lit("77"), F.lpad(key.cast("string"), 11, "0"))).alias(
-                "barcode"
-            ),
-            self._brand_number.alias("brand_id"),
-            (self._type_number * 1000 + self._brand_number).alias("category_id"),
-            F.col("p_name").alias("name"),
-            tx.normalize_text("p_name").alias("normalized_name"),
-            F.col("p_size").cast("decimal(18,3)").alias("quantity"),
-            F.lit("ml").alias("unit"),
-            F.when(
-                key % 4 != 0, F.concat(F.lit("https://img.example.com/"), key.cast("string"))
-            ).alias("image_url"),
+        normal = self.read("part").withColumn("normalized_name", tx.normalize_text("p_name"))
+        return normal.selectExpr(
+            "p_partkey AS product_id",
+            "CASE WHEN p_partkey % 2 = 0 THEN concat('77', lpad(CAST(p_partkey AS STRING), 11, '0')) END AS barcode",
+            f"{BRAND_ID} AS brand_id",
+            f"{LEAF_ID} AS category_id",
+            "p_name AS name",
+            "normalized_name",
+            "CAST(p_size AS DECIMAL(18,3)) AS quantity",
+            "'ml' AS unit",
+            "CASE WHEN p_partkey % 4 != 0 THEN concat('https://img.example.com/', p_partkey) END AS image_url",
         )
 
     @cached_property
-    def listing_keys(self) -> DataFrame:
+    def _pairs(self) -> DataFrame:
         pairs = self.read("lineitem").select("l_partkey", "l_suppkey").distinct()
-        suppliers = self.read("supplier").select("s_suppkey", "s_nationkey")
-        part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-        return pairs.join(suppliers, supplier == F.col("s_suppkey")).select(
-            _listing_id(part, supplier).alias("listing_id"),
-            F.col("s_nationkey").alias("store_id"),
-            # a fiftieth of the listings is not linked to a product yet
-            F.when((part + supplier) % 50 != 0, part).alias("product_id"),
+        suppliers = self.read("supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey AS store_id")
+        return pairs.join(suppliers, "l_suppkey")
+
+    @cached_property
+    def listing_keys(self) -> DataFrame:
+        return self._pairs.selectExpr(
+            f"{LISTING_ID} AS listing_id", "store_id", f"{LINKED_PRODUCT} AS product_id"
         )
 
     @cached_property
     def listings(self) -> DataFrame:
-        pairs = self.read("lineitem").select("l_partkey", "l_suppkey").distinct()
-        suppliers = self.read("supplier").select("s_suppkey", "s_nationkey")
-        parts = self.read("part").select("p_partkey", "p_name", "p_size", "p_type", "p_brand")
+        parts = self.read("part").selectExpr(
+            "p_partkey AS l_partkey", "p_name", "p_size", "p_type", "p_brand"
+        )
         stores = self.stores.select("store_id", "website")
-        part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-        sku = F.concat(part.cast("string"), F.lit("-"), supplier.cast("string"))
-        title = F.concat(
-            F.initcap("p_name"), F.lit(" ("), (F.col("p_size") * 10).cast("string"), F.lit("  ML) x"),
-            (supplier % 12 + 1).cast("string"),
+        rows = self._pairs.join(parts, "l_partkey").join(stores, "store_id").selectExpr(
+            "*",
+            "concat(l_partkey, '-', l_suppkey) AS sku",
+            "concat(initcap(p_name), ' (', p_size * 10, '  ML) x', l_suppkey % 12 + 1) AS title",
         )
-        return (
-            pairs.join(suppliers, supplier == F.col("s_suppkey"))
-            .join(parts, part == F.col("p_partkey"))
-            .join(stores, F.col("s_nationkey") == F.col("store_id"))
-            .select(
-                _listing_id(part, supplier).alias("listing_id"),
-                "store_id",
-                F.when((part + supplier) % 50 != 0, part).alias("product_id"),
-                sku.alias("sku"),
-                title.alias("title"),
-                tx.normalize_text(title).alias("normalized_title"),
-                F.concat("website", F.lit("/"), sku, F.lit("/p")).alias("url"),
-                F.when(
-                    supplier % 7 != 0, F.concat(F.lit("https://img.example.com/s/"), sku)
-                ).alias("image_url"),
-                F.when(supplier % 11 == 0, F.lit(None))
-                .when(supplier % 13 == 0, F.lit(""))
-                .otherwise(F.concat("p_type", F.lit("/"), "p_brand"))
-                .alias("store_category_path"),
-                F.when(
-                    (supplier % 2 == 0) & (part % 2 == 0),
-                    F.concat(F.lit("77"), F.lpad(part.cast("string"), 11, "0")),
-                ).alias("barcode"),
-                ((part + supplier) % 10 == 0).alias("needs_review"),
-            )
+        return rows.withColumn("normalized_title", tx.normalize_text("title")).selectExpr(
+            f"{LISTING_ID} AS listing_id",
+            "store_id",
+            f"{LINKED_PRODUCT} AS product_id",
+            "sku",
+            "title",
+            "normalized_title",
+            "concat(website, '/', sku, '/p') AS url",
+            "CASE WHEN l_suppkey % 7 != 0 THEN concat('https://img.example.com/s/', sku) END AS image_url",
+            "CASE WHEN l_suppkey % 11 = 0 THEN NULL WHEN l_suppkey % 13 = 0 THEN '' "
+            "ELSE concat(p_type, '/', p_brand) END AS store_category_path",
+            "CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 2 = 0 "
+            "THEN concat('77', lpad(CAST(l_partkey AS STRING), 11, '0')) END AS barcode",
+            "(l_partkey + l_suppkey) % 10 = 0 AS needs_review",
         )
 
     @cached_property
     def prices(self) -> DataFrame:
-        rows = self.read("lineitem").select(
-            _listing_id(F.col("l_partkey"), F.col("l_suppkey")).alias("listing_id"),
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("price_id"),
-            F.floor(
-                F.round(F.col("l_extendedprice") * 100).cast("bigint")
-                / F.col("l_quantity").cast("bigint")
-            ).alias("list_cents"),
-            F.round(F.col("l_discount") * 100).cast("int").alias("discount"),
-            (F.col("l_linestatus") == "O").alias("available"),
-            F.col("l_shipdate").cast("timestamp").alias("captured_at"),
+        rows = self.read("lineitem").selectExpr(
+            f"{LISTING_ID} AS listing_id",
+            "l_orderkey * 8 + l_linenumber AS price_id",
+            f"{UNIT_CENTS} AS list_cents",
+            "CAST(round(l_discount * 100) AS INT) AS discount",
+            "l_linestatus = 'O' AS available",
+            "CAST(l_shipdate AS TIMESTAMP) AS captured_at",
         )
-        cents = F.floor(F.col("list_cents") * (100 - F.col("discount")) / 100)
-        price, listed = from_cents(cents), from_cents(F.col("list_cents"))
-        return rows.select(
+        return rows.selectExpr(
             "listing_id",
             "price_id",
-            price.alias("price"),
-            clean_list_price(price, listed).alias("list_price"),
-            F.lit("COP").alias("currency"),
+            f"{_money('list_cents * (100 - discount) div 100')} AS price",
+            # a list price counts only above the price charged
+            "CASE WHEN list_cents > list_cents * (100 - discount) div 100 "
+            f"THEN {_money('list_cents')} END AS list_price",
+            "'COP' AS currency",
             "available",
             "captured_at",
         )
 
     @cached_property
     def runs(self) -> DataFrame:
-        key, started = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
-        found = F.when(key % 10 == 0, F.lit(0)).otherwise(
-            F.floor(F.col("o_totalprice") / 1000).cast("int")
-        )
-        status = (
-            F.when(F.col("o_orderstatus") == "F", "failed")
-            .when(F.col("o_orderstatus") == "O", "completed")
-            .otherwise("running")
-        )
-        minutes = (key % 55 + 5).cast("int")
-        finished = F.when(
-            F.col("o_orderstatus") != "P", started + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
-        )
-        return self.read("orders").select(
-            key.alias("run_id"),
-            (F.col("o_custkey") % 25).cast("int").alias("store_id"),
-            F.lit("vtex").alias("adapter"),
-            status.alias("status"),
-            started.alias("started_at"),
-            finished.alias("finished_at"),
-            found.alias("products_found"),
-            F.floor(found / 7).cast("int").alias("products_new"),
-            F.when(F.col("o_orderstatus") == "F", F.floor(found / 2).cast("int"))
-            .otherwise(found)
-            .alias("prices_written"),
-            (key % 3).cast("int").alias("errors"),
-            F.when(F.col("o_orderstatus") == "F", "connection lost").alias("notes"),
+        found = "IF(o_orderkey % 10 = 0, 0, CAST(floor(o_totalprice / 1000) AS INT))"
+        return (
+            self.read("orders")
+            .selectExpr("*", f"{found} AS found", "CAST(o_orderdate AS TIMESTAMP) AS started_at")
+            .selectExpr(
+                "o_orderkey AS run_id",
+                "CAST(o_custkey % 25 AS INT) AS store_id",
+                "'vtex' AS adapter",
+                "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'running' END AS status",
+                "started_at",
+                "CASE WHEN o_orderstatus != 'P' "
+                "THEN started_at + make_dt_interval(0, 0, CAST(o_orderkey % 55 + 5 AS INT)) END AS finished_at",
+                "found AS products_found",
+                "CAST(found div 7 AS INT) AS products_new",
+                "CAST(found div IF(o_orderstatus = 'F', 2, 1) AS INT) AS prices_written",
+                "CAST(o_orderkey % 3 AS INT) AS errors",
+                "CASE WHEN o_orderstatus = 'F' THEN 'connection lost' END AS notes",
+            )
         )
 
     # --- inputs beyond the relational tables --------------------------------
@@ -285,112 +237,149 @@ class GivenTables(Tables):
     @cached_property
     def carts(self) -> DataFrame:
         """(cart_id, product_id, quantity): an order is a shopping list."""
-        return self.read("lineitem").select(
-            F.col("l_orderkey").alias("cart_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
+        return self.read("lineitem").selectExpr(
+            "l_orderkey AS cart_id", "l_partkey AS product_id", "CAST(l_quantity AS INT) AS quantity"
         )
 
     @cached_property
     def points(self) -> DataFrame:
         """(key, ts, date, price) series of the events table."""
-        ts = F.col("ts").cast("timestamp")
-        return self.read("events").select(
-            F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("key"),
+        return self.read("events").selectExpr(
+            "concat(user_id, '/', event_type) AS key",
             "event_id",
-            ts.alias("ts"),
-            F.to_date(ts).alias("date"),
-            from_cents(F.round(F.col("value") * 100).cast("bigint")).alias("price"),
+            "CAST(ts AS TIMESTAMP) AS ts",
+            "CAST(ts AS DATE) AS date",
+            f"{_money('CAST(round(value * 100) AS BIGINT)')} AS price",
         )
 
     @cached_property
     def snapshot_rows(self) -> DataFrame:
         """Scraped lines: each store has one snapshot per half year of ship dates."""
-        lines = self.read("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-            "l_extendedprice", "l_discount", F.to_date("l_shipdate").alias("day"),
+        lines = self.read("lineitem").selectExpr(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            "CAST(round(l_extendedprice * 100) AS BIGINT) AS cents",
+            f"{UNIT_CENTS} AS unit",
+            "CAST(round(l_discount * 100) AS INT) AS discount",
+            "CAST(l_shipdate AS DATE) AS day",
         )
-        suppliers = self.read("supplier").select("s_suppkey", "s_nationkey")
-        parts = self.read("part").select("p_partkey", "p_name", "p_type")
-        stores = self.stores.select("store_id", "website", F.col("name").alias("store_name"))
-        half = F.make_date(
-            F.year("day"), F.when(F.month("day") <= 6, 6).otherwise(12), F.lit(30)
-        )
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-        unit = F.floor(cents / F.col("l_quantity").cast("bigint"))
-        discount = F.round(F.col("l_discount") * 100).cast("int")
-        sku = F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
-        store = F.concat(F.lit("nation-"), F.col("store_id").cast("string"))
+        suppliers = self.read("supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey AS store_id")
+        parts = self.read("part").selectExpr("p_partkey AS l_partkey", "p_name", "p_type")
+        stores = self.stores.selectExpr("store_id", "website", "name AS store_name")
+        half = "make_date(year(day), IF(month(day) <= 6, 6, 12), 30)"
         return (
-            lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(stores, F.col("s_nationkey") == F.col("store_id"))
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .select(
-                store.alias("store"),
+            lines.join(suppliers, "l_suppkey")
+            .join(stores, "store_id")
+            .join(parts, "l_partkey")
+            .selectExpr(
+                "concat('nation-', store_id) AS store",
                 "store_name",
-                F.col("p_name").alias("name"),
+                "p_name AS name",
                 # every 40th line came without a price, every 45th without a link
-                F.when(
-                    F.col("l_orderkey") % 40 != 0,
-                    from_cents(F.floor(unit * (100 - discount) / 100)),
-                ).alias("price"),
-                from_cents(unit).alias("list_price"),
-                F.when(
-                    F.col("l_orderkey") % 45 != 0, F.concat("website", F.lit("/"), sku, F.lit("/p"))
-                )
-                .otherwise(F.lit(""))
-                .alias("url"),
-                F.concat(F.lit("https://img.example.com/s/"), sku).alias("image_url"),
-                F.concat(F.lower("p_type"), F.lit("_goods")).alias("category"),
-                F.col("day").alias("scraped_date"),
-                store.alias("snapshot_store"),
-                F.to_timestamp(half).alias("snapshot_ts"),
-                half.alias("snapshot_day"),
-                F.struct(
-                    "l_orderkey", "l_linenumber", cents.alias("cents"), "l_partkey", "l_suppkey"
-                ).alias("line_order"),
+                f"CASE WHEN l_orderkey % 40 != 0 THEN {_money('unit * (100 - discount) div 100')} END AS price",
+                f"{_money('unit')} AS list_price",
+                "IF(l_orderkey % 45 != 0, concat(website, '/', l_partkey, '-', l_suppkey, '/p'), '') AS url",
+                "concat('https://img.example.com/s/', l_partkey, '-', l_suppkey) AS image_url",
+                "concat(lower(p_type), '_goods') AS category",
+                "day AS scraped_date",
+                "concat('nation-', store_id) AS snapshot_store",
+                f"CAST({half} AS TIMESTAMP) AS snapshot_ts",
+                f"{half} AS snapshot_day",
+                "struct(l_orderkey, l_linenumber, cents, l_partkey, l_suppkey) AS line_order",
             )
         )
 
     @cached_property
     def titles(self) -> DataFrame:
         """Product titles as shops write them, several styles."""
-        n = F.col("p_size")
-        words = [
-            "Whisky", "Ron añejo", "Cerveza", "Agua mineral", "Galletas", "Vaso de vino",
-            "Champaña", "Gaseosa cola", "Crema de whisky", "Chocolate", "Licor de café",
-        ]
-        word = F.element_at(F.array(*[F.lit(w) for w in words]), n % len(words) + 1)
-        number = n.cast("string")
-        size = (
-            F.when(n % 6 == 0, F.concat(F.lit(" "), number, F.lit(",5 Litros")))
-            .when(n % 6 == 1, F.concat(F.lit(" ("), number, F.lit("0  ml)")))
-            .when(n % 6 == 2, F.concat(F.lit(" "), number, F.lit("gr X6 Unds")))
-            .when(n % 6 == 3, F.concat(F.lit(" "), number, F.lit("0 CC "), number, F.lit(" pack")))
-            .when(n % 6 == 4, F.concat(F.lit(" "), number, F.lit(" kg x"), number))
-            .otherwise(F.lit(" x999"))
+        words = (
+            "array('Whisky', 'Ron añejo', 'Cerveza', 'Agua mineral', 'Galletas', 'Vaso de vino', "
+            "'Champaña', 'Gaseosa cola', 'Crema de whisky', 'Chocolate', 'Licor de café')"
         )
-        return self.read("part").select(
-            F.col("p_partkey").alias("product_id"),
-            "p_brand", "p_type", "p_size", "p_retailprice",
-            F.concat(word, F.lit(" "), F.upper("p_name"), size).alias("title"),
+        size = """CASE p_size % 6 WHEN 0 THEN concat(' ', p_size, ',5 Litros')
+            WHEN 1 THEN concat(' (', p_size, '0  ml)')
+            WHEN 2 THEN concat(' ', p_size, 'gr X6 Unds')
+            WHEN 3 THEN concat(' ', p_size, '0 CC ', p_size, ' pack')
+            WHEN 4 THEN concat(' ', p_size, ' kg x', p_size)
+            ELSE ' x999' END"""
+        return self.read("part").selectExpr(
+            "p_partkey AS product_id", "p_brand", "p_type", "p_size", "p_retailprice",
+            f"concat({words}[p_size % 11], ' ', upper(p_name), {size}) AS title",
         )
 
     @cached_property
     def matches(self) -> DataFrame:
         """A match calendar: the days of the rare large events."""
-        key = F.col("event_id")
+        return self.read("events").filter("value >= 250").selectExpr(
+            "CAST(ts AS DATE) AS date",
+            "concat('match ', event_id) AS label",
+            "CAST(NULL AS STRING) AS opponent",
+            "CASE event_id % 3 WHEN 0 THEN 'Estadio local' WHEN 1 THEN 'Norte' END AS venue",
+        )
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        """Listing observations as a shop delivers them: a line item each.
+
+        Some lack a title, a price, a brand or a barcode, some have a bad price.
+        """
+        lines = self.read("lineitem").selectExpr(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{UNIT_CENTS} AS cents",
+            "l_linestatus = 'O' AS available",
+            "CAST(l_shipdate AS TIMESTAMP) + make_dt_interval(0, l_linenumber, CAST(l_orderkey % 60 AS INT)) AS captured_at",
+        )
+        suppliers = self.read("supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey")
+        parts = self.read("part").selectExpr(
+            "p_partkey AS l_partkey", "p_name", "p_size", "p_type", "p_brand"
+        )
+        money = _money("IF(l_orderkey % 83 = 0, -cents, cents)")
         return (
-            self.read("events")
-            .filter(F.col("value") >= 250)
-            .select(
-                F.to_date("ts").alias("date"),
-                F.concat(F.lit("match "), key.cast("string")).alias("label"),
-                F.lit(None).cast("string").alias("opponent"),
-                F.when(key % 3 == 0, "Estadio local").when(key % 3 == 1, "Norte").alias("venue"),
+            lines.join(suppliers, "l_suppkey")
+            .join(parts, "l_partkey")
+            .selectExpr(
+                "concat('nation-', s_nationkey) AS store_slug",
+                "concat(l_partkey, '-', l_suppkey) AS sku",
+                "CAST(l_partkey AS STRING) AS store_product_id",
+                f"IF(l_orderkey % 97 = 0, '', {PART_TITLE}) AS title",
+                "concat('https://nation-', s_nationkey, '.example.com/', l_partkey, '-', l_suppkey, '/p') AS url",
+                f"{PART_BARCODE} AS barcode",
+                f"{PART_BRAND} AS brand",
+                "concat('/', p_type, '/', p_brand) AS category_path",
+                "IF(l_suppkey % 7 = 0 OR l_orderkey % 4 = 0, NULL, concat('https://img.example.com/', l_partkey)) AS image_url",
+                f"IF(l_orderkey % 89 = 0, NULL, {money}) AS price",
+                "CAST(NULL AS DECIMAL(18,2)) AS list_price",
+                "'COP' AS currency",
+                "available",
+                "'[]' AS teasers",
+                "captured_at",
             )
         )
 
+    @cached_property
+    def known_products(self) -> DataFrame:
+        """Products known before a delivery: all but the promotional parts."""
+        parts = self.read("part").selectExpr("*", "p_partkey AS l_partkey").filter("p_type != 'PROMO'")
+        titled = parts.selectExpr(
+            "p_partkey AS product_id", f"{PART_BARCODE} AS barcode", f"{PART_BRAND} AS brand",
+            f"{PART_TITLE} AS name", "CAST(p_size * 10 AS DOUBLE) AS quantity", "'ml' AS unit",
+        )
+        return titled.select(
+            "*", brand_slug(F.col("brand")).alias("brand_slug"), tx.normalize_text("name").alias("normalized_name")
+        )
+
+
+# Column expressions of the star schema that several tables share.
+LISTING_ID = "l_partkey * 4294967296 + l_suppkey"
+# a fiftieth of the listings is not linked to a product yet
+LINKED_PRODUCT = "CASE WHEN (l_partkey + l_suppkey) % 50 != 0 THEN l_partkey END"
+PART_TITLE = "concat(initcap(p_name), ' ', p_size * 10, ' ml')"
+PART_BARCODE = "CASE WHEN l_partkey % 3 = 0 THEN concat('77', lpad(CAST(l_partkey AS STRING), 11, '0')) END"
+PART_BRAND = "CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 11 = 0 THEN ' ' ELSE p_brand END"
+UNIT_CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT) div CAST(l_quantity AS BIGINT)"
+BRAND_ID = "CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)"
+TYPE_ID = "(ascii(p_type) * 100 + length(p_type))"
+LEAF_ID = f"({TYPE_ID} * 1000 + {BRAND_ID})"
+
 
-def _listing_id(part, supplier):
-    return part * F.lit(4294967296) + supplier
+def _money(cents: str) -> str:
+    """Whole cents as DECIMAL(18,2), without a division."""
+    return f"CAST(CAST({cents} AS DECIMAL(18,0)) * 0.01BD AS DECIMAL(18,2))"

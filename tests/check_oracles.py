@@ -42,9 +42,12 @@ def text(value) -> str:
     return repr(value)
 
 
-def compare(df, con, sql) -> str | None:
+def compare(df, con, sql, times=None) -> str | None:
     """None when equal, else what differs first."""
+    start = time.time()
     names, got = rows_of_spark(df)
+    if times is not None:
+        times.append(time.time() - start)
     want_names, want = rows_of_duck(con, sql)
     if names != want_names:
         return f"columns {names} != {want_names}"
@@ -74,8 +77,9 @@ def main() -> int:
         try:
             df = build(spark, sf_dir)
             if name in sqls:
-                problem = compare(df, con, sqls[name])
-                n = ""
+                times = []
+                problem = compare(df, con, sqls[name], times)
+                n = f"spark {times[0]:.2f}s"
             else:
                 n, problem = f"{df.count()} rows, no SQL", None
         except Exception as error:  # noqa: BLE001
