@@ -16,7 +16,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.money import from_cents, is_drop, mean_money
 from ..operators.identity import new_product_id, with_identity
-from ..operators.ingest import bad_rows, good_rows, latest_update, quarantine
+from ..operators.ingest import bad_rows, good_rows, quarantine
 
 
 def file_stream(
@@ -156,12 +156,33 @@ def prepare_listings(observations: DataFrame) -> DataFrame:
     )
 
 
+LISTING_TEXT = [
+    "captured_at", "title", "url", "normalized_title", "category_path", "quantity", "unit",
+    "store_product_id", "product_id", "identity_kind",
+]
+
+
+def listing_delta(observations: DataFrame) -> DataFrame:
+    """Per listing the newest text, the newest known image and barcode, first and last sight."""
+
+    def known(c: str):
+        value = F.when(F.col(c).isNotNull(), F.struct("captured_at", c))
+        return F.max(value).alias(c)
+
+    return observations.groupBy("store_slug", "sku").agg(
+        F.max(F.struct(*LISTING_TEXT)).alias("newest"),
+        known("image_url"),
+        known("barcode"),
+        F.min("captured_at").alias("first_seen_at"),
+        F.max("captured_at").alias("last_seen_at"),
+    )
+
+
 def write_ingest_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     """Listings, prices, rejected rows and counts of one delivery."""
     checked = quarantine(batch)
     good = prepare_listings(good_rows(checked))
-    listings = latest_update(good).drop("price", "list_price", "currency", "available", "teasers")
-    write_batch(listings, f"{path}/listings", batch_id)
+    write_batch(listing_delta(good), f"{path}/listings", batch_id)
     prices = good.select(
         "store_slug", "sku", "price", "list_price", "currency", "available", "teasers", "captured_at"
     )
@@ -180,18 +201,16 @@ def stream_ingest(observations: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    """Listings over all deliveries: the newest text, the newest known image and barcode."""
+    """Listings over all deliveries."""
     rows = spark.read.parquet(f"{path}/listings")
-    at = F.struct("captured_at", "title", "url")
-
-    def known(c: str):
-        return F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
-
-    newest = ["title", "normalized_title", "url", "category_path", "quantity", "unit", "product_id", "identity_kind"]
-    return rows.groupBy("store_slug", "sku").agg(
-        *[F.max_by(c, at).alias(c) for c in newest],
-        known("image_url"),
-        known("barcode"),
-        F.min("captured_at").alias("first_seen_at"),
-        F.max("captured_at").alias("last_seen_at"),
+    merged = rows.groupBy("store_slug", "sku").agg(
+        *[F.max(c).alias(c) for c in ("newest", "image_url", "barcode", "last_seen_at")],
+        F.min("first_seen_at").alias("first_seen_at"),
+    )
+    return merged.select(
+        "store_slug", "sku",
+        *[F.col(f"newest.{c}").alias(c) for c in LISTING_TEXT if c != "captured_at"],
+        F.col("image_url.image_url").alias("image_url"),
+        F.col("barcode.barcode").alias("barcode"),
+        "first_seen_at", "last_seen_at",
     )
