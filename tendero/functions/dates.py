@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
@@ -94,3 +96,8 @@ def holiday_calendar(years: DataFrame, year: str = "year") -> DataFrame:
     return exploded.groupBy("date").agg(
         F.max_by("label", "position").alias("label"), F.min("position").alias("position")
     )
+
+
+def years_between(spark: SparkSession, first: date, last: date) -> DataFrame:
+    """The years of a date range, both ends included."""
+    return spark.range(first.year, last.year + 1).select(F.col("id").cast("int").alias("year"))

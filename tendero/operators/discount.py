@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.dates import holiday_calendar, years_of
+from ..functions.dates import years_of
 from ..functions.money import pct
 
 
@@ -152,12 +152,6 @@ def discount_facts(rows: DataFrame) -> DataFrame:
     )
 
 
-def calendar_for(rows: DataFrame) -> DataFrame:
-    """Holidays of all years that occur in the rows' histories."""
-    days = rows.select(F.explode(F.transform("history", lambda p: F.year(p["date"]))).alias("year"))
-    return holiday_calendar(days.filter(F.col("year").isNotNull()))
-
-
 def with_signals(facts: DataFrame, calendar: DataFrame, matches: DataFrame) -> DataFrame:
     """Discount facts with ``signals``: holidays first, then matches.
 
@@ -188,10 +182,12 @@ CONTEXT_FIELDS = [
 ]
 
 
-def pricing_context(
-    rows: DataFrame, matches: DataFrame, calendar: DataFrame | None = None
-) -> DataFrame:
-    """Rows (history, price, list_price, ...) with a ``pricing_context`` struct."""
-    facts = discount_facts(rows)
-    full = with_signals(facts, calendar_for(rows) if calendar is None else calendar, matches)
+def pricing_context(rows: DataFrame, matches: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Rows (history, price, list_price, ...) with a ``pricing_context`` struct.
+
+    ``calendar`` holds the holidays of at least the years the histories lie in.
+    Taking it from the dates' source, not from ``rows``, saves a second run of
+    the plan behind them.
+    """
+    full = with_signals(discount_facts(rows), calendar, matches)
     return full.select(*rows.columns, F.struct(*CONTEXT_FIELDS).alias("pricing_context"))

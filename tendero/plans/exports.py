@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..functions.dates import holiday_calendar, years_between
 from ..functions.money import clean_list_price
 from ..operators.catalog import export_rows
 from ..operators.current import daily_last_by_snapshot, first_by_url, valid_snapshot_rows
@@ -46,11 +49,18 @@ def snapshot_catalog(rows: DataFrame, matches: DataFrame, n: int = lx.HISTORY_SN
     """The catalog of the file path."""
     keys = ["snapshot_store", "url", "name"]
     with_history = attach_history(snapshot_products(rows), snapshot_history(rows, n), keys)
-    return pricing_context(with_history, matches).drop("name", "snapshot_store")
+    years = rows.select(F.year("snapshot_ts").alias("year")).filter(F.col("year").isNotNull())
+    calendar = holiday_calendar(years)
+    return pricing_context(with_history, matches, calendar).drop("name", "snapshot_store")
+
 
+def table_catalog(
+    tables: Tables, matches: DataFrame, as_of: date | datetime, days: int = lx.HISTORY_DAYS
+) -> DataFrame:
+    """The catalog of the table path, with the history of the days up to ``as_of``.
 
-def table_catalog(tables: Tables, matches: DataFrame, as_of, days: int = lx.HISTORY_DAYS) -> DataFrame:
-    """The catalog of the table path."""
+    Observations after ``as_of`` count too; the calendar reaches a year beyond.
+    """
     rows = export_rows(tables).select(
         "listing_id",
         tx.stable_id("store", "url").alias("id"),
@@ -60,4 +70,5 @@ def table_catalog(tables: Tables, matches: DataFrame, as_of, days: int = lx.HIST
         F.to_date("captured_at").alias("scraped_date"),
     )
     with_history = attach_history(rows, history_array(tables, as_of, days), ["listing_id"])
-    return pricing_context(with_history, matches).drop("listing_id")
+    span = years_between(tables.spark, as_of - timedelta(days=days), as_of + timedelta(days=366))
+    return pricing_context(with_history, matches, holiday_calendar(span)).drop("listing_id")

@@ -37,6 +37,8 @@ def local_session(cpus: int | str = "*", app: str = "tendero", **conf: str) -> S
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        # test tables are small: let an exchange of a few MB still use all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # no call-site lookup for every column expression: plans build faster
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -11,6 +11,17 @@ from ..functions import text as tx
 from ..functions.text import brand_slug
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few unsplittable files over all cores.
+
+    A file with one row group is read by one task, and so would be all the work
+    up to the first exchange. Tables with enough splits, as any large one has,
+    come back as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 class Tables:
     """The normalized tables, one parquet folder each.
 
@@ -98,6 +109,8 @@ class GivenTables(Tables):
     in whole cents.
     """
 
+    FACTS = ("lineitem", "orders", "events", "documents", "pages")
+
     def __init__(self, spark: SparkSession, directory: str):
         super().__init__(spark, directory)
         self._opened: dict[str, DataFrame] = {}
@@ -105,7 +118,8 @@ class GivenTables(Tables):
     def read(self, name: str) -> DataFrame:
         if name not in self._opened:
             path = f"{self.directory.rstrip('/')}/{name}.parquet"
-            self._opened[name] = self.spark.read.parquet(path)
+            df = self.spark.read.parquet(path)
+            self._opened[name] = spread(df) if name in self.FACTS else df
         return self._opened[name]
 
     @cached_property

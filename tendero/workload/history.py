@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -331,7 +333,8 @@ def _(t):
 
 @query("i9_pricing_context", "SELECT * EXCLUDE (rid), rid AS key FROM events_context", "events_context")
 def _(t):
-    return disc.pricing_context(context_rows(t), t.matches).select("key", *context_columns())
+    calendar = dates.holiday_calendar(t.points.select(F.year("date").alias("year")))
+    return disc.pricing_context(context_rows(t), t.matches, calendar).select("key", *context_columns())
 
 
 @query(
@@ -504,7 +507,7 @@ context_ctes("table", "table_rows", "table_daily_kept")
     "export_rows", "table_context", "table_daily",
 )
 def _(t):
-    return exports.table_catalog(t, t.matches, "2001-11-05", 730).select(
+    return exports.table_catalog(t, t.matches, date(2001, 11, 5), 730).select(
         *Q_COLUMNS.split(", "), "barcode", "brand", history_text("history").alias("history"), *context_columns()
     )
 
