@@ -119,13 +119,13 @@ def format_general(c: Column | str) -> Column:
 
     power = F.regexp_replace(masked("0.#####E00"), "E(?=[0-9])", "e+")
     scientific = F.regexp_replace(power, "E-", "e-")
-    out = F.when(size == 0, F.lit("0")).when(size < 1e-4, scientific)
-    for exponent in range(-4, 6):
-        # up to the value that would round to the next power of ten
-        limit = 10.0 ** (exponent + 1) - 0.5 * 10.0 ** (exponent - 5)
-        decimals = 5 - exponent
-        out = out.when(size < limit, masked("0." + "#" * decimals if decimals else "0"))
-    return out.otherwise(scientific)
+    # values that round up into the fixed range, or out of it, change notation
+    small = F.when(scientific == "1e-04", F.lit("0.0001")).otherwise(scientific)
+    whole = F.when(masked("0") == "1000000", scientific).otherwise(masked("0"))
+    out = F.when(size == 0, F.lit("0")).when(size < 1e-4, small)
+    for decimals in range(9, 0, -1):
+        out = out.when(size < 10.0 ** (6 - decimals), masked("0." + "#" * decimals))
+    return out.when(size < 1e6, whole).otherwise(scientific)
 
 
 def identity_key(brand: Column, quantity: Column, unit: Column, title: Column) -> Column:
