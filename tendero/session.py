@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # cut first-n-per-key groups before the exchange up to the largest n in use
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 

@@ -82,13 +82,11 @@ def write_history_json(export: DataFrame, points: DataFrame, path: str, files: i
 def append_prices(prices: DataFrame, path: str, day: str = "captured_at") -> None:
     """Append observations, one folder per day.
 
-    Rows are brought together by day and a second key, so that a big day is
-    written by several tasks and a small one makes few files.
+    Rows are rebalanced by day: AQE splits a day that holds a large share of
+    the rows over many tasks and packs small days together.
     """
     dated = prices.withColumn("day", F.to_date(day))
-    dated.repartition("day", F.pmod(F.hash("listing_id"), F.lit(4))).write.mode(
-        "append"
-    ).partitionBy("day").parquet(path)
+    dated.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_snapshots(rows: DataFrame, path: str) -> None:

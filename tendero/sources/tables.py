@@ -322,9 +322,11 @@ class GivenTables(Tables):
 
     @cached_property
     def matches(self) -> DataFrame:
-        """A match calendar: the days of the rare large events."""
-        return self.read("events").filter("value >= 250").selectExpr(
-            "CAST(ts AS DATE) AS date",
+        """A match calendar, one a day at most: the days with a rare large event."""
+        large = self.read("events").filter("value >= 250")
+        days = large.groupBy(F.to_date("ts").alias("date")).agg(F.max("event_id").alias("event_id"))
+        return days.selectExpr(
+            "date",
             "concat('match ', event_id) AS label",
             "CAST(NULL AS STRING) AS opponent",
             "CASE event_id % 3 WHEN 0 THEN 'Estadio local' WHEN 1 THEN 'Norte' END AS venue",

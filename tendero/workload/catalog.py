@@ -238,17 +238,17 @@ def _(t):
 
 @query(
     "f2_brand_facet",
-    """SELECT slug, name, count(DISTINCT product_id) AS product_count,
-              (SELECT count(DISTINCT brand_id) FROM products) AS total
-       FROM brands JOIN products p USING (brand_id) GROUP BY slug, brands.name ORDER BY 1""".replace(
-        "SELECT slug, name,", "SELECT slug, brands.name AS name,"
-    ),
+    """SELECT slug, b.name AS name, count(DISTINCT product_id) AS product_count
+       FROM brands b JOIN products USING (brand_id) GROUP BY slug, b.name""",
     "brands", "products",
 )
 def _(t):
-    total = cat.brand_total(t).withColumn("j", F.lit(1))
-    facet = cat.brand_facet(t).select("slug", "name", "product_count", F.lit(1).alias("j"))
-    return facet.join(total, "j").drop("j")
+    return cat.brand_facet(t).select("slug", "name", "product_count")
+
+
+@query("f2_brand_total", "SELECT count(DISTINCT brand_id) AS total FROM products", "products")
+def _(t):
+    return cat.brand_total(t)
 
 
 @query(

@@ -184,7 +184,7 @@ def _(t):
        FROM events WHERE value >= 100 AND NOT (event_id % 4 = 2 AND event_id % 3 = 0)""",
 )
 def _(t):
-    # one calendar document per day, entries as bare dates or objects, some without a date
+    # calendar documents of at most 500 events, entries as bare dates or objects, some without a date
     item = F.expr(
         """CASE event_id % 4
             WHEN 0 THEN concat('"', date_format(ts, 'yyyy-MM-dd'), '"')
@@ -192,8 +192,8 @@ def _(t):
             WHEN 2 THEN to_json(named_struct('date', IF(event_id % 3 = 0, 'por definir', date_format(ts, 'yyyy-MM-dd')), 'label', concat('Copa ', user_id), 'venue', ' '))
             ELSE to_json(named_struct('date', date_format(ts, 'yyyy-MM-dd'), 'label', concat('Copa ', user_id), 'opponent', concat('Rival ', user_id), 'venue', 'Norte')) END"""
     )
-    rows = t.read("events").filter("value >= 100").select(F.to_date("ts").alias("day"), item.alias("item"))
-    calendars = rows.groupBy("day").agg(
+    rows = t.read("events").filter("value >= 100").select(F.floor(F.col("event_id") / 500).alias("d"), item.alias("item"))
+    calendars = rows.groupBy("d").agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value")
     )
     path = staged(t, "matches", text_lines(calendars.select("value")))
