@@ -47,6 +47,21 @@ def prune_by_store(target: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def ids_by_store(catalog: DataFrame, most: int = 10_000) -> DataFrame:
+    """(store, part, ids[]): each store's ids in arrays of about ``most``.
+
+    The number of parts follows the store's size, so a store with most of the
+    catalog is spread over many arrays.
+    """
+    parts = catalog.groupBy("store").agg(F.ceil(F.count("*") / most).alias("parts"))
+    return (
+        catalog.select("store", "id")
+        .join(parts, "store")
+        .groupBy("store", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+        .agg(F.collect_set("id").alias("ids"))
+    )
+
+
 def latest_update(updates: DataFrame) -> DataFrame:
     """One update per listing, the last delivered; each task sends one row per listing."""
     order = [F.desc("captured_at"), F.asc("price"), F.asc("title"), F.asc("url")]

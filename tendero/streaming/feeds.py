@@ -179,8 +179,12 @@ def listing_delta(observations: DataFrame) -> DataFrame:
 
 
 def write_ingest_batch(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Listings, prices, rejected rows and counts of one delivery."""
-    checked = quarantine(batch)
+    """Listings, prices, rejected rows and counts of one delivery.
+
+    The checked batch is kept while its four outputs are written; blocks lost
+    with an executor are read again from the source.
+    """
+    checked = quarantine(batch).persist()
     good = prepare_listings(good_rows(checked))
     write_batch(listing_delta(good), f"{path}/listings", batch_id)
     prices = good.select(
@@ -194,6 +198,7 @@ def write_ingest_batch(batch: DataFrame, path: str, batch_id: int) -> None:
         F.count_if(F.size("errors") > 0).alias("errors"),
     )
     write_batch(counts, f"{path}/runs", batch_id)
+    checked.unpersist()
 
 
 def stream_ingest(observations: DataFrame, path: str, checkpoint: str) -> None:

@@ -333,6 +333,11 @@ def _(t):
     return ing.prune_by_store(older_mart(t), catalog(t)).select("id", "store", "price")
 
 
+@query("j10_ids_by_store", "SELECT DISTINCT store, id FROM mart", "mart")
+def _(t):
+    return ing.ids_by_store(catalog(t), 500).select("store", F.explode("ids").alias("id"))
+
+
 @query(
     "b7_append_prices",
     """SELECT date AS day, 2 * count(*) AS rows, CAST(2 * sum(price) AS DECIMAL(18,2)) AS total FROM points GROUP BY date""",
