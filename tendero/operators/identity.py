@@ -115,8 +115,9 @@ def resolve(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     one to the known products, which have one row per key.
     """
     identified = with_identity(listings)
-    unseen = seeds(identified).filter(F.col("identity_kind") == "attributes")
-    marks = unseen.select(*LISTING_ORDER, F.lit(True).alias("is_seed"))
+    described = identified.filter(F.col("identity_kind") == "attributes")
+    firsts = described.groupBy("identity").agg(F.min(F.struct(*LISTING_ORDER)).alias("s"))
+    marks = firsts.select("s.*", F.lit(True).alias("is_seed"))
     rows = identified.join(
         catalog_keys(catalog), ["identity_kind", "identity"], "left"
     ).join(marks, LISTING_ORDER, "left")
