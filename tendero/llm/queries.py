@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import read
+from . import bpe, langid, quality, secrets, url_filter
+from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,33 @@ def vocabulary_path() -> str:
 @query("op2_bpe_round_trip")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op3_secret_spans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(fold("doc_id", 4) != 2))
+    return langid.identify(docs, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score"
+    )
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
+    scored = quality.score(docs, quality.fit(docs, labels, "quality"))
+    return scored.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op9_url_verdicts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.fit(url_filter.labelled(spark))
+    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), weights)
