@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secrets, url_filter
+from . import bpe, fingerprints, langid, quality, secrets, url_filter
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digests(read(spark, sf_dir, "documents"))
+
+
 @query("op9_url_verdicts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.fit(url_filter.labelled(spark))
