@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, quality, secrets, url_filter
+from . import bpe, decontaminate, fingerprints, langid, ngram_join, quality, secrets, url_filter
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.fit(url_filter.labelled(spark))
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), weights)
+
+
+@query("op7_decontaminate", decontaminate.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op10_ngram_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
