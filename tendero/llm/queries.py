@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, langid, ngram_join, quality, secrets, url_filter
+from . import bpe, decontaminate, fingerprints, langid, line_dedup, ngram_join, quality, secrets, url_filter
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digests(read(spark, sf_dir, "documents"))
 
 
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 @query("op9_url_verdicts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_filter.fit(url_filter.labelled(spark))
