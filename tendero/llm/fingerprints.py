@@ -51,7 +51,7 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int) -> float:
     if not len(union):
         return 1.0
     both = np.intersect1d(a, b, assume_unique=True)
-    return np.isin(union, both, assume_unique=True).sum() / len(union)
+    return float(np.isin(union, both, assume_unique=True).mean())
 
 
 def containment(a: np.ndarray, b: np.ndarray, k: int) -> float:
