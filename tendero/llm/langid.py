@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Generations
+from .common import small, staged
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,6 +33,7 @@ class Settings:
     words: int = 30_000  # known words per language, the most frequent
     grams: int = 8_000  # known n-grams per language and order
     longest: int = 5
+    languages: int = 10_000  # languages whose bounds may be broadcast; more are joined by shuffle
     smoothing: float = 0.5
     weight: float = 0.25  # of one word's evidence in the posterior: neighbours are not independent
 
@@ -58,6 +59,28 @@ class Model:
         return np.zeros(len(self.languages))
 
 
+class Evidence(dict):
+    """Row numbers of words in a matrix of their vectors, emptied when it is full."""
+
+    def __init__(self, model: Model, limit: int):
+        super().__init__()
+        self.model, self.limit = model, limit
+        self.matrix = np.zeros((2 * limit, len(model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        if row >= len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[row] = self.model.vector(word)
+        return row
+
+    def total(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.matrix[rows].sum(axis=0)
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -75,8 +98,10 @@ def _sample(training: DataFrame, settings: Settings) -> DataFrame:
         .withColumn("r", F.row_number().over(least)).filter(F.col("r") <= settings.sample_texts)
         .groupBy("lang").agg(F.max("h").alias("bound"))
     )
-    # a row per language
-    return hashed.join(bounds, "lang").filter("h <= bound").dropDuplicates(["lang", "h"]).select("lang", "text")
+    # a row per language, as many as the model has; without the broadcast all texts would be dealt out by language
+    bounds = small(staged(bounds, "language-bounds"), settings.languages)
+    chosen = hashed.join(bounds, "lang").filter("h <= bound").dropDuplicates(["lang", "h"])
+    return staged(chosen.select("lang", "text"), "language-sample")
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> Model:
@@ -161,7 +186,7 @@ def predictor(docs: DataFrame, model: Model):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        cache = Generations(m.vector, 100_000)
+        evidence = Evidence(m, 150_000)
         for batch in batches:
             names, scores = [], []
             for text in batch:
@@ -170,7 +195,7 @@ def predictor(docs: DataFrame, model: Model):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                total = np.add.reduce(cache.get_all(found), axis=0) * m.settings.weight
+                total = evidence.total(found) * m.settings.weight
                 best = int(total.argmax())
                 names.append(m.languages[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small, staged
 
 
 @dataclass(frozen=True)
@@ -32,11 +32,6 @@ class Settings:
     broadcast: int = 500_000  # rows of ids that may be broadcast; more are joined by shuffle
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A written table, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def lines_of(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, version, at, line): the lines looked at; ``version`` tells texts of one id apart."""
     every = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
