@@ -127,7 +127,6 @@ CANDIDATES_PER_LISTING = 5
 PAGE_LIMIT_DEFAULT, PAGE_LIMIT_MAX = 50, 200
 BRAND_LIMIT_DEFAULT, BRAND_LIMIT_MAX = 200, 1000
 RUN_LIMIT_DEFAULT = 50
-HISTORY_LIMIT_DEFAULT, HISTORY_LIMIT_MAX = 1000, 5000
 CART_MAX_ITEMS, CART_MAX_QUANTITY = 100, 999
 COMPARE_MAX_LISTINGS = 4
 

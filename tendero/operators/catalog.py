@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions.money import discount_pct
 from ..sources.tables import Tables
-from .current import current_prices, first_per
+from .current import current_prices
+from .parts import in_parts
 
 
 @dataclass(frozen=True)
@@ -290,22 +291,20 @@ def nest(df: DataFrame, prefix: str, fields: list[str]) -> DataFrame:
     return df.withColumn(prefix, F.when(F.col(names[0]).isNotNull(), inner)).drop(*names)
 
 
-def prices_array(rows: DataFrame) -> DataFrame:
-    """Per product its stores' prices as an ascending array.
+def prices_array(rows: DataFrame, most: int = 1_000) -> DataFrame:
+    """(product_id, part, prices[], listings): every listing's price, ascending.
 
-    One entry per store and product, its cheapest listing, so the array is
-    bounded by the number of stores. ``listings`` says how many rows stand behind.
+    Products come in arrays of ``most`` prices, numbered from 1; ``listings`` counts
+    those of the part.
     """
-    entry = F.struct("price", "store_slug", "list_price", "discount_pct", "available", "url")
-    per_store = (
-        rows.filter(F.col("product_id").isNotNull())
-        .withColumn("discount_pct", discount_pct(F.col("price"), F.col("list_price")))
-        .groupBy("product_id", "store_slug")
-        .agg(F.min(F.struct("price", "store_slug", "url", entry.alias("e")))["e"].alias("e"), F.count("*").alias("n"))
-    )
-    return per_store.groupBy("product_id").agg(
-        F.array_sort(F.collect_list("e")).alias("prices"), F.sum("n").alias("listings")
+    linked = rows.filter(F.col("product_id").isNotNull()).select(
+        "product_id", "price", "store_slug", "url", "listing_id", "list_price", "available",
+        discount_pct(F.col("price"), F.col("list_price")).alias("discount_pct"),
     )
+    order = ["price", "store_slug", "url", "listing_id"]
+    value = ["price", "store_slug", "list_price", "discount_pct", "available", "url", "listing_id"]
+    parts = in_parts(linked, ["product_id"], order, value, most, "prices")
+    return parts.withColumn("listings", F.size("prices").cast("bigint"))
 
 
 def side_by_side(

@@ -14,7 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
+    """The first n rows of every key, cut before the exchange whatever n is."""
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < n:
+        conf.set(GROUP_LIMIT, str(n))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= n).drop("_n")
 

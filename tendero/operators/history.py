@@ -11,6 +11,7 @@ from ..functions.money import mean_money, pct
 from ..sources.tables import Tables
 from .catalog import observations
 from .current import between_dates, daily_last_price, first_per, lookback
+from .parts import in_parts
 
 
 def series_points(rows: DataFrame) -> DataFrame:
@@ -85,59 +86,13 @@ def top_products(summary: DataFrame, n: int = 20) -> DataFrame:
 POINT_ORDER = ["key", "date", "price", "name", "category", "store_name", "url"]
 
 
-def _point() -> list:
-    return ["date", F.col("price").alias("price_cop"), "name", "category", "url", "store_name"]
-
-
-def _short_histories(points: DataFrame) -> DataFrame:
-    ordered = F.struct(*POINT_ORDER[1:])
-    gathered = points.groupBy("key").agg(F.array_sort(F.collect_list(ordered)).alias("p"))
-    renamed = F.transform(
-        "p",
-        lambda p: F.struct(
-            p["date"].alias("date"), p["price"].alias("price_cop"), p["name"].alias("name"),
-            p["category"].alias("category"), p["url"].alias("url"),
-            p["store_name"].alias("store_name"),
-        ),
-    )
-    return gathered.select("key", F.lit(1).alias("part"), renamed.alias("history"))
-
-
-def _long_histories(points: DataFrame, chunk: int) -> DataFrame:
-    """Histories in pieces: sorted over the whole table by range, so that one key
-    may fill several partitions, then cut after every ``chunk`` rows."""
-    ordered = (
-        points.select(*POINT_ORDER)
-        .repartitionByRange(*POINT_ORDER)
-        .sortWithinPartitions(*POINT_ORDER)
-        .withColumn("_place", F.monotonically_increasing_id())
-    )
-    # the id holds the partition above its lower 33 bits and the row within them
-    row = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    pieces = ordered.groupBy(
-        "key", F.shiftright("_place", 33).alias("_split"), F.floor(row / chunk).alias("_slice")
-    ).agg(
-        F.array_sort(F.collect_list(F.struct("_place", *_point()))).alias("p"),
-        F.min("_place").alias("_first"),
-    )
-    # one row per piece of at most ``chunk`` points is what this window sees
-    place = F.row_number().over(Window.partitionBy("key").orderBy("_first"))
-    return pieces.select(
-        "key", place.alias("part"), F.transform("p", lambda p: p.dropFields("_place")).alias("history")
-    )
-
-
 def series_histories(points: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """(key, part, history[]) with every point of every key.
+    """(key, part, history[]) with every point of every key, ``chunk`` to a part.
 
-    A key with up to ``chunk`` points has one row. A longer history comes as
-    several rows, numbered in order, so that no task holds all of it.
+    Parts are numbered in order, so that no task holds all of a long history.
     """
-    long_keys = (
-        points.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select("key")
-    )
-    short = _short_histories(points.join(long_keys, "key", "left_anti"))
-    return short.unionByName(_long_histories(points.join(long_keys, "key", "left_semi"), chunk))
+    value = ["date", F.col("price").alias("price_cop"), "name", "category", "url", "store_name"]
+    return in_parts(points.select(*POINT_ORDER), ["key"], POINT_ORDER[1:], value, chunk, "history")
 
 
 def series_export(points: DataFrame, chunk: int = 10_000) -> DataFrame:
@@ -159,12 +114,17 @@ def series_export(points: DataFrame, chunk: int = 10_000) -> DataFrame:
     )
 
 
-def oldest_points(points: DataFrame, n: int = lx.HISTORY_LIMIT_DEFAULT) -> DataFrame:
-    """The limit of a history keeps its oldest points."""
-    if not 1 <= n <= lx.HISTORY_LIMIT_MAX:
-        raise ValueError(f"limit must lie in 1..{lx.HISTORY_LIMIT_MAX}")
+def oldest_points(points: DataFrame, n: int) -> DataFrame:
+    """The limit of a history keeps its oldest points.
+
+    They are found per product and day first, so that a product with most of all
+    points does not send n of them from every task to one.
+    """
+    if n < 1:
+        raise ValueError("limit must be positive")
     order = [F.asc("captured_at"), F.asc("price_id"), F.asc("price"), F.asc("listing_id")]
-    return first_per(points, ["product_id"], order, n)
+    daily = first_per(points.withColumn("_day", F.to_date("captured_at")), ["product_id", "_day"], order, n)
+    return first_per(daily.drop("_day"), ["product_id"], order, n)
 
 
 def history_stats(points: DataFrame) -> DataFrame:
@@ -178,9 +138,9 @@ def history_stats(points: DataFrame) -> DataFrame:
 
 def product_history(
     tables: Tables, store: str | None = None, lo=None, hi=None,
-    limit: int | None = lx.HISTORY_LIMIT_DEFAULT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Observations of every product, oldest ``limit`` each (all with None)."""
+    """Observations of every product; with a ``limit`` the oldest so many of each."""
     points = between_dates(observations(tables), lo, hi)
     if store is not None:
         points = points.filter(F.col("store_slug") == store)
@@ -193,9 +153,9 @@ def product_history(
     )
 
 
-def history_array(tables: Tables, as_of, days: int = lx.HISTORY_DAYS) -> DataFrame:
-    """``history`` array per listing: one point per day, at most ``days + 1``."""
-    daily = daily_last_price(lookback(tables.prices, as_of, days))
+def history_array(tables: Tables, as_of, days: int | None = lx.HISTORY_DAYS) -> DataFrame:
+    """``history`` array per listing: one point per day from ``days`` before ``as_of`` on, or all days with None."""
+    daily = daily_last_price(tables.prices if days is None else lookback(tables.prices, as_of, days))
     return collect_history(daily, ["listing_id"])
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..functions.dates import holiday_calendar, years_between
+from ..functions.dates import holiday_calendar
 from ..functions.money import clean_list_price
 from ..operators.catalog import export_rows
-from ..operators.current import daily_last_by_snapshot, first_by_url, valid_snapshot_rows
+from ..operators.current import daily_last_by_snapshot, first_by_url, lookback, valid_snapshot_rows
 from ..operators.discount import pricing_context
 from ..operators.history import attach_history, collect_history, history_array
 from ..sources.files import latest_snapshots
@@ -59,7 +59,7 @@ def table_catalog(
 ) -> DataFrame:
     """The catalog of the table path, with the history of the days up to ``as_of``.
 
-    Observations after ``as_of`` count too; the calendar reaches a year beyond.
+    Observations after ``as_of`` count too; the calendar has the years of the points.
     """
     rows = export_rows(tables).select(
         "listing_id",
@@ -70,5 +70,5 @@ def table_catalog(
         F.to_date("captured_at").alias("scraped_date"),
     )
     with_history = attach_history(rows, history_array(tables, as_of, days), ["listing_id"])
-    span = years_between(tables.spark, as_of - timedelta(days=days), as_of + timedelta(days=366))
-    return pricing_context(with_history, matches, holiday_calendar(span)).drop("listing_id")
+    years = lookback(tables.prices, as_of, days).select(F.year("captured_at").alias("year"))
+    return pricing_context(with_history, matches, holiday_calendar(years)).drop("listing_id")

@@ -48,12 +48,14 @@ def product_prices(tables: Tables) -> DataFrame:
     )
 
 
-def product_detail(tables: Tables) -> DataFrame:
-    """Every priced product with its stores' prices ascending and the cheapest."""
-    arrays = prices_array(listing_prices(tables))
-    return product_summary(tables).join(arrays, "product_id").withColumn(
-        "cheapest", F.get("prices", F.lit(0))
-    )
+def product_detail(tables: Tables, most: int = 1_000) -> DataFrame:
+    """Every priced product with all its prices ascending, in parts of ``most``.
+
+    The first part has the ``cheapest`` offer.
+    """
+    arrays = prices_array(listing_prices(tables), most)
+    cheapest = F.when(F.col("part") == 1, F.get("prices", F.lit(0)))
+    return product_summary(tables).join(arrays, "product_id").withColumn("cheapest", cheapest)
 
 
 def compare_products(tables: Tables) -> DataFrame:

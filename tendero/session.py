@@ -18,8 +18,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # cut first-n-per-key groups before the exchange up to the largest n in use
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 
@@ -54,13 +52,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder for staged tables and stream checkpoints.
 
     It lies in the shared folder named by ``spark.checkpoint.dir``, which every
-    executor can reach; only where that is unset (local tests) a temporary
-    folder stands in.
+    executor can reach. Only a local session, whose executors are the driver, may
+    leave it unset and gets a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.tendero.localScratch", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tendero.localScratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tendero-")
         spark.conf.set("spark.tendero.localScratch", base)
     return f"{base.rstrip('/')}/tendero/{label}-{uuid.uuid4().hex}"

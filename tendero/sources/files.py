@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,11 +135,11 @@ def parse_matches(documents: DataFrame, column: str = "value") -> DataFrame:
 
 
 def scan_matches(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """Match calendar of a JSON file or folder; a missing one is an empty calendar."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not file_system.exists(hadoop_path):
-        return spark.createDataFrame(
-            [], "date DATE, label STRING, opponent STRING, venue STRING"
-        )
-    return parse_matches(spark.read.text(path, wholetext=not per_line))
+    """Match calendar of JSON files, a folder or a pattern; where nothing is, an empty calendar."""
+    try:
+        text = spark.read.text(path, wholetext=not per_line)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "date DATE, label STRING, opponent STRING, venue STRING")
+    return parse_matches(text)

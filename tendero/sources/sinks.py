@@ -18,12 +18,13 @@ def write_catalog(catalog: DataFrame, path: str, source: str, as_of: Column) ->
     export_manifest(written, source, as_of).write.mode("errorifexists").json(f"{path}/manifest")
 
 
-def wrapped_catalog(catalog: DataFrame, documents: int = 64) -> DataFrame:
-    """The catalog as script text, split by id over ``documents`` assignments.
+def wrapped_catalog(catalog: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The catalog as script text, split by id over assignments of about ``rows`` each.
 
-    One document would gather every row in one task; choose the number so that
-    a document stays small.
+    One document would gather every row in one task; their number follows the
+    size of the catalog.
     """
+    documents = -(-catalog.count() // rows) or 1
     return (
         catalog.select(
             F.pmod(F.xxhash64("id"), F.lit(documents)).alias("document"),
@@ -68,14 +69,17 @@ def write_history_csv(summary: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def write_history_json(export: DataFrame, points: DataFrame, path: str, files: int) -> None:
-    """Nested series as JSON lines and a one-row header with the counts."""
+def write_history_json(export: DataFrame, points: DataFrame, path: str, scanned: DataFrame) -> None:
+    """Nested series as JSON lines and a one-row header with the counts.
+
+    ``scanned`` are the snapshot lines the points come from; the snapshots among
+    them are counted as files.
+    """
     export.write.mode("errorifexists").json(f"{path}/products")
-    header = points.agg(
-        F.lit(files).alias("files_analyzed"),
-        F.count("*").alias("records_loaded"),
-        F.count_distinct("key").alias("product_count"),
-    )
+    files = scanned.agg(F.count_distinct("snapshot_store", "snapshot_day").alias("files_analyzed"))
+    counts = points.agg(F.count("*").alias("records_loaded"), F.count_distinct("key").alias("product_count"))
+    both = files.unionByName(counts, allowMissingColumns=True)  # two rows
+    header = both.agg(*[F.max(c).alias(c) for c in both.columns])
     header.write.mode("errorifexists").json(f"{path}/header")
 
 

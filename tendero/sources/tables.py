@@ -11,17 +11,6 @@ from ..functions import text as tx
 from ..functions.text import brand_slug
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a few unsplittable files over all cores.
-
-    A file with one row group is read by one task, and so would be all the work
-    up to the first exchange. Tables with enough splits, as any large one has,
-    come back as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
-
-
 class Tables:
     """The normalized tables, one parquet folder each.
 
@@ -109,8 +98,6 @@ class GivenTables(Tables):
     in whole cents.
     """
 
-    FACTS = ("lineitem", "orders", "events", "documents", "pages")
-
     def __init__(self, spark: SparkSession, directory: str):
         super().__init__(spark, directory)
         self._opened: dict[str, DataFrame] = {}
@@ -119,7 +106,7 @@ class GivenTables(Tables):
         if name not in self._opened:
             path = f"{self.directory.rstrip('/')}/{name}.parquet"
             df = self.spark.read.parquet(path)
-            self._opened[name] = spread(df) if name in self.FACTS else df
+            self._opened[name] = df
         return self._opened[name]
 
     @cached_property
@@ -322,9 +309,8 @@ class GivenTables(Tables):
 
     @cached_property
     def matches(self) -> DataFrame:
-        """A match calendar, one a day at most: the days with a rare large event."""
-        large = self.read("events").filter("value >= 250")
-        days = large.groupBy(F.to_date("ts").alias("date")).agg(F.max("event_id").alias("event_id"))
+        """A match calendar, one a day: the last event of the day."""
+        days = self.read("events").groupBy(F.to_date("ts").alias("date")).agg(F.max("event_id").alias("event_id"))
         return days.selectExpr(
             "date",
             "concat('match ', event_id) AS label",

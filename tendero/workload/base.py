@@ -134,7 +134,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "matches": ((), """
         SELECT date, 'match ' || event_id AS label,
                CASE event_id % 3 WHEN 0 THEN 'Estadio local' WHEN 1 THEN 'Norte' END AS venue
-        FROM (SELECT CAST(ts AS DATE) AS date, max(event_id) AS event_id FROM events WHERE value >= 250 GROUP BY 1)"""),
+        FROM (SELECT CAST(ts AS DATE) AS date, max(event_id) AS event_id FROM events GROUP BY 1)"""),
     "snapshot_rows": (("stores",), f"""
         SELECT 'nation-' || store_id AS store, s.name AS store_name, p_name AS name,
                CASE WHEN l_orderkey % 40 <> 0 THEN {cents('''

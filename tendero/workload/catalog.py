@@ -343,17 +343,19 @@ def _(t):
 
 @query(
     "g8_prices_array",
-    """SELECT product_id, string_agg(price || '@' || store_slug, ' ' ORDER BY price, store_slug) AS prices,
-              CAST(sum(n) AS BIGINT) AS listings
-       FROM (SELECT product_id, store_slug, min(price) AS price, count(*) AS n
-             FROM listing_prices WHERE product_id IS NOT NULL GROUP BY product_id, store_slug)
-       GROUP BY product_id""",
+    """SELECT product_id, CAST((rn - 1) // 10 + 1 AS INT) AS part,
+              string_agg(price || '@' || store_slug || '=' || url, ' ' ORDER BY rn) AS prices, count(*) AS listings
+       FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, store_slug, url, listing_id) AS rn
+             FROM listing_prices WHERE product_id IS NOT NULL)
+       GROUP BY ALL""",
     "listing_prices",
 )
 def _(t):
-    text = F.transform("prices", lambda p: F.concat(p["price"].cast("string"), F.lit("@"), p["store_slug"]))
-    return cat.prices_array(cat.listing_prices(t)).select(
-        "product_id", F.array_join(text, " ").alias("prices"), "listings"
+    text = F.transform(
+        "prices", lambda p: F.concat(p["price"].cast("string"), F.lit("@"), p["store_slug"], F.lit("="), p["url"])
+    )
+    return cat.prices_array(cat.listing_prices(t), 10).select(
+        "product_id", "part", F.array_join(text, " ").alias("prices"), "listings"
     )
 
 
@@ -378,18 +380,19 @@ def _(t):
 
 @query(
     "k2_product_detail",
-    """SELECT product_id, count(*) AS stores, min(price) AS cheapest_price, arg_min(store_slug, (price, store_slug)) AS cheapest_store,
-              max(store_count) AS store_count
-       FROM (SELECT product_id, store_slug, min(price) AS price,
-                    count(*) OVER (PARTITION BY product_id) AS store_count
-             FROM listing_prices JOIN products USING (product_id) GROUP BY product_id, store_slug)
-       GROUP BY product_id""",
+    """SELECT product_id, part, prices, cheapest_price, cheapest_store, store_count FROM (
+           SELECT product_id, CAST((rn - 1) // 10 + 1 AS INT) AS part, string_agg(price || '@' || store_slug, ' ' ORDER BY rn) AS prices,
+                  min(price) FILTER (rn = 1) AS cheapest_price, min(store_slug) FILTER (rn = 1) AS cheapest_store
+           FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, store_slug, url, listing_id) AS rn
+                 FROM listing_prices JOIN products USING (product_id)) GROUP BY ALL)
+       JOIN (SELECT product_id, count(DISTINCT store_id) AS store_count FROM listing_prices GROUP BY product_id) USING (product_id)""",
     "listing_prices", "products",
 )
 def _(t):
-    return plans.product_detail(t).select(
-        "product_id",
-        F.size("prices").cast("bigint").alias("stores"),
+    text = F.transform("prices", lambda p: F.concat(p["price"].cast("string"), F.lit("@"), p["store_slug"]))
+    return plans.product_detail(t, 10).select(
+        "product_id", "part",
+        F.array_join(text, " ").alias("prices"),
         F.col("cheapest.price").alias("cheapest_price"),
         F.col("cheapest.store_slug").alias("cheapest_store"),
         "store_count",

@@ -181,7 +181,7 @@ def _(t):
     "a7_scan_matches",
     """SELECT CAST(ts AS DATE) AS date, CASE event_id % 4 WHEN 0 THEN 'Real Cartagena local' WHEN 1 THEN 'Rival ' || user_id ELSE 'Copa ' || user_id END AS label,
               CASE WHEN event_id % 4 IN (1, 3) THEN 'Rival ' || user_id END AS opponent, CASE event_id % 4 WHEN 3 THEN 'Norte' END AS venue
-       FROM events WHERE value >= 100 AND NOT (event_id % 4 = 2 AND event_id % 3 = 0)""",
+       FROM events WHERE NOT (event_id % 4 = 2 AND event_id % 3 = 0)""",
 )
 def _(t):
     # calendar documents of at most 500 events, entries as bare dates or objects, some without a date
@@ -192,7 +192,7 @@ def _(t):
             WHEN 2 THEN to_json(named_struct('date', IF(event_id % 3 = 0, 'por definir', date_format(ts, 'yyyy-MM-dd')), 'label', concat('Copa ', user_id), 'venue', ' '))
             ELSE to_json(named_struct('date', date_format(ts, 'yyyy-MM-dd'), 'label', concat('Copa ', user_id), 'opponent', concat('Rival ', user_id), 'venue', 'Norte')) END"""
     )
-    rows = t.read("events").filter("value >= 100").select(F.floor(F.col("event_id") / 500).alias("d"), item.alias("item"))
+    rows = t.read("events").select(F.floor(F.col("event_id") / 500).alias("d"), item.alias("item"))
     calendars = rows.groupBy("d").agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("value")
     )
@@ -244,7 +244,7 @@ def _(t):
 
 @query("b1_wrapped_catalog", "SELECT id, title, store, category, CAST(price AS DOUBLE) AS price, url FROM mart", "mart")
 def _(t):
-    path = staged(t, "scripts", text_lines(sinks.wrapped_catalog(catalog(t), 256)))
+    path = staged(t, "scripts", text_lines(sinks.wrapped_catalog(catalog(t), 200)))
     return files.scan_wrapped_catalog(t.spark, path, per_line=True).select(
         "id", "title", "store", "category", "price", "url"
     )
@@ -267,14 +267,15 @@ def _(t):
 
 @query(
     "b3_write_history_json",
-    """SELECT 3 AS files_analyzed, (SELECT count(*) FROM series) AS records_loaded, (SELECT count(*) FROM series_summary) AS product_count,
+    """SELECT (SELECT CAST(count(DISTINCT (snapshot_store, snapshot_day)) AS INT) FROM snapshot_rows) AS files_analyzed, (SELECT count(*) FROM series) AS records_loaded, (SELECT count(*) FROM series_summary) AS product_count,
               (SELECT count(*) FROM series) AS points_written""",
-    "series", "series_summary",
+    "series", "series_summary", "snapshot_rows",
 )
 def _(t):
     points = his.series_points(t.snapshot_rows)
     path = staged(
-        t, "history-json", lambda p: sinks.write_history_json(his.series_export(points), points, p, 3)
+        t, "history-json",
+        lambda p: sinks.write_history_json(his.series_export(points), points, p, t.snapshot_rows),
     )
     header = t.spark.read.schema("files_analyzed INT, records_loaded BIGINT, product_count BIGINT").json(f"{path}/header")
     written = t.spark.read.schema("history ARRAY<STRUCT<date: DATE>>").json(f"{path}/products")

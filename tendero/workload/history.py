@@ -250,8 +250,10 @@ def _(t):
 
 @query(
     "h4_series_export",
-    """SELECT key, "count", delta_cop, CAST(1 AS INT) AS part, history, days FROM series_summary
-       JOIN (SELECT key, string_agg(date || '=' || price, ' ' ORDER BY date, price) AS history FROM series GROUP BY key) USING (key)
+    """SELECT key, "count", delta_cop, part, history, CASE WHEN part = 1 THEN days END AS days FROM series_summary
+       JOIN (SELECT key, CAST((rn - 1) // 50 + 1 AS INT) AS part, string_agg(date || '=' || price, ' ' ORDER BY rn) AS history
+             FROM (SELECT key, date, price, row_number() OVER (PARTITION BY key ORDER BY date, price) AS rn FROM series)
+             GROUP BY ALL) USING (key)
        JOIN (SELECT key, string_agg(date || '=' || mx || 'x' || n, ' ' ORDER BY date) AS days FROM (
                  SELECT key, date, max(price) AS mx, count(*) AS n FROM series GROUP BY key, date) GROUP BY key) USING (key)""",
     "series", "series_summary",
@@ -266,7 +268,7 @@ def _(t):
             d["date"].cast("string"), F.lit("="), d["price_cop"].cast("string"), F.lit("x"), d["samples"].cast("string")
         ),
     )
-    return his.series_export(his.series_points(t.snapshot_rows)).select(
+    return his.series_export(his.series_points(t.snapshot_rows), 50).select(
         "key", "count", "delta_cop", "part",
         F.array_join(points, " ").alias("history"),
         F.array_join(days, " ").alias("days"),
@@ -280,11 +282,11 @@ def _(t):
               FROM prices JOIN listings USING (listing_id) JOIN stores USING (store_id)
               WHERE product_id IS NOT NULL AND slug = 'nation_9'
                 AND captured_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-01-01')
-        WHERE rn <= 1000 GROUP BY product_id""",
+        WHERE rn <= 25 GROUP BY product_id""",
     "prices", "listings",
 )
 def _(t):
-    return his.history_stats(his.product_history(t, "nation_9", "1996-01-01", "2000-01-01"))
+    return his.history_stats(his.product_history(t, "nation_9", "1996-01-01", "2000-01-01", 25))
 
 
 @query(
@@ -370,13 +372,16 @@ def _(t):
 @query(
     "e9_i7_i8_nearby_events",
     """SELECT start, label, days_offset FROM (
-           SELECT DISTINCT CAST(o_orderdate AS DATE) + 2922 AS start FROM orders) s
+           SELECT DISTINCT CAST(o_orderdate AS DATE) + CAST(round(date_diff('day', (SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT min(date) FROM matches))) AS INT) AS start FROM orders) s
        JOIN (SELECT date, label FROM matches) m ON abs(date_diff('day', start, date)) <= 7,
        LATERAL (SELECT CAST(date_diff('day', start, date) AS INT) AS days_offset) o""",
     "matches",
 )
 def _(t):
-    starts = t.read("orders").select(F.date_add(F.to_date("o_orderdate"), 2922).alias("start")).distinct()
+    # the order days moved so that the first falls on the first match
+    first = t.read("orders").agg(F.min(F.to_date("o_orderdate")).alias("o")).first().o
+    moved = (t.matches.agg(F.min("date").alias("m")).first().m - first).days
+    starts = t.read("orders").select(F.date_add(F.to_date("o_orderdate"), moved).alias("start")).distinct()
     near = disc.nearby_events(t.matches)
     return starts.join(near, F.col("start") == F.col("day")).select("start", "label", "days_offset")
 
@@ -422,7 +427,7 @@ def _(t):
     "prices",
 )
 def _(t):
-    days = his.history_array(t, "2001-11-05", 3650)
+    days = his.history_array(t, None, None)
     years = dates.years_of(F.transform("history", lambda p: p["date"]))
     return days.select("listing_id", F.array_join(years.cast("array<string>"), ",").alias("years"))
 
