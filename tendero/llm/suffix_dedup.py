@@ -14,8 +14,10 @@ The digits are chosen so that neighbouring suffixes can travel together:
 2. The second digit is the whole stretch of text a run covers. Runs that are equal
    are equal in all their suffixes, which settles copies of any length.
 3. Different runs with a first digit in common, one row per different run however
-   often it occurs, are unfolded into suffixes, and the remaining bytes up to the
-   threshold are the last digit.
+   often it occurs, are cut into blocks of a few suffixes. The bytes that all of a
+   block share are the next digit; after it, blocks that are equal are settled.
+4. What is left, the ends of repeated stretches, is unfolded into suffixes, and all
+   bytes up to the threshold are the last digit.
 
 Digits are compared by hashes: the last two, which decide, by 128 bits.
 """
@@ -30,18 +32,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import staged, texts
 from .hashing import _BYTE, U64, mix, powers
 
 SEGMENT = 1 << 18  # suffixes handled at once; runs end at its borders
 _PLACE = U64((1 << 20) - 1)
+BLOCK = StructType([
+    *(StructField(c, LongType()) for c in ("core_high", "core_low", "hull_high", "hull_low")),
+    StructField("alone", BooleanType()),
+    *(StructField(c, LongType()) for c in ("first", "last", "doc_id", "version")),
+])
 
 
 @dataclass(frozen=True)
 class Settings:
     depth: int = 400
     gram: int = 96
+    block: int = 16
     broadcast_rows: int = 1_000_000  # groups that may be broadcast; more are joined by shuffle
     broadcast_spans: int = 4_000_000
 
@@ -118,8 +127,40 @@ def by_document(docs: DataFrame, lists: DataFrame, how: str, s: Settings) -> Dat
     return versions(docs).join(held, same, how).drop("__id", "__version")
 
 
+def blocks(docs: DataFrame, lists: DataFrame, s: Settings) -> DataFrame:
+    """(core_high, core_low, hull_high, hull_low, alone, first, last, doc_id, version):
+    listed runs cut into blocks of suffixes, where ``items`` lists struct(place, first,
+    last, alone).
+
+    Blocks are aligned to the distance from the first digit, so equal suffixes are in
+    like blocks. The core is what all suffixes of a block have in common, the hull
+    what they cover together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cores, hulls, rest = [], [], []
+            for i, version, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode()
+                for x in items:
+                    place, near, far = x["place"], x["place"] - x["last"], x["place"] - x["first"]
+                    for b in range(near // s.block, far // s.block + 1):
+                        low, high = max(near, b * s.block), min(far, (b + 1) * s.block - 1)
+                        cores.append(data[place - b * s.block : place - (b + 1) * s.block + 1 + s.depth] + bytes([b % 256, b // 256]))
+                        hulls.append(data[place - high : place - low + s.depth] + bytes([low % 256, low // 256]))
+                        rest.append((x["alone"], place - high, place - low, i, version))
+            if rest:
+                kinds = [pa.bool_(), *[pa.int64()] * 4]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rest, strict=True), kinds, strict=True)]
+                digests = [pa.array(d) for part in (cores, hulls) for d in digests_of(part)]
+                yield pa.RecordBatch.from_arrays([*digests, *columns], BLOCK.names)
+
+    found = by_document(docs, lists, "inner", s).select("doc_id", "version", "text", "items")
+    return found.mapInArrow(run, BLOCK)
+
+
 def unfolded(docs: DataFrame, lists: DataFrame, s: Settings) -> DataFrame:
-    """(high, low, alone, at, doc_id, version): the suffixes of listed runs with a
+    """(high, low, alone, at, doc_id, version): the suffixes of listed blocks with a
     digest of all their bytes up to the threshold. ``items`` lists struct(first,
     last, alone)."""
 
@@ -155,25 +196,37 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     left = staged(every.join(together, "gram"), "runs-left")
     # pass 2: equal runs
     kinds = left.groupBy("gram", "high", "low").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "first", "last")).alias("one")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "place", "first", "last")).alias("one")
     )
     kinds = staged(kinds, "runs-kinds")
     settled = left.join(kinds.filter("n > 1").select("gram", "high", "low"), ["gram", "high", "low"]).select(
         "doc_id", "version", "first", (F.col("last") + s.depth).alias("end")
     )
-    # pass 3: suffixes of different runs that share the gram, where any run is alone
+    # pass 3: different runs that share the gram, where any run is alone, block by block
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
-    lists = (
-        kinds.join(mixed.select("gram"), "gram")
-        .select("one.*", (F.col("n") == 1).alias("alone"))
-        .groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last", "alone")).alias("items"))
-    )
-    suffixes = staged(unfolded(docs, staged(lists, "runs-mixed"), s), "suffixes")
+    lists = kinds.join(mixed.select("gram"), "gram").select("one.*", (F.col("n") == 1).alias("alone"))
+    lists = lists.groupBy("doc_id", "version").agg(F.collect_list(F.struct("place", "first", "last", "alone")).alias("items"))
+    cut = staged(blocks(docs, staged(lists, "runs-mixed"), s), "blocks")
+    # a block without its core elsewhere has no suffix elsewhere; one with its hull elsewhere has all of them there
+    hulls = cut.groupBy("core_high", "core_low", "hull_high", "hull_low").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "first", "last")).alias("one"), F.min("alone").alias("alone")
+    )
+    hulls = staged(hulls, "blocks-hulls")
+    hull = ["core_high", "core_low", "hull_high", "hull_low"]
+    equal_blocks = cut.filter("alone").join(hulls.filter("n > 1").select(*hull), hull).select(
+        "doc_id", "version", "first", (F.col("last") + s.depth).alias("end")
+    )
+    # pass 4: suffixes of different blocks that share the core
+    unlike = hulls.groupBy("core_high", "core_low").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core_high", "core_low")
+    lists = hulls.join(unlike, ["core_high", "core_low"]).select("one.*", ((F.col("n") == 1) & F.col("alone")).alias("alone"))
+    lists = lists.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last", "alone")).alias("items"))
+    suffixes = staged(unfolded(docs, staged(lists, "blocks-unlike"), s), "suffixes")
     equal = suffixes.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").select("high", "low")
-    unequal_runs = suffixes.filter("alone").join(equal, ["high", "low"]).select(
+    equal_suffixes = suffixes.filter("alone").join(equal, ["high", "low"]).select(
         "doc_id", "version", F.col("at").alias("first"), (F.col("at") + s.depth).alias("end")
     )
-    return settled.unionByName(unequal_runs).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "end")).alias("items"))
+    every = settled.unionByName(equal_blocks).unionByName(equal_suffixes)
+    return every.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "end")).alias("items"))
 
 
 def merged(items: list[dict]) -> list[tuple[int, int]]:
