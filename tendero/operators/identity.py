@@ -19,6 +19,12 @@ from .search import similar_candidates
 LISTING_ORDER = ["store_slug", "sku"]
 
 
+def exact_quantity(quantity: Column) -> Column:
+    """A quantity as text with all its digits, three decimals at most, without zeros at the end."""
+    text = quantity.cast("decimal(28,3)").cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "")
+
+
 def _attributes(listing: DataFrame) -> Column:
     present = (
         F.col("brand_slug").isNotNull()
@@ -29,7 +35,7 @@ def _attributes(listing: DataFrame) -> Column:
     return F.when(
         present,
         F.concat_ws(
-            "|", "brand_slug", tx.format_general(F.col("quantity").cast("double")), "unit",
+            "|", "brand_slug", exact_quantity(F.col("quantity")), "unit",
             "normalized_title",
         ),
     )

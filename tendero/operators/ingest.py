@@ -16,9 +16,15 @@ LISTING_KEY = ["store_slug", "sku"]
 # --- merges -----------------------------------------------------------------
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
-    """Target with updated rows replaced whole and new rows added."""
-    return updates.unionByName(target.join(updates.select(*key), key, "left_anti"))
+def upsert(target: DataFrame, updates: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Target with updated rows replaced whole and new rows added.
+
+    Of updates that share a key the first by ``order`` counts; without an order
+    their own text decides, so that the result does not depend on arrival.
+    """
+    order = order or [F.asc(F.to_json(F.struct(*updates.columns)))]
+    one = first_per(updates, key, order)
+    return one.unionByName(target.join(one.select(*key), key, "left_anti"))
 
 
 def prune_global(target: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:
@@ -72,7 +78,8 @@ def merge_listings(target: DataFrame, updates: DataFrame, as_of: Column) -> Data
     """Listings after a delivery, with ``inserted`` for the new ones.
 
     Title, link, path and raw are overwritten; image and barcode keep their old
-    value when the update has none; first_seen_at and store_product_id stay.
+    value when the update has none; first_seen_at and store_product_id stay, and so
+    do the link to a product and whatever else the target carries.
     """
     new = latest_update(updates)
     t, u = target.alias("t"), new.alias("u")
@@ -86,8 +93,14 @@ def merge_listings(target: DataFrame, updates: DataFrame, as_of: Column) -> Data
     filled = [
         F.coalesce(F.col(f"u.{c}"), F.col(f"t.{c}")).alias(c) for c in ["image_url", "barcode"]
     ]
+    merged = {
+        *LISTING_KEY, "title", "normalized_title", "url", "category_path", "raw", "image_url", "barcode",
+        "store_product_id", "first_seen_at", "last_seen_at", "inserted",
+    }
+    carried = [F.col(f"t.{c}").alias(c) for c in target.columns if c not in merged]
     return both.select(
         *LISTING_KEY,
+        *carried,
         *overwritten,
         *filled,
         F.when(known, F.col("t.store_product_id"))
@@ -100,25 +113,60 @@ def merge_listings(target: DataFrame, updates: DataFrame, as_of: Column) -> Data
 
 
 def link_listings(listings: DataFrame, matches: DataFrame) -> DataFrame:
-    """Listings with the product, method, confidence and review flag of their match."""
+    """Listings with the product, method, confidence and review flag of their match.
+
+    A listing without a match in this batch keeps the link it has.
+    """
     link = ["product_id", "match_method", "match_confidence", "needs_review"]
-    bare = listings.drop(*link)
-    return bare.join(matches.select(*LISTING_KEY, *link), LISTING_KEY, "left")
+    found = matches.select(*LISTING_KEY, *[F.col(c).alias(f"_{c}") for c in link], F.lit(True).alias("_matched"))
+    both = listings.join(found, LISTING_KEY, "left")
+
+    def linked(c: str) -> Column:
+        new = F.when(F.col("_matched"), F.col(f"_{c}"))
+        return (new.otherwise(F.col(c)) if c in listings.columns else new).alias(c)
+
+    return both.select(*[c for c in listings.columns if c not in link], *map(linked, link))
 
 
 def merge_stores(target: DataFrame, configs: DataFrame) -> DataFrame:
-    return upsert(target, configs.select(*target.columns), ["slug"])
+    """Stores after a change of their configuration, one row per slug.
+
+    A known store keeps its id, country, creation time and active flag and takes
+    what else the configuration says; a new one is added as it stands.
+    """
+    kept = ["store_id", "country_code", "created_at", "active"]
+    new = first_per(configs.select(*target.columns), ["slug"], [F.asc("store_id")])
+    t, u = target.alias("t"), new.alias("u")
+    known = F.col("t.store_id").isNotNull()
+
+    def merged(c: str) -> Column:
+        old, now = F.col(f"t.{c}"), F.col(f"u.{c}")
+        stays = known if c in kept else F.col("u.store_id").isNull()
+        return F.when(stays, old).otherwise(now).alias(c)
+
+    return t.join(u, "slug", "full_outer").select(
+        *["slug" if c == "slug" else merged(c) for c in target.columns]
+    )
 
 
 def to_mart_rows(rows: DataFrame) -> DataFrame:
-    """Catalog rows shaped for the product mart, the whole row kept as ``raw``."""
+    """Catalog rows shaped for the product mart, the whole row kept as ``raw``.
+
+    History and pricing context go in as JSON. A row without an id is named after
+    its store and sku.
+    """
     blank = F.lit("")
-    fallback = F.concat_ws("-", "store", "sku")
+    number = F.col("sku") if "sku" in rows.columns else F.lit(None).cast("string")
+    fallback = F.concat_ws("-", "store", number)
     wanted = ["store", "store_name", "title", "price", "list_price", "img", "url", "category"]
     columns = [c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in wanted]
+    nested = [
+        (F.to_json(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in ("pricing_context", "history")
+    ]
     return rows.select(
         F.coalesce(F.nullif("id", blank), fallback).alias("id"),
         *columns,
+        *nested,
         F.to_json(F.struct(*rows.columns)).alias("raw"),
     )
 
@@ -210,79 +258,112 @@ def _violations(df: DataFrame, table: str, checks: dict[str, Column]) -> DataFra
     ).select("table_name", "r.*")
 
 
-def _repeated(df: DataFrame, table: str, key: list[str]) -> DataFrame:
-    """Keys that occur more than once, NULL keys aside."""
-    present = F.lit(True)
-    for k in key:
-        present = present & F.col(k).isNotNull()
-    repeated = df.filter(present).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
-    return repeated.agg(
-        F.lit(table).alias("table_name"),
-        F.lit(f"unique {', '.join(key)}").alias("rule"),
-        F.count("*").alias("violations"),
-    )
+def _required(*names: str) -> dict[str, Column]:
+    return {f"{n} required": F.col(n).isNull() for n in names}
 
 
-def _orphans(df: DataFrame, table: str, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:
-    """Rows that point at no parent; counted per key first, so a hot key is one row."""
-    per_key = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    lost = per_key.join(parent.select(F.col(parent_key or key).alias("k")), "k", "left_anti")
-    return lost.agg(
-        F.lit(table).alias("table_name"),
-        F.lit(f"{key} exists").alias("rule"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("violations"),
-    )
+def _domain(column: str, allowed) -> Column:
+    return F.col(column).isNotNull() & ~F.col(column).isin(*allowed)
+
+
+def match_domains() -> dict[str, Column]:
+    confidence = F.col("match_confidence")
+    return {
+        "match_method": _domain("match_method", lx.MATCH_METHODS),
+        "match_confidence in 0..1": confidence.isNotNull() & ~confidence.between(0, 1),
+    }
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _rule(df: DataFrame, table: str, rule: str, keys: list[str], *more: Column) -> DataFrame:
+    """(table_name, rule, key, ...) of the rows that have all parts of a key."""
+    present = df.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
+    return present.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), key.alias("key"), *more)
+
+
+def _repeated(uses: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """Keys of all unique rules that occur more than once, in one grouping."""
+    every = _union([_rule(df, table, f"unique {', '.join(keys)}", keys) for table, df, keys in uses])
+    counted = every.groupBy("table_name", "rule", "key").agg(F.count("*").alias("n"))
+    return counted.groupBy("table_name", "rule").agg(F.count_if(F.col("n") > 1).alias("violations"))
+
+
+def _orphans(uses: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """Rows of all reference rules that point at no parent, in one grouping; a hot key
+    is one row per task."""
+    parts = []
+    for table, df, key, parent, parent_key in uses:
+        rule = f"{key} exists"
+        parts.append(_rule(df, table, rule, [key], F.lit(1).alias("n"), F.lit(0).alias("parent")))
+        parts.append(_rule(parent, table, rule, [parent_key], F.lit(0).alias("n"), F.lit(1).alias("parent")))
+    keyed = _union(parts).groupBy("table_name", "rule", "key").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
+    lost = F.when(F.col("parent") == 0, F.col("n")).otherwise(0)
+    return keyed.groupBy("table_name", "rule").agg(F.sum(lost).alias("violations"))
 
 
 def audit_constraints(t: Tables) -> DataFrame:
-    """Violations of every declared rule: keys, required values, domains, references."""
-    missing = lambda *names: {f"{n} required": F.col(n).isNull() for n in names}
-    reports = [
-        _repeated(t.stores, "stores", ["slug"]),
-        _repeated(t.brands, "brands", ["slug"]),
-        _repeated(t.categories, "categories", ["slug"]),
-        _repeated(t.products, "products", ["barcode"]),
-        _repeated(t.listings, "listings", ["store_id", "sku"]),
-        _violations(t.stores, "stores", missing("slug", "name")),
-        _violations(t.products, "products", missing("name", "normalized_name")),
-        _violations(t.listings, "listings", missing("store_id", "sku", "title", "url", "image_url")),
-        _violations(
-            t.prices,
-            "prices",
-            {
-                **missing("listing_id", "price"),
-                "price >= 0": F.coalesce(F.col("price") < 0, F.lit(False)),
-                "list_price >= 0": F.coalesce(F.col("list_price") < 0, F.lit(False)),
-            },
-        ),
-        _violations(
-            t.runs, "runs", {**missing("store_id", "finished_at"), "status": ~F.col("status").isin(lx.RUN_STATUSES)}
+    """Violations of every declared rule: keys, required values, domains, references.
+
+    One pass over each table for the rules of single rows, one grouping for all
+    unique keys and one for all references. Rules about columns that a table does
+    not carry are left out.
+    """
+    required = {
+        "stores": (t.stores, ["country_code", "slug", "name", "platform", "config", "active", "created_at"]),
+        "brands": (t.brands, ["slug", "name"]),
+        "categories": (t.categories, ["slug", "name"]),
+        "products": (t.products, ["name", "normalized_name"]),
+        "listings": (t.listings, ["store_id", "sku", "title", "normalized_title", "url", "needs_review", "first_seen_at", "last_seen_at"]),
+        "prices": (t.prices, ["listing_id", "price", "currency", "available", "captured_at"]),
+        "runs": (
+            t.runs,
+            ["store_id", "adapter", "started_at", "status", "products_found", "products_new", "prices_written", "errors"],
         ),
-        _orphans(t.listings, "listings", "store_id", t.stores),
-        _orphans(t.listings, "listings", "product_id", t.products),
-        _orphans(t.prices, "prices", "listing_id", t.listing_keys),
-        _orphans(t.products, "products", "brand_id", t.brands),
-        _orphans(t.products, "products", "category_id", t.categories),
-        _orphans(t.categories, "categories", "parent_id", t.categories, "category_id"),
-        _orphans(t.runs, "runs", "store_id", t.stores),
+    }
+    domains = {
+        "listings": [("match_method", match_domains())],
+        "prices": [("price", {"price >= 0": F.coalesce(F.col("price") < 0, F.lit(False))}),
+                   ("list_price", {"list_price >= 0": F.coalesce(F.col("list_price") < 0, F.lit(False))})],
+        "runs": [("status", {"status": _domain("status", lx.RUN_STATUSES)})],
+    }
+    reports = []
+    for table, (df, names) in required.items():
+        checks = _required(*[n for n in names if n in df.columns])
+        for column, rules in domains.get(table, []):
+            if column in df.columns:
+                checks |= rules
+        reports.append(_violations(df, table, checks))
+    unique = [
+        ("stores", t.stores, ["slug"]), ("brands", t.brands, ["slug"]), ("categories", t.categories, ["slug"]),
+        ("products", t.products, ["barcode"]), ("listings", t.listings, ["store_id", "sku"]),
+    ]
+    references = [
+        ("listings", t.listings, "store_id", t.stores, "store_id"),
+        ("listings", t.listings, "product_id", t.products, "product_id"),
+        ("prices", t.prices, "listing_id", t.listing_keys, "listing_id"),
+        ("products", t.products, "brand_id", t.brands, "brand_id"),
+        ("products", t.products, "category_id", t.categories, "category_id"),
+        ("categories", t.categories, "parent_id", t.categories, "category_id"),
+        ("runs", t.runs, "store_id", t.stores, "store_id"),
     ]
-    out = reports[0]
-    for report in reports[1:]:
-        out = out.unionByName(report)
-    return out
+    if "run_id" in t.prices.columns:
+        references.append(("prices", t.prices, "run_id", t.runs, "run_id"))
+    rules = [(table, f"unique {', '.join(keys)}") for table, _, keys in unique] + [(u[0], f"{u[2]} exists") for u in references]
+    none = t.spark.createDataFrame(rules, "table_name string, rule string").withColumn("violations", F.lit(0).cast("bigint"))
+    both = _union([none, _repeated(unique), _orphans(references)])  # an empty table has no rows to count
+    return _union([*reports, both.groupBy("table_name", "rule").agg(F.sum("violations").alias("violations"))])
 
 
 def audit_matches(resolved: DataFrame) -> DataFrame:
     """Domain rules of resolved listings."""
-    method, confidence = F.col("match_method"), F.col("match_confidence")
-    return _violations(
-        resolved,
-        "listings",
-        {
-            "match_method": method.isNotNull() & ~method.isin(lx.MATCH_METHODS),
-            "match_confidence in 0..1": confidence.isNotNull() & ~confidence.between(0, 1),
-        },
-    )
+    return _violations(resolved, "listings", match_domains())
 
 
 # --- price ranges -----------------------------------------------------------
@@ -316,6 +397,8 @@ def price_partitions(
     does. Prices are counted once per distinct value of a few leaf ranges; a
     range is kept if it fits (or cannot be split) and its parent does not fit.
     Both ends of a range belong to it; ``oversized`` tells what stays too big.
+    Prices below the floor and above the ceiling are in a range of their own with
+    one end NULL, which is not split.
     """
     spark = rows.sparkSession
     tree = range_tree(lo, hi, depth)
@@ -326,7 +409,7 @@ def price_partitions(
     below = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("price")))
     on_edge = F.array_contains(F.array(*[F.lit(e).cast("decimal(18,2)") for e in edges]), F.col("price"))
     counts = (
-        rows.filter(F.col("price").between(lo, hi))
+        rows.filter(F.col("price").isNotNull())
         .groupBy("store_id", F.when(on_edge, -below).otherwise(below).alias("slot"))
         .agg(F.count("*").alias("n"))
     )
@@ -335,6 +418,7 @@ def price_partitions(
         i, j = edges.index(a) + 1, edges.index(b) + 1
         slots = list(range(i, j)) + [-k for k in range(i, j + 1)]
         members += [(node, level, a, b, node not in split, s) for s in slots]
+    members += [(-1, 0, None, lo, True, 0), (-2, 0, hi, None, True, len(edges))]
     ranges = spark.createDataFrame(
         members, "node INT, depth INT, lo BIGINT, hi BIGINT, final BOOLEAN, slot INT"
     )
@@ -351,6 +435,6 @@ def price_partitions(
     return (
         kept.withColumn("parent", parent)
         .join(split_parents.withColumn("_split", F.lit(True)), ["store_id", "parent"], "left")
-        .filter(F.col("_split").isNotNull() | (F.col("node") == 1))
+        .filter(F.col("_split").isNotNull() | (F.col("node") <= 1))
         .select("store_id", "depth", "lo", "hi", "n", (F.col("n") > cap).alias("oversized"))
     )

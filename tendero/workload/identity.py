@@ -177,6 +177,8 @@ def stored(t):
         "url", "category_path", "image_url", "barcode",
         F.to_json(F.struct("sku")).alias("raw"),
         F.col("captured_at").alias("first_seen_at"), F.col("captured_at").alias("last_seen_at"),
+        F.sha1(F.concat("store_slug", F.lit("/"), "sku")).alias("product_id"), F.lit("manual").alias("match_method"),
+        F.lit(0.5).alias("match_confidence"), F.lit(False).alias("needs_review"),
     )
 
 
@@ -198,7 +200,9 @@ def latest_sql(where: str) -> str:
                coalesce(u.image_url, s.image_url) AS image_url, coalesce(u.barcode, s.barcode) AS barcode,
                coalesce(s.store_product_id, u.store_product_id) AS store_product_id,
                CASE WHEN s.sku IS NULL THEN DATE '{AS_OF}' ELSE CAST(s.captured_at AS DATE) END AS first_seen,
-               CASE WHEN u.sku IS NOT NULL THEN DATE '{AS_OF}' ELSE CAST(s.captured_at AS DATE) END AS last_seen, s.sku IS NULL AS inserted
+               CASE WHEN u.sku IS NOT NULL THEN DATE '{AS_OF}' ELSE CAST(s.captured_at AS DATE) END AS last_seen, s.sku IS NULL AS inserted,
+               CASE WHEN s.sku IS NOT NULL THEN sha1(s.store_slug || '/' || s.sku) END AS product_id,
+               CASE WHEN s.sku IS NOT NULL THEN 'manual' END AS match_method
         FROM ({latest_sql(f"captured_at < TIMESTAMP '{CUT}'")}) s
         FULL JOIN ({latest_sql(f"captured_at >= TIMESTAMP '{CUT}'")}) u ON s.store_slug = u.store_slug AND s.sku = u.sku""",
     "good",
@@ -208,37 +212,47 @@ def _(t):
     return merged.select(
         "store_slug", "sku", "title", "image_url", "barcode", "store_product_id",
         F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_seen_at").alias("last_seen"), "inserted",
+        "product_id", "match_method",
     )
 
 
 @query(
     "n2_link_listings",
-    """SELECT store_slug, sku, r.title, coalesce(known_id, sha1(identity_kind || ':' || identity)) AS product_id, match_method,
-              match_method IS NULL AS needs_review FROM latest JOIN resolved r USING (store_slug, sku)""",
-    "latest", "resolved",
+    f"""SELECT s.store_slug, s.sku, s.title,
+              CASE WHEN r.sku IS NULL THEN sha1(s.store_slug || '/' || s.sku) ELSE coalesce(known_id, sha1(identity_kind || ':' || identity)) END AS product_id,
+              CASE WHEN r.sku IS NULL THEN 'manual' ELSE r.match_method END AS match_method,
+              r.sku IS NOT NULL AND r.match_method IS NULL AS needs_review
+       FROM ({latest_sql(f"captured_at < TIMESTAMP '{CUT}'")}) s
+       LEFT JOIN (SELECT * FROM resolved WHERE captured_at >= TIMESTAMP '{CUT}') r ON s.store_slug = r.store_slug AND s.sku = r.sku""",
+    "good", "resolved",
 )
 def _(t):
-    listings = delivered(t)
-    return ing.link_listings(listings, idn.resolve(listings, t.known_products)).select(
+    # only the listings that were delivered again have a match
+    matches = idn.resolve(delivered(t), t.known_products).filter(F.col("captured_at") >= CUT)
+    return ing.link_listings(stored(t), matches).select(
         "store_slug", "sku", "title", "product_id", "match_method", "needs_review"
     )
 
 
 @query(
     "n3_merge_stores",
-    """SELECT slug, name, active FROM (
-           SELECT slug, name || ' SA' AS name, active FROM stores WHERE active
-           UNION ALL SELECT slug, name, active FROM stores WHERE NOT active
-           UNION ALL SELECT 'region-' || r_regionkey, r_name, true FROM region)""",
+    """SELECT slug, store_id, name, active, website FROM (
+           SELECT slug, store_id, name || ' SA' AS name, active, 'moved' AS website FROM stores WHERE store_id % 2 = 0
+           UNION ALL SELECT slug, store_id, name, active, website FROM stores WHERE store_id % 2 <> 0
+           UNION ALL SELECT 'region-' || r_regionkey, 1000 + r_regionkey, r_name, true, NULL FROM region)""",
     "stores",
 )
 def _(t):
-    renamed = t.stores.filter("active").withColumn("name", F.concat("name", F.lit(" SA")))
+    # a configuration knows neither the id nor whether the store is active, and comes twice
+    renamed = t.stores.filter("store_id % 2 = 0").withColumns(
+        {"name": F.concat("name", F.lit(" SA")), "store_id": F.lit(-1).cast(t.stores.schema["store_id"].dataType), "active": F.lit(True), "website": F.lit("moved")}
+    )
+    renamed = renamed.unionByName(renamed)
     opened = t.read("region").selectExpr(
         "1000 + r_regionkey AS store_id", "concat('region-', r_regionkey) AS slug", "r_name AS name",
         "'CO' AS country_code", "CAST(NULL AS STRING) AS website", "true AS active",
     )
-    return ing.merge_stores(t.stores, renamed.unionByName(opened)).select("slug", "name", "active")
+    return ing.merge_stores(t.stores, renamed.unionByName(opened)).select("slug", "store_id", "name", "active", "website")
 
 
 CTES["counters"] = (
@@ -314,11 +328,16 @@ def _(t):
             for table, rule, bad in [
                 *[("stores", f"{c} required", f"{c} IS NULL") for c in ("slug", "name")],
                 *[("products", f"{c} required", f"{c} IS NULL") for c in ("name", "normalized_name")],
-                *[("listings", f"{c} required", f"{c} IS NULL") for c in ("store_id", "sku", "title", "url", "image_url")],
-                *[("prices", f"{c} required", f"{c} IS NULL") for c in ("listing_id", "price")],
+                *[("stores", f"{c} required", f"{c} IS NULL") for c in ("country_code", "active")],
+                *[(x, f"{c} required", f"{c} IS NULL") for x in ("brands", "categories") for c in ("slug", "name")],
+                *[("listings", f"{c} required", f"{c} IS NULL") for c in ("store_id", "sku", "title", "normalized_title", "url", "needs_review")],
+                *[("prices", f"{c} required", f"{c} IS NULL") for c in ("listing_id", "price", "currency", "available", "captured_at")],
                 ("prices", "price >= 0", "price < 0"),
                 ("prices", "list_price >= 0", "list_price < 0"),
-                *[("runs", f"{c} required", f"{c} IS NULL") for c in ("store_id", "finished_at")],
+                *[
+                    ("runs", f"{c} required", f"{c} IS NULL")
+                    for c in ("store_id", "adapter", "started_at", "status", "products_found", "products_new", "prices_written", "errors")
+                ],
                 ("runs", "status", "status NOT IN ('running', 'completed', 'failed')"),
             ]
         ]
@@ -341,26 +360,34 @@ def _(t):
 @query(
     "n7_audit_matches",
     """SELECT 'listings' AS table_name, 'match_method' AS rule, count(*) FILTER (match_method NOT IN ('barcode', 'attributes')) AS violations FROM resolved
-       UNION ALL SELECT 'listings', 'match_confidence in 0..1', 0 FROM region WHERE r_regionkey = 0""",
+       UNION ALL SELECT 'listings', 'match_confidence in 0..1',
+                        count(*) FILTER (CASE match_method WHEN 'barcode' THEN 1.0 WHEN 'attributes' THEN 0.8 END NOT BETWEEN 0 AND 1) FROM resolved""",
     "resolved",
 )
 def _(t):
     return ing.audit_matches(idn.resolve(delivered(t), t.known_products))
 
 
+def scaled(t):
+    """Priced listings, some of them below the floor and some above the ceiling."""
+    factor = F.when(F.col("listing_id") % 50 == 0, 0.0001).when(F.col("listing_id") % 50 == 1, 1_000_000.0).otherwise(1.0)
+    return cat.priced_listings(t).withColumn("price", (F.col("price") * factor).cast("decimal(18,2)"))
+
+
 RANGES = ing.range_tree(lx.PRICE_FLOOR, lx.PRICE_CEILING, lx.RANGE_DEPTH)
 INNER = {n for n, *_ in RANGES if any(m == 2 * n for m, *_ in RANGES)}
 
 
 @query(
     "n8_price_partitions",
-    f"""WITH ranges(node, depth, lo, hi, final) AS (VALUES {', '.join(f"({n}, {d}, {a}, {b}, {str(n not in INNER).lower()})" for n, d, a, b in RANGES)}),
-       sized AS (SELECT store_id, node, depth, lo, hi, final, count(*) AS n FROM listings JOIN current_prices USING (listing_id)
-                 JOIN ranges ON price BETWEEN lo AND hi GROUP BY ALL)
+    f"""WITH ranges(node, depth, lo, hi, final) AS (VALUES (-1, 0, NULL, {lx.PRICE_FLOOR}, true), (-2, 0, {lx.PRICE_CEILING}, NULL, true), {', '.join(f"({n}, {d}, {a}, {b}, {str(n not in INNER).lower()})" for n, d, a, b in RANGES)}),
+       sized AS (SELECT store_id, node, depth, lo, hi, final, count(*) AS n FROM (SELECT store_id, CAST(price * CASE listing_id % 50 WHEN 0 THEN 0.0001 WHEN 1 THEN 1000000.0 ELSE 1.0 END AS DECIMAL(18,2)) AS price FROM listings JOIN current_prices USING (listing_id))
+                 JOIN ranges ON CASE node WHEN -1 THEN price < hi WHEN -2 THEN price > lo ELSE price BETWEEN lo AND hi END GROUP BY ALL)
        SELECT s.store_id, s.depth, CAST(s.lo AS BIGINT) AS lo, CAST(s.hi AS BIGINT) AS hi, s.n, s.n > 300 AS oversized FROM sized s
        LEFT JOIN sized p ON p.store_id = s.store_id AND p.node = s.node // 2
-       WHERE (s.n <= 300 OR s.final) AND (s.node = 1 OR p.n > 300)""",
+       WHERE (s.n <= 300 OR s.final) AND (s.node <= 1 OR p.n > 300)""",
     "listings", "current_prices",
 )
 def _(t):
-    return ing.price_partitions(cat.priced_listings(t), cap=300)
+    # some prices scaled out of the range at either end
+    return ing.price_partitions(scaled(t), cap=300)
