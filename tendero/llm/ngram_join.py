@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, texts
+from .common import small, staged, texts
 from .hashing import U64, mix, shingle_sets
 
 
@@ -39,6 +39,7 @@ class Settings:
     rows: int = 3
     step: int = 10  # values compared between two looks at the posterior
     tolerance: float = 1e-6
+    broadcast: int = 1_000_000  # ids that may be broadcast (8 bytes each); more are joined by shuffle
     block: int = 400  # members of a block; a cell has two at most
 
     @property
@@ -358,7 +359,8 @@ def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = bands.join(buckets, "key").join(reps.select("rep", "signature"), "rep")
     pairs = staged(proposed(cells_of(members, s), s), "cells")
 
-    needed = pairs.select("rep").distinct()
+    # without the broadcast all texts would cross the network for the few that have partners
+    needed = small(staged(pairs.select("rep").distinct(), "verified-ids"), s.broadcast)
     wanted = texts(docs).select(F.col("doc_id").cast("long").alias("rep"), "text").join(needed, "rep", "left_semi")
     sets = staged(_sets(wanted, s).join(reps.select("rep", "count"), "rep"), "sets")
     sets = sets.dropDuplicates(["rep"])
