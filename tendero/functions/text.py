@@ -43,6 +43,11 @@ def _accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def strip(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def strip_accents(c: Column | str) -> Column:
     source, target = _accent_table()
     return F.translate(F.regexp_replace(_col(c), r"\p{Mn}+", ""), source, target)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as tx
+
 
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -41,8 +43,8 @@ def first_by_sku(rows: DataFrame, order: list[Column]) -> DataFrame:
 def valid_snapshot_rows(rows: DataFrame) -> DataFrame:
     """Lines with a name, a price and a link, trimmed."""
     return (
-        rows.withColumn("name", F.trim("name"))
-        .withColumn("url", F.trim(F.coalesce("url", F.lit(""))))
+        rows.withColumn("name", tx.strip("name"))
+        .withColumn("url", tx.strip(F.coalesce("url", F.lit(""))))
         .filter((F.col("name") != "") & F.col("price").isNotNull() & (F.col("url") != ""))
     )
 
@@ -101,8 +103,8 @@ def daily_last_price(prices: DataFrame) -> DataFrame:
 def daily_last_by_snapshot(rows: DataFrame) -> DataFrame:
     """Last price per (store, url, name, day): later snapshot, then later line, wins."""
     return (
-        rows.withColumn("name", F.trim("name"))
-        .withColumn("url", F.trim(F.coalesce("url", F.lit(""))))
+        rows.withColumn("name", tx.strip("name"))
+        .withColumn("url", tx.strip(F.coalesce("url", F.lit(""))))
         .filter((F.col("name") != "") & F.col("price").isNotNull())
         .groupBy("snapshot_store", "url", "name", F.col("snapshot_day").alias("day"))
         .agg(F.max_by("price", F.struct("snapshot_ts", "line_order")).alias("price"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates, lexicon as lx
+from ..functions import text as tx
 from ..schemas import CATALOG_ENTRY, CATALOG_FILE_ROW, EXPORT_ROW, MATCH, SNAPSHOT_ROW
 
 # A snapshot is a file, or a folder written by Spark, of this name.
@@ -77,20 +78,22 @@ def parse_export(documents: DataFrame, column: str = "value") -> DataFrame:
     wrapped = F.from_json(body, f"products ARRAY<STRUCT<{EXPORT_ROW}>>")["products"]
     bare = F.from_json(body, f"ARRAY<STRUCT<{EXPORT_ROW}>>")
     items = F.when(F.startswith(body, F.lit("[")), bare).otherwise(wrapped)
-    p = documents.select(F.explode(items).alias("p")).select("p.*")
+    # an entry without an id is numbered by its place in the document
+    p = documents.select(F.posexplode(items).alias("place", "p")).select("place", "p.*")
+    own = F.when(F.coalesce("id", F.lit("")).isin("", "0"), F.col("place").cast("string")).otherwise(F.col("id"))
 
     def first_text(*names: str) -> Column:
         return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
 
     return p.select(
-        "id",
-        F.trim(first_text("title", "name")).alias("title"),
-        F.trim("store").alias("store"),
-        F.trim(first_text("store_name", "store")).alias("store_name"),
-        F.trim(F.coalesce(first_text("category"), F.lit(lx.OTHER_CATEGORY))).alias("category"),
+        own.alias("id"),
+        tx.strip(first_text("title", "name")).alias("title"),
+        tx.strip("store").alias("store"),
+        tx.strip(first_text("store_name", "store")).alias("store_name"),
+        tx.strip(F.coalesce(first_text("category"), F.lit(lx.OTHER_CATEGORY))).alias("category"),
         F.coalesce("price", "price_cop").alias("price"),
         first_text("img", "image_url", "image").alias("img"),
-        F.trim(F.coalesce("url", F.lit(""))).alias("url"),
+        tx.strip(F.coalesce("url", F.lit(""))).alias("url"),
         first_text("scraped_date", "updated_at").alias("scraped_date"),
     ).filter((F.col("title") != "") & (F.col("store") != "") & F.col("price").isNotNull())
 

@@ -28,7 +28,8 @@ def flatten_catalog(entries: DataFrame, base_url: str, store_slug: str) -> DataF
         F.explode("items").alias("item"),
     )
     offer = F.get(
-        F.filter("item.sellers", lambda s: s["commertialOffer"].isNotNull()), F.lit(0)
+        # an empty offer counts as none
+        F.filter("item.sellers", lambda s: s["commertialOffer"].isNotNull() & (F.to_json(s["commertialOffer"]) != "{}")), F.lit(0)
     )["commertialOffer"]
     priced = (
         items.withColumn("sku", _present(F.col("item.itemId")))
@@ -81,20 +82,23 @@ def extract_jsonld(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def at(path: str) -> Column:
         value = F.get_json_object("_ld", path)
-        # an empty or zero price in the page counts as absent
-        return F.nullif(F.nullif(value, F.lit("")), F.lit("0"))
+        kind = F.schema_of_variant(F.try_variant_get("_variant", path, "variant"))
+        # an empty text and a zero number count as absent, a text "0" is a price
+        zero = (kind != "STRING") & (F.coalesce(value.try_cast("double"), F.lit(0.0)) == 0)
+        return F.when(~zero, F.nullif(value, F.lit("")))
 
-    image = F.get_json_object("_ld", "$.image")
+    first = F.coalesce(F.get_json_object("_ld", "$.image[0]"), F.get_json_object("_ld", "$.image"))
+    # an image given as an object has no link
+    image = F.when(~F.substring(first, 1, 1).isin("{", "["), first)
     return (
         pages.withColumn("_ld", product)
+        .withColumn("_variant", F.try_parse_json("_ld"))
         .select(
             *pages.columns,
             F.coalesce(
                 at("$.offers.price"), at("$.offers.lowPrice"), at("$.offers.highPrice"),
                 at("$.offers.offers[0].price"), at("$.offers.offers[0].listPrice"),
             ).alias("offer_price"),
-            F.when(F.startswith(image, F.lit("[")), F.get_json_object("_ld", "$.image[0]"))
-            .otherwise(image)
-            .alias("image_url"),
+            image.alias("image_url"),
         )
     )

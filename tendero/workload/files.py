@@ -112,12 +112,12 @@ def _(t):
         F.col("productName").alias("name"),
         F.size("categories").alias("categories"),
         F.size("items").alias("items"),
-        F.expr("filter(items[0].sellers, s -> s.commertialOffer is not null)[0].commertialOffer.Price").alias("price"),
+        F.expr("filter(items[0].sellers, s -> s.commertialOffer.Price is not null)[0].commertialOffer.Price").alias("price"),
     )
 
 
-EXPORT_ITEM = """to_json(named_struct('id', CAST(p_partkey AS STRING), 'title', IF(p_size % 3 = 0, '', p_name), 'name', IF(p_size % 9 = 0, NULL, upper(p_name)),
-    'store', IF(p_size % 10 = 0, ' ', concat(' s', p_size)), 'store_name', IF(p_size % 2 = 0, NULL, p_type), 'category', IF(p_size % 4 = 0, NULL, p_brand),
+EXPORT_ITEM = """to_json(named_struct('id', IF(p_partkey % 11 = 0, NULL, CAST(p_partkey AS STRING)), 'title', IF(p_size % 3 = 0, '', p_name), 'name', IF(p_size % 9 = 0, NULL, upper(p_name)),
+    'store', IF(p_size % 10 = 0, ' \t', concat('\t s', p_size, '\n')), 'store_name', IF(p_size % 2 = 0, NULL, p_type), 'category', IF(p_size % 4 = 0, NULL, p_brand),
     'price', IF(p_size % 5 = 0, NULL, p_retailprice), 'price_cop', IF(p_size % 7 = 0, NULL, p_retailprice + 1), 'img', IF(p_size % 2 = 0, 'a', NULL),
     'image', 'b', 'url', concat('https://shop.example.com/', p_partkey), 'updated_at', '2024-01-01'))"""
 
@@ -125,8 +125,8 @@ EXPORT_ITEM = """to_json(named_struct('id', CAST(p_partkey AS STRING), 'title',
 def documents(t, wrap: str, per_document: int = 200):
     """Parts as JSON documents of at most ``per_document`` products each."""
     number = F.floor(F.col("p_partkey") / per_document)
-    joined = F.array_join(F.collect_list("item"), ",")
-    lists = t.read("part").select(number.alias("d"), F.expr(EXPORT_ITEM).alias("item")).groupBy("d").agg(joined.alias("items"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "item"))), lambda x: x["item"]), ",")
+    lists = t.read("part").select(number.alias("d"), "p_partkey", F.expr(EXPORT_ITEM).alias("item")).groupBy("d").agg(joined.alias("items"))
     if wrap == "mixed":
         bare = F.concat(F.lit("["), "items", F.lit("]"))
         inside = F.concat(F.lit('{"source":"x","products":['), "items", F.lit("]}"))
@@ -138,11 +138,12 @@ def documents(t, wrap: str, per_document: int = 200):
 
 @query(
     "a4_scan_export",
-    """SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 3 = 0 THEN upper(p_name) ELSE p_name END AS title, 's' || p_size AS store,
+    """SELECT CAST(CASE WHEN p_partkey % 11 = 0 THEN place ELSE p_partkey END AS VARCHAR) AS id, CASE WHEN p_size % 3 = 0 THEN upper(p_name) ELSE p_name END AS title, 's' || p_size AS store,
               CASE WHEN p_size % 2 = 0 THEN 's' || p_size ELSE p_type END AS store_name, CASE WHEN p_size % 4 = 0 THEN 'Otros' ELSE p_brand END AS category,
               CASE WHEN p_size % 5 <> 0 THEN p_retailprice ELSE p_retailprice + 1 END AS price, CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS img,
               'https://shop.example.com/' || p_partkey AS url, '2024-01-01' AS scraped_date
-       FROM part WHERE p_size % 9 <> 0 AND p_size % 10 <> 0 AND NOT (p_size % 5 = 0 AND p_size % 7 = 0)""",
+       FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) - 1 AS place FROM part)
+       WHERE p_size % 9 <> 0 AND p_size % 10 <> 0 AND NOT (p_size % 5 = 0 AND p_size % 7 = 0)""",
 )
 def _(t):
     path = staged(t, "exports", text_lines(documents(t, "mixed")))
@@ -151,7 +152,7 @@ def _(t):
 
 @query(
     "a5_scan_wrapped_catalog",
-    """SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS title,
+    """SELECT CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey AS VARCHAR) END AS id, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS title,
               CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS price, 'https://shop.example.com/' || p_partkey AS url FROM part""",
 )
 def _(t):

@@ -223,7 +223,8 @@ ENTRY = """named_struct(
         named_struct('itemId', CAST(p_partkey * 10 AS STRING), 'ean', IF(p_size % 3 = 0, '0', concat('77', lpad(CAST(p_partkey AS STRING), 11, '0'))),
             'nameComplete', concat(p_name, ' ', p_size, '0 ml'), 'name', p_name,
             'images', IF(p_size % 5 = 0, array(), array(named_struct('imageUrl', concat('https://img.example.com/', p_partkey)))),
-            'sellers', array(named_struct('commertialOffer', NULL),
+            'sellers', array(named_struct('commertialOffer', IF(p_size % 2 = 0, NULL, named_struct('Price', CAST(NULL AS DOUBLE), 'ListPrice', CAST(NULL AS DOUBLE),
+                    'AvailableQuantity', CAST(NULL AS INT), 'Teasers', CAST(NULL AS STRING)))),
                 named_struct('commertialOffer', named_struct('Price', IF(p_size % 10 = 0, 0D, p_retailprice), 'ListPrice', p_retailprice + p_size % 3 * 100 - 50,
                     'AvailableQuantity', p_size % 4, 'Teasers', CAST(NULL AS STRING))))),
         named_struct('itemId', IF(p_size % 2 = 0, '', concat(p_partkey * 10 + 1)), 'ean', NULL, 'nameComplete', NULL, 'name', NULL,
@@ -272,20 +273,23 @@ def _(t):
 
 # Product pages: the given pages with a JSON-LD block about the part of the same
 # number put into the head, in the shapes shops use.
-LD_SPARK = """CASE p_size % 5
+LD_SPARK = """CASE p_size % 8
     WHEN 0 THEN concat('{"@type":"Product","image":["https://img.example.com/', p_partkey, '"],"offers":{"price":', p_size, '}}')
     WHEN 1 THEN concat('{"@type":"Product","image":"https://img.example.com/', p_partkey, '","offers":{"lowPrice":"', p_size, '.5"}}')
     WHEN 2 THEN concat('{"@type":"Product","offers":{"price":"","offers":[{"price":', p_size, '},{"price":1}]}}')
     WHEN 3 THEN concat('{"@type":"BreadcrumbList","offers":{"price":', p_size, '}}')
-    ELSE concat('{"@type":"Product","offers":{"offers":[{"listPrice":', p_size, '}]}}') END"""
+    WHEN 4 THEN concat('{"@type":"Product","offers":{"offers":[{"listPrice":', p_size, '}]}}')
+    WHEN 5 THEN concat('{"@type":"Product","image":{"url":"x"},"offers":{"price":"0","lowPrice":', p_size, '}}')
+    WHEN 6 THEN concat('{"@type":"Product","image":[{"url":"x"}],"offers":{"price":0.0,"lowPrice":', p_size, '}}')
+    ELSE concat('{"@type":"Product","image":[],"offers":{"price":0,"lowPrice":"","highPrice":', p_size, '}}') END"""
 OPEN, CLOSE = '<script type="application/ld+json">', "</script>"
 
 
 @query(
     "a8_c14_extract_jsonld",
-    f"""SELECT page_id, CASE p_size % 5 WHEN 0 THEN CAST(nullif(p_size, 0) AS VARCHAR) WHEN 1 THEN p_size || '.5'
-                   WHEN 2 THEN CAST(nullif(p_size, 0) AS VARCHAR) WHEN 4 THEN CAST(nullif(p_size, 0) AS VARCHAR) END AS offer_price,
-               CASE WHEN p_size % 5 IN (0, 1) THEN 'https://img.example.com/' || p_partkey END AS image_url, length(html) AS n
+    f"""SELECT page_id, CASE p_size % 8 WHEN 1 THEN p_size || '.5' WHEN 5 THEN '0' WHEN 3 THEN NULL
+                   ELSE CAST(nullif(p_size, 0) AS VARCHAR) END AS offer_price,
+               CASE WHEN p_size % 8 IN (0, 1) THEN 'https://img.example.com/' || p_partkey END AS image_url, length(html) AS n
         FROM pages LEFT JOIN part ON p_partkey = page_id""",
 )
 def _(t):
