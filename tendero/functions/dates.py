@@ -40,28 +40,20 @@ def years_of(dates: Column) -> Column:
 
 
 def easter(year: Column) -> Column:
-    """Easter Sunday of the Gregorian calendar.
+    """Easter Sunday of the Gregorian calendar, by Gauss's rule of 1816.
 
-    The paschal full moon comes from the golden number and the century's epact
-    corrections; the date is the Sunday after it, counted from 21 March.
+    The century gives two constants, M for the moon and N for the weekday; the full
+    moon is d days after 21 March and Sunday e days after the day that follows. Two
+    corrections keep the date within its bounds.
     """
-    q = lambda a, n: F.floor(a / n).cast("int")
-    century = q(year, 100)
-    moon_shift = q(century - q(century + 8, 25) + 1, 3)
-    moon = F.pmod(
-        F.pmod(year, F.lit(19)) * 19 + century - q(century, 4) - moon_shift + 15, F.lit(30)
-    )
-    weekday = F.pmod(
-        F.lit(32)
-        + F.pmod(century, F.lit(4)) * 2
-        + q(F.pmod(year, F.lit(100)), 4) * 2
-        - moon
-        - F.pmod(F.pmod(year, F.lit(100)), F.lit(4)),
-        F.lit(7),
-    )
-    late = q(F.pmod(year, F.lit(19)) + moon * 11 + weekday * 22, 451)
-    # 22 March plus the days up to the Sunday after the full moon
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), moon + weekday - late * 7)
+    century = F.floor(year / 100)
+    m = F.pmod(15 + century - F.floor(century / 4) - F.floor((13 + 8 * century) / 25), F.lit(30))
+    n = F.pmod(4 + century - F.floor(century / 4), F.lit(7))
+    golden = F.pmod(year, F.lit(19))
+    d = F.pmod(19 * golden + m, F.lit(30))
+    e = F.pmod(2 * F.pmod(year, F.lit(4)) + 4 * F.pmod(year, F.lit(7)) + 6 * d + n, F.lit(7))
+    week_back = (e == 6) & ((d == 29) | ((d == 28) & (golden > 10)))
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), (d + e - F.when(week_back, 7).otherwise(0)).cast("int"))
 
 
 def holidays_of(year: str, sunday: str) -> Column:

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.money import from_cents, is_drop, mean_money
-from ..operators.identity import new_product_id, with_identity
-from ..operators.ingest import bad_rows, good_rows, quarantine
+from ..operators.identity import catalog_keys, new_product_id, resolve, with_identity
+from ..operators.ingest import bad_rows, good_rows, latest_update, quarantine
 
 
 def file_stream(
@@ -137,23 +137,30 @@ def stream_drops(current: DataFrame, ratio: float = lx.DROP_RATIO) -> DataFrame:
 # --- ingest -----------------------------------------------------------------
 
 
-def prepare_listings(observations: DataFrame) -> DataFrame:
-    """Good observations with normalized title, size and their product.
-
-    The product id is a function of the identity key alone, so a stream needs
-    no look at what is stored to link a listing.
-    """
+def normalized(observations: DataFrame) -> DataFrame:
+    """Good observations with normalized title and size."""
     size = tx.parse_quantity("title")
-    shaped = observations.select(
+    return observations.select(
         "*",
         tx.normalize_text("title").alias("normalized_title"),
         size["quantity"].alias("quantity"),
         size["unit"].alias("unit"),
     )
-    identified = with_identity(shaped)
-    return identified.withColumn(
-        "product_id", new_product_id(F.col("identity_kind"), F.col("identity"))
-    )
+
+
+def prepare_listings(observations: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Good observations with normalized title, size and their product.
+
+    Known ``products`` are matched by the identity key as in a batch; for a key that
+    matches none the product id is a function of the key alone, so a stream needs
+    no look at what it has stored to link a listing.
+    """
+    identified = with_identity(normalized(observations))
+    created = new_product_id(F.col("identity_kind"), F.col("identity"))
+    if products is None:
+        return identified.withColumn("product_id", created)
+    known = identified.join(catalog_keys(products), ["identity_kind", "identity"], "left")
+    return known.withColumn("product_id", F.coalesce("known_id", created)).drop("known_id")
 
 
 LISTING_TEXT = [
@@ -178,31 +185,50 @@ def listing_delta(observations: DataFrame) -> DataFrame:
     )
 
 
-def write_ingest_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+def delivery_counts(checked: DataFrame, products: DataFrame | None) -> DataFrame:
+    """Counts of one delivery per store; with known products also the new, matched and
+    unsure listings among the newest observation of each."""
+    counts = checked.groupBy("store_slug").agg(
+        F.count("*").alias("products_found"),
+        F.count_if(F.size("errors") == 0).alias("prices_written"),
+        F.count_if(F.size("errors") > 0).alias("errors"),
+    )
+    if products is None:
+        return counts
+    resolved = resolve(normalized(latest_update(good_rows(checked))), products)
+    matches = resolved.groupBy("store_slug").agg(
+        F.count_if("is_new_product").alias("products_new"),
+        F.count_if(~F.col("needs_review")).alias("matched"),
+        F.count_if("needs_review").alias("needs_review"),
+    )
+    names = ["products_new", "matched", "needs_review"]
+    return counts.join(matches, "store_slug", "left").select(
+        *counts.columns, *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in names]
+    )
+
+
+def write_ingest_batch(batch: DataFrame, path: str, batch_id: int, products: DataFrame | None = None) -> None:
     """Listings, prices, rejected rows and counts of one delivery.
 
     The checked batch is kept while its four outputs are written; blocks lost
     with an executor are read again from the source.
     """
     checked = quarantine(batch).persist()
-    good = prepare_listings(good_rows(checked))
-    write_batch(listing_delta(good), f"{path}/listings", batch_id)
-    prices = good.select(
-        "store_slug", "sku", "price", "list_price", "currency", "available", "teasers", "captured_at"
-    )
-    write_batch(prices, f"{path}/prices", batch_id)
-    write_batch(bad_rows(checked), f"{path}/rejected", batch_id)
-    counts = checked.groupBy("store_slug").agg(
-        F.count("*").alias("products_found"),
-        F.count_if(F.size("errors") == 0).alias("prices_written"),
-        F.count_if(F.size("errors") > 0).alias("errors"),
-    )
-    write_batch(counts, f"{path}/runs", batch_id)
-    checked.unpersist()
+    try:
+        good = prepare_listings(good_rows(checked), products)
+        write_batch(listing_delta(good), f"{path}/listings", batch_id)
+        prices = good.select(
+            "store_slug", "sku", "price", "list_price", "currency", "available", "teasers", "captured_at"
+        )
+        write_batch(prices, f"{path}/prices", batch_id)
+        write_batch(bad_rows(checked), f"{path}/rejected", batch_id)
+        write_batch(delivery_counts(checked, products), f"{path}/runs", batch_id)
+    finally:
+        checked.unpersist()
 
 
-def stream_ingest(observations: DataFrame, path: str, checkpoint: str) -> None:
-    run_batches(observations, lambda batch, n: write_ingest_batch(batch, path, n), checkpoint)
+def stream_ingest(observations: DataFrame, path: str, checkpoint: str, products: DataFrame | None = None) -> None:
+    run_batches(observations, lambda batch, n: write_ingest_batch(batch, path, n, products), checkpoint)
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:

@@ -18,6 +18,16 @@ from .base import CTES, avg2, cents, pct, query
 
 # --- derived tables ---------------------------------------------------------
 
+# Easter Sundays as almanacs list them.
+EASTERS = """
+    1990-04-15 1991-03-31 1992-04-19 1993-04-11 1994-04-03 1995-04-16 1996-04-07 1997-03-30 1998-04-12 1999-04-04
+    2000-04-23 2001-04-15 2002-03-31 2003-04-20 2004-04-11 2005-03-27 2006-04-16 2007-04-08 2008-03-23 2009-04-12
+    2010-04-04 2011-04-24 2012-04-08 2013-03-31 2014-04-20 2015-04-05 2016-03-27 2017-04-16 2018-04-01 2019-04-21
+    2020-04-12 2021-04-04 2022-04-17 2023-04-09 2024-03-31 2025-04-20 2026-04-05 2027-03-28 2028-04-16 2029-04-01
+    2030-04-21 2031-04-13 2032-03-28 2033-04-17 2034-04-09 2035-03-25 2036-04-13 2037-04-05 2038-04-25 2039-04-10
+"""
+EASTER_ROWS = ", ".join(f"({d[:4]}, DATE '{d}')" for d in EASTERS.split())
+
 CTES["series"] = (
     ("snapshot_rows",),
     """SELECT coalesce(nullif(url, ''), name) AS key, scraped_date AS date, price, name, category, store_name, url
@@ -71,10 +81,7 @@ def context_ctes(prefix: str, rows: str, daily: str) -> None:
         (rows, daily, "matches"),
         f"""
         WITH years AS (SELECT DISTINCT CAST(year(day) AS INT) AS y FROM {daily}),
-        moon AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
-        moon2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM moon),
-        moon3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM moon2),
-        easters AS (SELECT y, make_date(y, 3, 22) + CAST(h + l - 7 * ((a + 11 * h + 22 * l) // 451) AS INT) AS easter FROM moon3),
+        easters AS (SELECT y, easter FROM years JOIN (VALUES {EASTER_ROWS}) AS known(y, easter) USING (y)),
         calendar AS (SELECT date, arg_max(label, position) AS label, min(position) AS position
                      FROM ({fixed} UNION ALL {movable}) GROUP BY date),
         heads AS (SELECT rid, max(price) AS highest, arg_max(price, day) AS cur, max(day) AS until FROM {daily} GROUP BY rid),
