@@ -150,9 +150,11 @@ def search(
     # and the names need no prices
     names = tables.products.select(F.col("normalized_name").alias("name"))
     found = matching_names(names, needles, min_sim).withColumnRenamed("name", "normalized_name")
-    rows = products.join(found, "normalized_name")
     if limit is None:
-        return rows
+        return products.join(found, "normalized_name")
+    # products of one name are equally similar: the first of each name are enough for a page
+    products = first_per(products, ["normalized_name"], [F.asc("name"), F.asc("product_id")], offset + limit)
+    rows = products.join(found, "normalized_name")
     order = Window.partitionBy("needle").orderBy(F.desc("similarity"), "name", "product_id")
     return (
         rows.withColumn("place", F.row_number().over(order))
@@ -161,6 +163,16 @@ def search(
     )
 
 
+def search_totals(
+    tables, needles: DataFrame, min_sim: float = lx.SIMILARITY_THRESHOLD, store: str | None = None
+) -> DataFrame:
+    """(needle, total): how many products a search finds, counted by name."""
+    products = product_summary(tables, ProductFilter(store=store)).groupBy("normalized_name").agg(F.count("*").alias("n"))
+    names = tables.products.select(F.col("normalized_name").alias("name"))
+    found = matching_names(names, needles, min_sim).withColumnRenamed("name", "normalized_name")
+    return products.join(found, "normalized_name").groupBy("needle").agg(F.sum("n").alias("total"))
+
+
 def similar_candidates(
     listings: DataFrame, catalog: DataFrame, k: int = lx.CANDIDATES_PER_LISTING,
     min_sim: float = lx.SIMILARITY_THRESHOLD,

@@ -3,11 +3,13 @@
 State that outlives a batch is kept as small per-batch deltas (one row per key
 touched), written under the batch's number: a batch that runs again after a
 failure replaces its own delta, and a batch costs what it touches, not what is
-stored. Readers merge the deltas; ``compact`` folds them into one.
+stored. Readers merge the deltas; ``compact`` folds them into a base, and
+readers take the newest base and the deltas after it.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,8 +116,23 @@ def stream_current(points: DataFrame, path: str, checkpoint: str, key: str = "ke
     )
 
 
+def _base(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The newest fold of deltas, if there is one, and the last batch it holds."""
+    try:
+        folds = spark.read.parquet(f"{path}/base")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, -1
+    last = folds.agg(F.max("upto")).first()[0]
+    return folds.filter(F.col("upto") == last).drop("upto"), last
+
+
 def read_current(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
-    state = merge_deltas(spark.read.parquet(f"{path}/delta"), key)
+    """Current and highest price of every key: the base and the deltas after it."""
+    base, last = _base(spark, path)
+    later = spark.read.parquet(f"{path}/delta").filter(F.col("batch_id") > last).drop("batch_id")
+    state = merge_deltas(later if base is None else base.unionByName(later), key)
     return state.select(
         key,
         F.col("newest.price").alias("price"),
@@ -124,9 +141,20 @@ def read_current(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
     )
 
 
-def compact(spark: SparkSession, path: str, target: str, key: str = "key") -> None:
-    """Fold all deltas into one, in a new folder."""
-    write_batch(merge_deltas(spark.read.parquet(f"{path}/delta"), key), f"{target}/delta", -1)
+def compact(spark: SparkSession, path: str, key: str = "key") -> None:
+    """Fold the base and all deltas so far into a new base beside them.
+
+    Batches that are written meanwhile have higher numbers and stay deltas; readers
+    take the new base as soon as it is there. Folded deltas may be removed later.
+    """
+    deltas = spark.read.parquet(f"{path}/delta")
+    upto = deltas.agg(F.max("batch_id")).first()[0]
+    base, last = _base(spark, path)
+    if upto == last:
+        return
+    later = deltas.filter((F.col("batch_id") > last) & (F.col("batch_id") <= upto)).drop("batch_id")
+    folded = merge_deltas(later if base is None else base.unionByName(later), key)
+    folded.write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
 
 
 def stream_drops(current: DataFrame, ratio: float = lx.DROP_RATIO) -> DataFrame:

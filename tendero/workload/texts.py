@@ -487,6 +487,16 @@ def _(t):
     return rows.select("needle", "product_id", "store_count", "min_price", "max_price", "place")
 
 
+@query(
+    "l2_search_totals",
+    """SELECT f.needle, count(*) AS total FROM found f JOIN products p ON p.normalized_name = f.name
+       WHERE p.product_id IN (SELECT product_id FROM star) GROUP BY f.needle""",
+    "found", "star",
+)
+def _(t):
+    return se.search_totals(t, needles(t))
+
+
 CTES["title_candidates"] = (
     ("listings", "products"),
     f"""SELECT normalized_title, product_id, name, sim, place FROM (

@@ -43,8 +43,10 @@ def test_current_price_over_batches(spark):
     again = spark.read.schema(SCHEMA).parquet(f"{folder}/in/2")
     feeds.write_batch(feeds.price_delta(again), f"{out}/delta", 1)
     assert state(out) == {"a": (90, 200), "b": (49.5, 50)}
-    feeds.compact(spark, out, f"{folder}/compacted")
-    assert state(f"{folder}/compacted") == state(out)
+    before = state(out)
+    feeds.compact(spark, out)
+    feeds.compact(spark, out)
+    assert state(out) == before
 
 
 def test_daily_closes_days_by_watermark(spark):
