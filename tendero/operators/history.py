@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as lx
+from ..functions.dates import parse_date
 from ..functions.money import mean_money, pct
 from ..sources.tables import Tables
 from .catalog import observations
@@ -15,12 +16,16 @@ from .parts import in_parts
 
 
 def series_points(rows: DataFrame) -> DataFrame:
-    """Scraped lines with a price as series points keyed by link, else by name."""
+    """Scraped lines with a price as series points keyed by link, else by name.
+
+    The day is the line's own, else that of its time of scraping, else the file's.
+    """
     blank = F.lit("")
+    scraped = F.col("scraped_at") if "scraped_at" in rows.columns else F.lit(None).cast("string")
     return (
         rows.filter(F.col("price").isNotNull())
         .withColumn("key", F.coalesce(F.nullif("url", blank), F.coalesce("name", blank)))
-        .withColumn("date", F.coalesce("scraped_date", F.to_date("snapshot_ts")))
+        .withColumn("date", F.coalesce("scraped_date", parse_date(scraped), F.to_date("snapshot_ts")))
     )
 
 

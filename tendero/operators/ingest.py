@@ -53,6 +53,17 @@ def prune_by_store(target: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def stale_by_store(target: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows that ``prune_by_store`` drops; ``removed_by_store`` counts them."""
+    covered = current.filter(F.col("store").isNotNull()).select("store").distinct()
+    kept = current.select("store", "id").distinct()
+    return target.join(covered, "store", "left_semi").join(kept, ["store", "id"], "left_anti").select(*target.columns)
+
+
+def removed_by_store(target: DataFrame, current: DataFrame) -> DataFrame:
+    return stale_by_store(target, current).groupBy("store").agg(F.count("*").alias("removed"))
+
+
 def ids_by_store(catalog: DataFrame, most: int = 10_000) -> DataFrame:
     """(store, part, ids[]): each store's ids in arrays of about ``most``.
 

@@ -335,6 +335,15 @@ def _(t):
     return ing.prune_by_store(older_mart(t), catalog(t)).select("id", "store", "price")
 
 
+@query(
+    "b6_removed_by_store",
+    """SELECT store, count(*) AS removed FROM older_mart WHERE store IN (SELECT store FROM mart) AND id NOT IN (SELECT id FROM mart) GROUP BY store""",
+    "older_mart",
+)
+def _(t):
+    return ing.removed_by_store(older_mart(t), catalog(t))
+
+
 @query("j10_ids_by_store", "SELECT DISTINCT store, id FROM mart", "mart")
 def _(t):
     return ing.ids_by_store(catalog(t), 500).select("store", F.explode("ids").alias("id"))

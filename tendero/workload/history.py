@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import lexicon as lx
+from ..functions.money import mean_money
+from ..functions.money import pct as money_pct
 from ..operators import current as cur
 from ..operators import discount as disc
 from ..operators import history as his
@@ -439,6 +441,22 @@ def _(t):
     return days.select("listing_id", F.array_join(years.cast("array<string>"), ",").alias("years"))
 
 
+@query(
+    "j11_math_functions",
+    f"""SELECT key, min(price) AS lowest, max(price) AS highest, {avg2('price')} AS mean,
+              CAST(max(abs(price - 50)) AS DECIMAL(18,2)) AS farthest, {pct('(max(price) - min(price))', 'max(price)')} AS spread_pct
+       FROM points GROUP BY key""",
+    "points",
+)
+def _(t):
+    spread = F.max("price") - F.min("price")
+    return t.points.groupBy("key").agg(
+        F.min("price").alias("lowest"), F.max("price").alias("highest"), mean_money("price").alias("mean"),
+        F.max(F.abs(F.col("price") - 50)).cast("decimal(18,2)").alias("farthest"),
+        money_pct(spread, F.max("price")).alias("spread_pct"),
+    )
+
+
 @query(
     "j8_as_json",
     """SELECT rid AS key, price, coalesce(n, 0) AS points, last_day FROM context_rows
