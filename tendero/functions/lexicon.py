@@ -121,6 +121,13 @@ EASTER_HOLIDAYS = [
     (18, 68, True, "Sagrado Corazón"),
 ]
 
+# Patterns of titles and prices. ``{units}`` stands for the unit words.
+QUANTITY_PATTERN = r"(?<![\p{{L}}\p{{N}}_.])([0-9]+(?:[.,][0-9]+)?)\s*({units})(?![a-z])"
+PACK_PATTERN = r"(?U)\bx\s*([0-9]{1,2})\b|\b([0-9]{1,2})\s*pack\b"
+NUMBER_PATTERN = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+MONEY_PATTERN = r"\$\s*[0-9.]+(?:,[0-9]{2})?"
+PRICE_TEXT_PATTERN = r"\$\s*(?:[0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]{4,})"
+
 # Search and paging.
 SIMILARITY_THRESHOLD = 0.3
 CANDIDATES_PER_LISTING = 5
@@ -135,7 +142,8 @@ BARCODE_CONFIDENCE, ATTRIBUTE_CONFIDENCE = 1.0, 0.8
 MATCH_METHODS = ["barcode", "shared_product_id", "attributes", "similarity", "manual"]
 RUN_STATUSES = ["running", "completed", "failed"]
 
-# Price ranges used to split an oversized source.
+# Price ranges used to split an oversized source. A range is cut at
+# the root of max(its low end, SPLIT_FLOOR) times its high end.
 PRICE_FLOOR, PRICE_CEILING = 1, 100_000_000
 SPLIT_FLOOR = 100
 RANGE_CAP, RANGE_DEPTH = 2500, 6

@@ -77,9 +77,7 @@ def _unit_map(values: dict[str, object]) -> Column:
 def parse_quantity(c: Column | str) -> Column:
     """``struct(quantity DOUBLE, unit STRING)`` of the last content size in a title."""
     units = list(lx.CONTENT_UNITS) + lx.COUNT_UNITS
-    pattern = (
-        r"(?<![\p{L}\p{N}_.])([0-9]+(?:[.,][0-9]+)?)\s*(" + _words(units) + r")(?![a-z])"
-    )
+    pattern = lx.QUANTITY_PATTERN.format(units=_words(units))
     flat = F.lower(strip_accents(c))
     found = F.arrays_zip(
         F.regexp_extract_all(flat, F.lit(pattern), F.lit(1)).alias("amount"),
@@ -98,7 +96,7 @@ def parse_quantity(c: Column | str) -> Column:
 
 def parse_pack_size(c: Column | str) -> Column:
     """Pieces in a pack: 'x6' or '6 pack' within 2..48, otherwise 1."""
-    pattern = r"(?U)\bx\s*([0-9]{1,2})\b|\b([0-9]{1,2})\s*pack\b"
+    pattern = lx.PACK_PATTERN
     flat = F.lower(strip_accents(c))
     digits = F.coalesce(
         F.nullif(F.regexp_extract(flat, pattern, 1), F.lit("")),
@@ -182,8 +180,7 @@ def title_contains(c: Column | str, needle: str) -> Column:
 
 # --- prices written in text -------------------------------------------------
 
-_NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-_MONEY = r"\$\s*[0-9.]+(?:,[0-9]{2})?"
+_NUMBER, _MONEY = lx.NUMBER_PATTERN, lx.MONEY_PATTERN
 
 
 def parse_cop_price(c: Column | str) -> Column:
@@ -230,7 +227,7 @@ def pick_price_text(texts: Column | str) -> Column:
         lambda t: t != "",
     )
     proper = F.filter(
-        trimmed, lambda t: t.rlike(r"\$\s*(?:[0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]{4,})")
+        trimmed, lambda t: t.rlike(lx.PRICE_TEXT_PATTERN)
     )
     any_amount = F.filter(trimmed, lambda t: F.contains(t, F.lit("$")) & t.rlike("[0-9]"))
     return F.coalesce(F.get(proper, F.lit(0)), F.get(any_amount, F.lit(0)))

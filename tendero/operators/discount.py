@@ -156,12 +156,11 @@ def with_signals(facts: DataFrame, calendar: DataFrame, matches: DataFrame) -> D
     """Discount facts with ``signals``: holidays first, then matches.
 
     A holiday counts only in a year in which the listing was observed. The
-    holiday table has one row per calendar day of the observed years, a bound
-    that no amount of prices moves; the match table's size is the planner's to
-    check.
+    holiday table has one row per calendar day of the observed years; its size and
+    that of the match table are the planner's to check.
     """
     near = facts.join(
-        F.broadcast(holiday_signals(calendar)), facts["discount_start"] == F.col("day"), "left"
+        holiday_signals(calendar), facts["discount_start"] == F.col("day"), "left"
     ).drop("day")
     near = near.join(
         match_signals(matches), near["discount_start"] == F.col("day"), "left"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from .current import first_per
 from .search import similar_candidates
 
 LISTING_ORDER = ["store_slug", "sku"]
@@ -104,13 +105,10 @@ def match_attributes(listings: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def seeds(identified: DataFrame) -> DataFrame:
-    """The first listing of every identity key (one row per key, aggregated map-side)."""
-    columns = [c for c in identified.columns if c not in ("identity_kind", "identity")]
-    ordered = [*LISTING_ORDER, *[c for c in columns if c not in LISTING_ORDER]]
-    first = F.min_by(F.struct(*ordered), F.struct(*LISTING_ORDER))
-    return identified.groupBy("identity_kind", "identity").agg(first.alias("s")).select(
-        "identity_kind", "identity", "s.*"
-    )
+    """The first listing of every identity key; each task sends one row per key."""
+    rest = [c for c in identified.columns if c not in ("identity_kind", "identity")]
+    first = first_per(identified, ["identity_kind", "identity"], [F.asc(c) for c in LISTING_ORDER])
+    return first.select("identity_kind", "identity", *[c for c in LISTING_ORDER], *[c for c in rest if c not in LISTING_ORDER])
 
 
 def resolve(listings: DataFrame, catalog: DataFrame) -> DataFrame:

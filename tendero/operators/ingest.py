@@ -412,6 +412,8 @@ def price_partitions(
     Prices below the floor and above the ceiling are in a range of their own with
     one end NULL, which is not split.
     """
+    if depth > 10:
+        raise ValueError("the table of ranges doubles with every level; depth may be 10 at most")
     spark = rows.sparkSession
     tree = range_tree(lo, hi, depth)
     split = {n for n, *_ in tree if 2 * n in {m for m, *_ in tree}}
