@@ -178,26 +178,3 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
 
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(let(F.struct(words.alias("words"), gaps.alias("gaps")), cut))
     return docs.join(spans, F.col("doc_id") == F.col("__hit"), "left").withColumn("text", text).drop("__hit", "__spans")
-
-
-_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
-ORACLE = rf"""
-    WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
-    b AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
-    w AS (
-        SELECT DISTINCT item_id, least(10, len(words)) AS length, words[i:i + least(10, len(words)) - 1] AS win
-        FROM b, unnest(generate_series(1, greatest(1, len(words) - 9))) AS t(i) WHERE len(words) > 0),
-    lengths AS (SELECT DISTINCT length FROM w),
-    p AS (
-        SELECT doc_id, i, length, words[i:i + length - 1] AS win
-        FROM d, lengths, unnest(generate_series(1, len(words) - length + 1)) AS t(i)),
-    h AS (SELECT doc_id, i, p.length, item_id FROM p JOIN w ON p.length = w.length AND p.win = w.win),
-    covered AS (
-        SELECT doc_id, count(DISTINCT k) AS n FROM h, unnest(generate_series(i, i + length - 1)) AS t(k) GROUP BY doc_id),
-    items AS (
-        SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
-        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
-    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
-           sha256(coalesce(listed, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
-    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""

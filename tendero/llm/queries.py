@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, langid, line_dedup, ngram_join, quality, secrets, suffix_dedup, url_filter
+from . import bpe, decontaminate, fingerprints, langid, line_dedup, ngram_join, oracles, quality, secrets, suffix_dedup, url_filter
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +31,7 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@query("op1_suffix_dedup")
+@query("op1_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read(spark, sf_dir, "documents"))
 
@@ -81,11 +81,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), weights)
 
 
-@query("op7_decontaminate", decontaminate.ORACLE)
+@query("op7_decontaminate", oracles.DECONTAMINATE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-@query("op10_ngram_join")
+@query("op10_ngram_join", oracles.NGRAM_JOIN)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
