@@ -15,7 +15,7 @@ from ..operators.catalog import export_rows
 from ..operators.current import daily_last_by_snapshot, first_by_url, lookback, valid_snapshot_rows
 from ..operators.discount import pricing_context
 from ..operators.history import attach_history, collect_history, history_array
-from ..sources.files import latest_snapshots
+from ..sources.files import latest_snapshots, newest_snapshots
 from ..sources.tables import Tables
 
 
@@ -49,7 +49,8 @@ def snapshot_catalog(rows: DataFrame, matches: DataFrame, n: int = lx.HISTORY_SN
     """The catalog of the file path."""
     keys = ["snapshot_store", "url", "name"]
     with_history = attach_history(snapshot_products(rows), snapshot_history(rows, n), keys)
-    years = rows.select(F.year("snapshot_ts").alias("year")).filter(F.col("year").isNotNull())
+    # the histories lie in the days of these snapshots; their list is there already
+    years = newest_snapshots(rows, n).select(F.year("snapshot_ts").alias("year")).filter(F.col("year").isNotNull())
     calendar = holiday_calendar(years)
     return pricing_context(with_history, matches, calendar).drop("name", "snapshot_store")
 
