@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -186,8 +187,8 @@ def unfolded(docs: DataFrame, lists: DataFrame, s: Settings) -> DataFrame:
 
 
 def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, version, items): for each document its stretches that are made of
-    repeated windows, as struct(first, end) of bytes, unordered and overlapping."""
+    """(doc_id, version, items): for each document the maximal stretches of bytes that
+    repeated windows cover, as struct(first, end), in order."""
     every = staged(first_digits(docs, s), "runs")
     # pass 1: grams that occur once take their suffixes along
     together = staged(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
@@ -226,7 +227,14 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         "doc_id", "version", F.col("at").alias("first"), (F.col("at") + s.depth).alias("end")
     )
     every = settled.unionByName(equal_blocks).unionByName(equal_suffixes)
-    return every.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "end")).alias("items"))
+    lists = every.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "end")).alias("items"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            spans = [[{"first": a, "end": b} for a, b in merged(items)] for items in batch["items"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "version": batch["version"], "items": spans})
+
+    return lists.mapInPandas(run, "doc_id long, version long, items array<struct<first: long, end: long>>")
 
 
 def merged(items: list[dict]) -> list[tuple[int, int]]:
@@ -254,7 +262,7 @@ def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             sizes, kept, spans = [], [], []
             for text, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode()
-                cuts = merged(items or [])
+                cuts = [(x["first"], x["end"]) for x in items or []]
                 ends = [0, *(b for _, b in cuts)]
                 starts = [*(a for a, _ in cuts), len(data)]
                 sizes.append(len(data))
