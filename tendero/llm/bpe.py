@@ -29,7 +29,7 @@ from .common import Generations, texts
 # vocabularies define them.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHE_PIECES = 120_000
+CACHE_PIECES = 80_000
 
 
 def byte_letters() -> list[str]:
@@ -92,6 +92,12 @@ class Encoder:
         self.cache = Generations(lambda p: self.piece(" " + p), CACHE_PIECES)
         self.words = Generations(self.merge, 2 * CACHE_PIECES)
 
+    def forget(self) -> None:
+        """Empty the caches: a worker outlives its task, and the next one may need the memory."""
+        for cache in (self.cache, self.words, self.fits):
+            cache.clear()
+        self.cache.old = self.words.old = {}
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of left + right as one text is the pair itself.
 
@@ -220,6 +226,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = np.frombuffer(b"".join(parts), "<i4")
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+        coder.forget()
 
     source = texts(docs)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")

@@ -41,21 +41,22 @@ class Settings:
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)  # by order, from 1
+    words: dict[str, int] = field(default_factory=dict)  # rows of the table
+    grams: list[dict[str, int]] = field(default_factory=list)  # by order, from 1
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # log frequency by language
     settings: Settings = Settings()
 
     def vector(self, word: str) -> np.ndarray:
         """Log frequency of a word in every language."""
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.table[known]
         marked = MARK + word + MARK
         for n in range(min(self.settings.longest, len(marked)), 0, -1):
-            table = self.grams[n - 1]
-            found = [table[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in table]
+            rows = self.grams[n - 1]
+            found = [rows[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in rows]
             if found:
-                return np.mean(found, axis=0)
+                return self.table[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
 
@@ -65,7 +66,7 @@ class Evidence(dict):
     def __init__(self, model: Model, limit: int):
         super().__init__()
         self.model, self.limit = model, limit
-        self.matrix = np.zeros((2 * limit, len(model.languages)))
+        self.matrix = np.zeros((limit // 4, len(model.languages)), np.float32)
 
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self)
@@ -78,7 +79,7 @@ class Evidence(dict):
         if len(self) > self.limit:
             self.clear()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.matrix[rows].sum(axis=0)
+        return self.matrix[rows].sum(axis=0, dtype=np.float64)
 
 
 def words_of(text: str) -> list[str]:
@@ -138,9 +139,10 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text", la
                 yield pd.DataFrame({"lang": name, "item": list(counts.keys()), "n": list(counts.values())})
 
     shape = "lang string, item string, n long"
-    words = (
+    words = staged(
         _sample(training, settings).mapInPandas(count_words, shape)
-        .groupBy("lang", "item").agg(F.sum("n").alias("n")).withColumn("size", F.lit(0))
+        .groupBy("lang", "item").agg(F.sum("n").alias("n")).withColumn("size", F.lit(0)),
+        "language-words",
     )
     grams = (
         words.select("lang", "item", "n").mapInPandas(count_grams, shape)
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text", la
     )
     by = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
     limit = F.when(F.col("size") == 0, settings.words).otherwise(settings.grams)
-    both = words.unionByName(grams)
+    both = staged(words.unionByName(grams), "language-counts")
     totals = both.groupBy("lang", "size").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     top = (
         both.withColumn("r", F.row_number().over(by))
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text", la
     )
     sums = {(r.lang, r.size): (r.total, r.kinds) for r in totals.collect()}
     languages = sorted({k[0] for k in sums})
-    model = Model(languages, {}, [{} for _ in range(longest)], settings)
+    model = Model(languages, {}, [{} for _ in range(longest)], settings=settings)
     if not languages:
         return model
     a = settings.smoothing
@@ -166,13 +168,17 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text", la
         for s in range(longest + 1)
     ]
     place = {name: i for i, name in enumerate(languages)}
-    for r in top.collect():
-        table = model.words if r.size == 0 else model.grams[r.size - 1]
-        vector = table.get(r.item)
-        if vector is None:
-            vector = table[r.item] = floors[r.size].copy()
+    rows = top.collect()
+    size_of: list[int] = []
+    for r in rows:
+        known = model.words if r.size == 0 else model.grams[r.size - 1]
+        if known.setdefault(r.item, len(size_of)) == len(size_of):
+            size_of.append(r.size)
+    model.table = np.array(floors, np.float32)[size_of]
+    for r in rows:
+        known = model.words if r.size == 0 else model.grams[r.size - 1]
         total, kinds = sums[(r.lang, r.size)]
-        vector[place[r.lang]] = np.log((r.n + a) / (total + a * kinds))
+        model.table[known[r.item], place[r.lang]] = np.log((r.n + a) / (total + a * kinds))
     return model
 
 
@@ -186,7 +192,7 @@ def predictor(docs: DataFrame, model: Model):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        evidence = Evidence(m, 150_000)
+        evidence = Evidence(m, 120_000)
         for batch in batches:
             names, scores = [], []
             for text in batch:
