@@ -29,7 +29,7 @@ from .common import Generations, texts
 # vocabularies define them.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHE_PIECES = 80_000
+CACHE_PIECES = 40_000
 
 
 def byte_letters() -> list[str]:
@@ -43,25 +43,28 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def bytes_by_id(file: dict) -> list[bytes]:
+    """The bytes of every token of a vocabulary file; special tokens stand for their text."""
+    byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+    vocab = file["model"]["vocab"]
+    special = {x["content"]: x["id"] for x in file.get("added_tokens", [])}
+    out = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+    for token, i in vocab.items():
+        if token not in special:
+            out[i] = bytes(byte_of[x] for x in token)
+    for token, i in special.items():
+        out[i] = token.encode()
+    return out
+
+
 class Vocabulary:
     """Tokens of a byte-level BPE file: bytes by id, and how each was merged."""
 
     def __init__(self, text: str):
         file = json.loads(text)
-        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
-
-        def raw(token: str) -> bytes:
-            return bytes(byte_of[x] for x in token)
-
         vocab = file["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in file.get("added_tokens", [])}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes: list[bytes] = [b""] * size
-        for token, i in vocab.items():
-            if token not in self.special:
-                self.bytes[i] = raw(token)
-        for token, i in self.special.items():
-            self.bytes[i] = token.encode()
+        self.bytes = bytes_by_id(file)
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         #: rank of a merge and the token it makes, by (left id, right id)
         self.rank: dict[tuple[int, int], int] = {}
@@ -191,9 +194,11 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 def token_bytes(vocabulary: str) -> pa.Array:
+    """Bytes by id; all that decoding needs of a vocabulary."""
     if vocabulary not in _TOKENS:
         _TOKENS.clear()
-        _TOKENS[vocabulary] = pa.array(Vocabulary(vocabulary).bytes, pa.large_binary())
+        file = json.loads(vocabulary)
+        _TOKENS[vocabulary] = pa.array(bytes_by_id(file), pa.large_binary())
     return _TOKENS[vocabulary]
 
 
@@ -227,6 +232,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
         coder.forget()
+        pa.default_memory_pool().release_unused()
 
     source = texts(docs)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -246,6 +252,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             ids = np.asarray(lists.values)[offsets[0] : offsets[-1]]
             decoded = decode_ids(tokens, ids, offsets[1:] - offsets[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
 
     source = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
