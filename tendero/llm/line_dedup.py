@@ -1,22 +1,24 @@
-"""Line dedup with DataFrame operations only: equal lines, and lines one edit apart.
+"""Line dedup with DataFrame operations only: equal lines, and lines a few edits apart.
 
 Every line of at least ``least`` characters that has an equal or near line before
 it, in the order of document id and line number, is removed.
 
-Equal lines meet in one aggregate. For near ones, deletion neighbourhoods: lines
-at an edit distance of one have a deletion variant in common, y without its
-character p equals z without its own (a substitution) or equals z itself. A line
-of n characters has n variants, so two filters come first that lose nothing. One
-edit leaves all but one block of a line intact; only lines that agree with
-another line outside some block go on, with the lines cut into halves first and
-into short blocks then, and variants are made inside that block alone. Equal
-variants are joined by their hash, each line is set against the earliest of its
-group, and the pair is verified by its edit distance.
+Equal lines meet in one aggregate. Near ones meet in patterns: a text with stars,
+each of which stands for one character or none. Two lines are at most k edits apart
+if and only if both fit one pattern of k stars, so all lines of a pattern are near
+each other, and each is set against the earliest. Patterns are narrowed down, and
+no step loses a pair: k edits leave one of k + 1 pieces intact, up to a shift, and
+only lines that share a piece go on; then the stars are known by windows that hold
+them, a line is hashed outside its windows, and windows on which a line agrees with
+an earlier one are cut again, down to single places. Bounds of 1 to k are searched
+in turn, and what a smaller bound removes asks no more for a witness. The pair is
+verified by its edit distance.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +26,25 @@ from pyspark.sql import functions as F
 from .common import small, staged
 
 
+# The patterns of a line grow with the length to this power.
+MOST_EDITS = 3
+
+
 @dataclass(frozen=True)
 class Settings:
     least: int = 10  # characters of a line that is looked at; shorter ones stay
-    edits: int = 1  # 0: equal lines alone
-    block: int = 64  # characters
+    edits: int = 1  # 0: equal lines alone; up to MOST_EDITS
+    block: int = 64  # a search for k edits cuts each window into the (k + 1)th root of this
     broadcast: int = 500_000  # rows of ids that may be broadcast; more are joined by shuffle
 
+    def __post_init__(self):
+        if self.edits not in range(MOST_EDITS + 1):
+            raise ValueError(f"edits must be 0 to {MOST_EDITS}, not {self.edits!r}")
+
+
+# What the registered query and the pipeline take.
+CORPUS = Settings(edits=2)
+
 
 def lines_of(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, version, at, line): the lines looked at; ``version`` tells texts of one id apart."""
@@ -43,94 +57,116 @@ def line_id() -> list[Column]:
     return [F.xxhash64("line").alias("a"), F.xxhash64(F.lit("b"), "line").alias("b")]
 
 
-def block_keys(line: Column, block) -> Column:
-    """Keys of a line outside each of its blocks: array of struct(size, q, key).
+def piece_keys(line: Column, edits: int) -> Column:
+    """Keys of the pieces of a line, of which near lines have one in common.
 
-    ``size`` is the length of the longer line of a pair. A line stands in as the
-    longer or an equally long one, and as the one that lacks a character of block q.
-    ``block`` gives the length of a block for a size.
+    A pattern is as long as the line and its stars that stand for no character
+    (``none``); it is cut into edits + 1 pieces. Before a piece there are
+    ``before`` of those stars, all of them before the last piece.
     """
-
-    def of(size: Column, lacking: int) -> Column:
-        b = block(size)
-        return F.transform(
-            F.sequence(F.lit(0), F.ceil(size / b).cast("int") - 1),
-            lambda q: F.struct(
-                size.alias("size"), q.alias("q"),
-                F.xxhash64(size, q, F.substring(line, F.lit(1), q * b), F.substring(line, (q + 1) * b + 1 - lacking, size)).alias("key"),
-            ),
-        )
-
-    return F.concat(of(F.length(line), 0), of(F.length(line) + 1, 1))
-
-
-def halves(size: Column) -> Column:
-    return F.ceil(size / 2).cast("int")
-
-
-def shared(keys: DataFrame) -> DataFrame:
-    """Keys that two different lines have."""
-    return keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("key")
+    keys = []
+    for none in range(edits + 1):
+        size = F.length(line) + none
+        long = F.ceil(size / (edits + 1)).cast("int")
+        for q in range(edits + 1):
+            for before in [0] if q == 0 else [none] if q == edits else range(none + 1):
+                piece = F.substring(line, q * long + (1 - before), F.greatest(F.least(long, size - q * long), F.lit(0)))
+                keys.append(F.xxhash64(size, F.lit(q), piece))
+    return F.array(*keys)
+
+
+def narrowed(state: DataFrame, text: DataFrame, stars: int, pieces: int) -> DataFrame:
+    """Every window of ``state`` cut into ``pieces``: (a, b, size, wide, stars, key, place, open).
+
+    ``size`` is the length of the pattern, ``stars`` an array of struct(lo, none):
+    where the window of each begins, and 1 for a star without a character. ``key``
+    is the line outside the windows, at the places they leave.
+    """
+    rows = state.withColumn("step", F.ceil(F.col("wide") / pieces).cast("int")).join(text, ["a", "b"])
+    size, step = F.col("size"), F.col("step")
+    cut = F.array(F.array().cast("array<struct<lo: int, none: int>>"))
+
+    def with_star(k: int):
+        star = F.get("stars", F.lit(k))
+        places = F.sequence(star["lo"], F.least(star["lo"] + F.col("wide"), size) - 1, step)
+
+        def add(done: Column) -> Column:
+            last = F.get(done, F.lit(k - 1))["lo"]
+            # in order; two stars are never in one place
+            free = F.filter(places, lambda lo: (lo > last) | ((lo == last) & (step > 1))) if k else places
+            return F.transform(free, lambda lo: F.concat(done, F.array(F.struct(lo.alias("lo"), star["none"].alias("none")))))
+
+        return add
+
+    for k in range(stars):
+        cut = F.flatten(F.transform(cut, with_star(k)))
+    rows = rows.withColumn("cut", F.explode(cut)).drop("stars", "wide").withColumnsRenamed({"cut": "stars", "step": "wide"})
+
+    outside, begin, none = [], F.lit(0), F.lit(0)
+    for k in range(stars + 1):
+        end = F.get("stars", F.lit(k))["lo"] if k < stars else size
+        outside.append(F.substring("line", begin - none + 1, F.greatest(end - begin, F.lit(0))))
+        if k < stars:
+            begin, none = F.least(end + F.col("wide"), size), none + F.get("stars", F.lit(k))["none"]
+    los = [F.get("stars", F.lit(k))["lo"] for k in range(stars)]
+    return rows.select("a", "b", "size", "wide", "stars", F.xxhash64("size", *los, *outside).alias("key"), "place", "open")
+
+
+def witnessed(text: DataFrame, stars: int, s: Settings) -> DataFrame:
+    """(a, b) of the open lines of ``text`` (a, b, line, place, open) that have an
+    earlier line at exactly so many edits."""
+    pieces = max(2, round(s.block ** (1 / (stars + 1))))
+    roles = [F.array(*(F.struct(F.lit(0).alias("lo"), F.lit(x).alias("none")) for x in e)) for e in product((0, 1), repeat=stars)]
+    state = text.select("a", "b", "line", F.explode(F.array(*roles)).alias("stars"))
+    size = F.length("line") + F.aggregate("stars", F.lit(0), lambda n, x: n + x["none"])
+    state = state.select("a", "b", size.alias("size"), size.alias("wide"), "stars")
+    wide = (text.agg(F.max(F.length("line"))).first()[0] or 0) + stars
+    row = F.struct("place", "a", "b")
+    while True:
+        wide = -(-wide // pieces)
+        rows = narrowed(state, text, stars, pieces)
+        groups = rows.groupBy("key").agg(F.min(row).alias("w"), F.max(F.when(F.col("open"), F.col("place"))).alias("last"))
+        # some open line of the group has an earlier one
+        alive = small(staged(groups.filter("last > w.place").select("key", "w"), "alive"), s.broadcast)
+        if wide <= 1:
+            break
+        state = staged(rows.join(alive, "key", "left_semi").select("a", "b", "size", "wide", "stars"), "windows")
+    pairs = rows.filter("open").join(alive, "key").filter("w.place < place")
+    pairs = pairs.select("a", "b", F.col("w.a").alias("wa"), F.col("w.b").alias("wb")).distinct()
+    witness = text.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("line").alias("earlier"))
+    both = pairs.join(text.select("a", "b", "line"), ["a", "b"]).join(witness, ["wa", "wb"])
+    return both.filter(F.levenshtein("line", "earlier", stars).between(0, stars)).select("a", "b").distinct()
 
 
-def near_lines(lines: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of lines that have an earlier line at one edit."""
-    halved = lines.select("a", F.explode("halves").alias("key"))
-    going_on = staged(halved.join(shared(halved), "key").select("a").distinct(), "half-lines")
-    text = lines_of(docs, s).select("doc_id", "version", "at", *line_id(), "line").join(small(going_on, s.broadcast), "a")
+def near_lines(docs: DataFrame, s: Settings) -> DataFrame:
+    """(a, b) of lines that have an earlier line within the edits."""
+    lines = lines_of(docs, s)
+    keys = lines.select(line_id()[0], F.explode(piece_keys(F.col("line"), s.edits)).alias("key"))
+    common = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("key")
+    common = small(staged(common, "common-pieces"), s.broadcast)
+    going_on = small(staged(keys.join(common, "key", "left_semi").select("a").distinct(), "near-ids"), s.broadcast)
     # one row per different line, with its first place
     order = Window.partitionBy("a", "b").orderBy("doc_id", "version", "at")
+    text = lines.select("doc_id", "version", "at", *line_id(), "line").join(going_on, "a")
     text = staged(
         text.withColumn("r", F.row_number().over(order)).filter("r = 1")
         .select("a", "b", "line", F.struct("doc_id", "version", "at").alias("place")),
         "near-lines",
     )
-
-    keys = text.select("a", "b", F.explode(block_keys(F.col("line"), lambda size: F.lit(s.block))).alias("k")).select("a", "b", "k.*")
-    blocks = keys.join(shared(keys), "key").select("a", "b", "size", "q").distinct().join(text, ["a", "b"])
-
-    n = F.length("line")
-    places = F.sequence(F.col("q") * s.block, F.least((F.col("q") + 1) * s.block, n) - 1)
-    without = F.transform(
-        places, lambda p: F.struct(p.alias("p"), F.xxhash64(F.substring("line", F.lit(1), p), F.substring("line", p + 2, n)).alias("v"))
-    )
-    # a line that lacks a character is a variant of the longer one as it is; cut at the same place, to be hashed alike
-    whole = F.transform(
-        F.sequence(F.col("q") * s.block, F.least((F.col("q") + 1) * s.block - 1, n)),
-        lambda p: F.struct((-p - 1).alias("p"), F.xxhash64(F.substring("line", F.lit(1), p), F.substring("line", p + 1, n)).alias("v")),
-    )
-    variants = (
-        blocks.select("a", "b", "place", "size", F.explode(F.when(F.col("size") == n, without).otherwise(whole)).alias("x"))
-        .select("a", "b", "place", "size", "x.p", "x.v").distinct()
-    )
-
-    # the earliest line of each group of equal variants cut at one place, and of each side of the
-    # pairs that differ in length; a group holds different lines with one character in one place free
-    cut = F.when(F.col("p") < 0, -F.col("p") - 1).otherwise(F.col("p"))
-    group = Window.partitionBy("size", "v", "cut")
-    row = F.struct("place", "a", "b")
-    earliest = variants.withColumn("cut", cut).select(
-        "a", "b", "place", "p",
-        F.min(F.when(F.col("p") >= 0, row)).over(group).alias("long"), F.min(F.when(F.col("p") < 0, row)).over(group).alias("short"),
-    )
-    pairs = (
-        earliest.select("a", "b", "place", "p", F.explode(F.array("long", "short")).alias("w"))
-        # two shorter lines of a group are one line
-        .filter("w is not null and w.place < place and not (p < 0 and w.a = a and w.b = b)")
-        .select("a", "b", F.col("w.a").alias("wa"), F.col("w.b").alias("wb")).distinct()
-    )
-    witness = text.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("line").alias("earlier"))
-    both = pairs.join(text.select("a", "b", "line"), ["a", "b"]).join(witness, ["wa", "wb"])
-    return both.filter(F.levenshtein("line", "earlier", 1).between(0, 1)).select("a", "b").distinct()
+    near = staged(witnessed(text.withColumn("open", F.lit(True)), 1, s), "near-1")
+    for stars in range(2, s.edits + 1):
+        known = near.withColumn("known", F.lit(True))
+        state = text.join(known, ["a", "b"], "left").select("a", "b", "line", "place", F.col("known").isNull().alias("open"))
+        near = staged(near.unionByName(witnessed(state, stars, s)), f"near-{stars}")
+    return near
 
 
 def removed_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, version, removed): for documents that lose lines, their numbers from 0."""
-    keys = F.transform(block_keys(F.col("line"), halves), lambda k: k["key"]) if s.edits else F.array().cast("array<bigint>")
-    lines = staged(lines_of(docs, s).select("doc_id", "version", "at", *line_id(), keys.alias("halves")), "lines")
+    lines = staged(lines_of(docs, s).select("doc_id", "version", "at", *line_id()), "lines")
     firsts = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.count("*").alias("n"))
     if s.edits:
-        near = near_lines(lines, docs, s).withColumn("near", F.lit(True))
+        near = near_lines(docs, s).withColumn("near", F.lit(True))
         firsts = firsts.join(near, ["a", "b"], "left")
     else:
         firsts = firsts.withColumn("near", F.lit(None).cast("boolean"))

@@ -72,7 +72,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digests(read(spark, sf_dir, "documents"))
+    return line_dedup.digests(read(spark, sf_dir, "documents"), line_dedup.CORPUS)
 
 
 @query("op9_url_verdicts")

@@ -1,6 +1,7 @@
 """Every operator against a plain version on texts with all kinds of edges."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -348,6 +349,41 @@ def test_line_dedup(spark, lined, s):
     same(got, [(i, *want[i, t]) for i, t in lined])
 
 
+def edits_between(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits,s", [(1, {}), (2, {"block": 16}), (2, {"broadcast": 0}), (3, {})])
+def test_line_dedup_up_to_the_bound(spark, edits, s):
+    rng = random.Random(edits)
+    base = ["".join(rng.choice("abcü ") for _ in range(n)) for n in (10, 11, 12, 13, 24, 41, 90)] + ["ab" * 8, "x" * 12]
+    lines = list(base)
+    for line in base * 3:
+        for _ in range(rng.randint(1, 5)):
+            p, add = rng.randint(0, len(line)), rng.choice(["", "a", "zz", "ü"])
+            line = line[:p] + add + line[p + rng.randint(0, 1) :]
+        lines.append(line)
+    rows = list(enumerate(lines))
+    seen, want = [], []
+    for i, line in rows:
+        near = len(line) >= 10 and any(edits_between(line, x) <= edits for x in seen)
+        want.append((i, 1, int(near), sha("" if near else line)))
+        seen += [line] * (len(line) >= 10)
+    assert 0 < sum(w[2] for w in want) < len(want) - len(base) or edits == 3
+    same(line_dedup.digests(table(spark, rows), line_dedup.Settings(edits=edits, **s)).collect(), want)
+
+
+def test_line_dedup_refuses_other_bounds():
+    for edits in (-1, line_dedup.MOST_EDITS + 1, 1.5):
+        with pytest.raises(ValueError):
+            line_dedup.Settings(edits=edits)
+
+
 def test_line_dedup_keeps_columns(docs, no_docs):
     kept = line_dedup.dedup(docs)
     assert kept.columns == [*docs.columns, "__lines", "__removed"]
