@@ -1,7 +1,8 @@
 """Line dedup with DataFrame operations only: equal lines, and lines a few edits apart.
 
-Every line of at least ``least`` characters that has an equal or near line before
-it, in the order of document id and line number, is removed.
+Every line that has an equal line before it, in the order of document id and line
+number, is removed, and every line of at least ``least`` characters that has a near
+one of as many before it. Empty lines stay, unless ``shortest`` is 0.
 
 Equal lines meet in one aggregate. Near ones meet in patterns: a text with stars,
 each of which stands for one character or none. Two lines are at most k edits apart
@@ -32,7 +33,8 @@ MOST_EDITS = 3
 
 @dataclass(frozen=True)
 class Settings:
-    least: int = 10  # characters of a line that is looked at; shorter ones stay
+    least: int = 10  # characters of a line that near lines are looked for
+    shortest: int | None = None  # characters of a line that equal lines are looked for; None: ``least``
     edits: int = 1  # 0: equal lines alone; up to MOST_EDITS
     block: int = 64  # a search for k edits cuts each window into the (k + 1)th root of this
     broadcast: int = 500_000  # rows of ids that may be broadcast; more are joined by shuffle
@@ -40,16 +42,22 @@ class Settings:
     def __post_init__(self):
         if self.edits not in range(MOST_EDITS + 1):
             raise ValueError(f"edits must be 0 to {MOST_EDITS}, not {self.edits!r}")
+        if self.equal_from > self.least:
+            raise ValueError(f"shortest must be {self.least} at most, not {self.shortest!r}")
+
+    @property
+    def equal_from(self) -> int:
+        return self.least if self.shortest is None else self.shortest
 
 
 # What the registered query and the pipeline take.
-CORPUS = Settings(edits=2)
+CORPUS = Settings(edits=2, shortest=1)
 
 
-def lines_of(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, version, at, line): the lines looked at; ``version`` tells texts of one id apart."""
+def lines_of(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, version, at, line): the lines of so many characters at least; ``version`` tells texts of one id apart."""
     every = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return every.filter(F.length("line") >= s.least)
+    return every.filter(F.length("line") >= least)
 
 
 def line_id() -> list[Column]:
@@ -140,7 +148,7 @@ def witnessed(text: DataFrame, stars: int, s: Settings) -> DataFrame:
 
 def near_lines(docs: DataFrame, s: Settings) -> DataFrame:
     """(a, b) of lines that have an earlier line within the edits."""
-    lines = lines_of(docs, s)
+    lines = lines_of(docs, s.least)
     keys = lines.select(line_id()[0], F.explode(piece_keys(F.col("line"), s.edits)).alias("key"))
     common = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("key")
     common = small(staged(common, "common-pieces"), s.broadcast)
@@ -163,7 +171,7 @@ def near_lines(docs: DataFrame, s: Settings) -> DataFrame:
 
 def removed_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, version, removed): for documents that lose lines, their numbers from 0."""
-    lines = staged(lines_of(docs, s).select("doc_id", "version", "at", *line_id()), "lines")
+    lines = staged(lines_of(docs, s.equal_from).select("doc_id", "version", "at", *line_id()), "lines")
     firsts = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.count("*").alias("n"))
     if s.edits:
         near = near_lines(docs, s).withColumn("near", F.lit(True))
@@ -179,8 +187,7 @@ def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``; all columns stay, and two
     are added last: ``__lines``, the lines there were, and ``__removed``, how many went.
 
-    A null text stays null, without lines; an empty one is an empty line, too short
-    to be looked at. Rows of one id follow each other by a hash of their text; rows
+    A null text stays null, without lines; an empty one is an empty line. Rows of one id follow each other by a hash of their text; rows
     that repeat id and text are one document and lose the same lines. Lines without
     an id come first. An empty table stays empty.
     """

@@ -384,6 +384,14 @@ def test_line_dedup_refuses_other_bounds():
             line_dedup.Settings(edits=edits)
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Les.\n\nAnd.\nLes."), (2, "And.\nAnd\n\n12345678"), (3, "12345678\n12345679\n ")]
+    got = line_dedup.dedup(table(spark, rows), line_dedup.CORPUS).select("doc_id", "text", "__removed").collect()
+    same(got, [(1, "Les.\n\nAnd.", 1), (2, "And\n\n12345678", 1), (3, "12345679\n ", 1)])
+    with pytest.raises(ValueError):
+        line_dedup.Settings(shortest=11)
+
+
 def test_line_dedup_keeps_columns(docs, no_docs):
     kept = line_dedup.dedup(docs)
     assert kept.columns == [*docs.columns, "__lines", "__removed"]

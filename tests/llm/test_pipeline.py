@@ -51,3 +51,20 @@ def test_edges(spark, docs, no_docs):
         assert at.count() > 0, name
     for name, stage in cp.STAGES:
         assert stage(spark, no_docs, SF).count() == 0, name
+
+
+def test_lines_cut_equal_short_lines_and_two_edits(spark):
+    texts = ["Les.\nfirst of many lines", "And.\nLes.\nfirst af many line", "Les.", "And.\n\nAnd"]
+    got = cp.lines(spark, table(spark, list(enumerate(texts))), SF).select("doc_id", "text", "n_chars").collect()
+    assert sorted(map(tuple, got)) == [(0, texts[0], len(texts[0])), (1, "And.", 4), (3, "\nAnd", 4)]
+
+
+def test_stages_after_whole_lines(spark):
+    """What follows the stage lines, on its own output."""
+    bench = [(r.item_id, r.text) for r in read(spark, SF, "benchmark").collect()]
+    docs = cp.lines(spark, read(spark, SF, "documents"), SF).cache()
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    kept = {r.doc_id for r in cp.near_duplicates(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {c for _, c, *_ in plain_ngram_join(rows)}
+    kept = {r.doc_id for r in cp.contamination(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {i for i, *_, hit in plain_decontaminate(rows, bench, 10) if not hit}
