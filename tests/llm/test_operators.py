@@ -482,6 +482,21 @@ def test_posterior_bound_is_the_beta_tail():
         assert tail(m) >= s.tolerance and (m == 0 or tail(m - 1) < s.tolerance)
 
 
+def test_looks_lose_less_than_the_bands():
+    from math import comb
+
+    s = ngram_join.Settings()
+    p, lost, chance = s.threshold, 0.0, {0: 1.0}
+    for least in ngram_join.least_matches(s):
+        after = Counter()
+        for m, q in chance.items():
+            for k in range(s.step + 1):
+                after[m + k] += q * comb(s.step, k) * p**k * (1 - p) ** (s.step - k)
+        lost += sum(q for m, q in after.items() if m < least)
+        chance = {m: q for m, q in after.items() if m >= least}
+    assert lost < 0.1 * (1 - p**s.rows) ** s.bands
+
+
 def test_keep_one(docs, rows, no_docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
