@@ -90,15 +90,20 @@ def has_letter(words: list[str]) -> bool:
     return any(w.isalpha() or any(map(str.isalpha, w)) for w in words)
 
 
+def least_hashes(hashes: DataFrame, n: int, salts: int = 64) -> DataFrame:
+    """The n least different ``h`` of each ``lang``: first of each part of a language,
+    so that no task ranks more than ``salts`` times n of them for a whole one."""
+    parts = Window.partitionBy("lang", "salt").orderBy("h")
+    whole = Window.partitionBy("lang").orderBy("h")
+    first = hashes.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(salts)))
+    first = first.withColumn("r", F.row_number().over(parts)).filter(F.col("r") <= n).select("lang", "h")
+    return first.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= n).select("lang", "h")
+
+
 def _sample(training: DataFrame, settings: Settings) -> DataFrame:
     """At most ``sample_texts`` different texts per language, whole, by least hash."""
     hashed = training.select("lang", "text", F.xxhash64("text").alias("h"))
-    least = Window.partitionBy("lang").orderBy("h")
-    bounds = (
-        hashed.select("lang", "h").distinct()
-        .withColumn("r", F.row_number().over(least)).filter(F.col("r") <= settings.sample_texts)
-        .groupBy("lang").agg(F.max("h").alias("bound"))
-    )
+    bounds = least_hashes(hashed, settings.sample_texts).groupBy("lang").agg(F.max("h").alias("bound"))
     # a row per language, as many as the model has; without the broadcast all texts would be dealt out by language
     bounds = small(staged(bounds, "language-bounds"), settings.languages)
     chosen = hashed.join(bounds, "lang").filter("h <= bound").dropDuplicates(["lang", "h"])

@@ -141,6 +141,15 @@ def test_language_of_held_out_documents(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
 
 
+def test_least_hashes_are_ranked_in_parts(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", "en", "de"]), rng.randint(-500, 500)) for _ in range(900)]
+    got = langid.least_hashes(spark.createDataFrame(rows, "lang string, h long"), 40, 8)
+    want = [(lang, h) for lang in ("en", "de") for h in sorted({h for x, h in rows if x == lang})[:40]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "salt" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_language_backs_off_and_rejects(spark, docs, rows, no_docs):
     model = langid.fit(spark.createDataFrame(
         [("the thing with a thought", "en"), ("der schöne und das ist", "de"), (None, "fr"), ("le", None)], "text string, lang string"
