@@ -39,13 +39,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and byte starts of the words of UTF-8 bytes, parted by ASCII white space."""
-    word = ~_BLANK[data]
+    return word_spans(data, _BLANK)[:2]
+
+
+def word_spans(data: np.ndarray, parting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, byte starts and byte ends of the words of UTF-8 bytes; ``parting`` marks
+    the bytes that stand between words."""
+    word = ~parting[data]
     edge = np.diff(np.concatenate([[False], word, [False]]).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64)), starts
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64)), starts, ends
 
 
 def chunks(texts: list[str]) -> Iterator[list[bytes]]:

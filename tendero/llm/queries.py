@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, langid, line_dedup, ngram_join, oracles, quality, secrets, suffix_dedup, url_filter
+from . import (
+    bpe, collocations, decontaminate, fingerprints, langid, line_dedup, minhash_dedup, ngram_join, oracles, quality, secrets,
+    suffix_dedup, url_filter, whitening,
+)
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +92,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_join", oracles.NGRAM_JOIN)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
+@query("op11_collocations", oracles.COLLOCATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit(vectors))
+
+
+@query("op13_minhash_dedup", oracles.MINHASH_DEDUP)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.digests(read(spark, sf_dir, "documents"))
