@@ -71,21 +71,43 @@ def restrict(df: DataFrame, ids: DataFrame | None = None, stores: DataFrame | No
     return df
 
 
+DAY_FOLDER = "day"  # partition column of prices written by ``append_prices``
+
+
+def _from_day(df: DataFrame, bound: Column, column: str) -> DataFrame:
+    """A lower bound of the stamp as one of the day folders too, where there are any."""
+    foldered = column == "captured_at" and DAY_FOLDER in df.columns
+    return df.filter(F.col(DAY_FOLDER) >= F.to_date(bound)) if foldered else df
+
+
 def between_dates(
     df: DataFrame, lo: date | datetime | str | None = None, hi: date | datetime | str | None = None,
     column: str = "captured_at",
 ) -> DataFrame:
-    """Both ends included."""
+    """Both ends included. Day folders outside the range are not read."""
     if lo is not None:
-        df = df.filter(F.col(column) >= F.lit(lo).cast("timestamp"))
+        bound = F.lit(lo).cast("timestamp")
+        df = _from_day(df.filter(F.col(column) >= bound), bound, column)
     if hi is not None:
-        df = df.filter(F.col(column) <= F.lit(hi).cast("timestamp"))
+        bound = F.lit(hi).cast("timestamp")
+        df = df.filter(F.col(column) <= bound)
+        if column == "captured_at" and DAY_FOLDER in df.columns:
+            df = df.filter(F.col(DAY_FOLDER) <= F.to_date(bound))
     return df
 
 
 def lookback(df: DataFrame, as_of: datetime | str, days: int, column: str = "captured_at") -> DataFrame:
+    """Rows of the days before ``as_of``; older day folders are not read."""
     start = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    return df.filter(F.col(column) >= start)
+    return _from_day(df.filter(F.col(column) >= start), start, column)
+
+
+def on_days(df: DataFrame, days: DataFrame, column: str = "captured_at") -> DataFrame:
+    """Rows whose day is in ``days`` (day). Over day folders the list prunes the scan
+    when the query runs, as it is a semi join on the folder column."""
+    if DAY_FOLDER in df.columns:
+        return df.join(days.select(DAY_FOLDER).distinct(), DAY_FOLDER, "left_semi")
+    return df.join(days.select(F.col(DAY_FOLDER).alias("_day")).distinct(), F.to_date(column) == F.col("_day"), "left_semi")
 
 
 def daily_last_price(prices: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -15,15 +15,17 @@ from ..operators.catalog import export_rows
 from ..operators.current import daily_last_by_snapshot, first_by_url, lookback, valid_snapshot_rows
 from ..operators.discount import pricing_context
 from ..operators.history import attach_history, collect_history, history_array
-from ..sources.files import latest_snapshots, newest_snapshots
+from ..sources.files import chosen_files, latest_snapshots, newest_snapshots, priced_lines, scan_files
 from ..sources.tables import Tables
 
+SNAPSHOT_KEYS = ["snapshot_store", "url", "name"]
 
-def snapshot_products(rows: DataFrame) -> DataFrame:
-    """Catalog rows of the newest snapshot per store: valid, first per link."""
-    newest = first_by_url(valid_snapshot_rows(latest_snapshots(rows, 1)))
+
+def first_products(newest: DataFrame) -> DataFrame:
+    """Catalog rows of the lines of newest snapshots: valid, first per link."""
+    lines = first_by_url(valid_snapshot_rows(newest))
     store = F.trim(F.coalesce("store", F.lit("")))
-    return newest.select(
+    return lines.select(
         tx.stable_id(store, "url").alias("id"),
         F.col("name").alias("title"),
         store.alias("store"),
@@ -39,20 +41,45 @@ def snapshot_products(rows: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_products(rows: DataFrame) -> DataFrame:
+    """Catalog rows of the newest snapshot per store."""
+    return first_products(latest_snapshots(rows, 1))
+
+
+def line_history(lines: DataFrame) -> DataFrame:
+    """Daily history per (store, link, name) over the given snapshot lines."""
+    return collect_history(daily_last_by_snapshot(lines), SNAPSHOT_KEYS)
+
+
 def snapshot_history(rows: DataFrame, n: int = lx.HISTORY_SNAPSHOTS) -> DataFrame:
     """Daily history per (store, link, name) over the newest n snapshots."""
-    daily = daily_last_by_snapshot(latest_snapshots(rows, n))
-    return collect_history(daily, ["snapshot_store", "url", "name"])
+    return line_history(latest_snapshots(rows, n))
+
+
+def _file_catalog(products: DataFrame, history: DataFrame, years: DataFrame, matches: DataFrame) -> DataFrame:
+    """``years`` are those of the snapshots that the histories come from."""
+    with_history = attach_history(products, history, SNAPSHOT_KEYS)
+    return pricing_context(with_history, matches, holiday_calendar(years)).drop("name", "snapshot_store")
 
 
 def snapshot_catalog(rows: DataFrame, matches: DataFrame, n: int = lx.HISTORY_SNAPSHOTS) -> DataFrame:
-    """The catalog of the file path."""
-    keys = ["snapshot_store", "url", "name"]
-    with_history = attach_history(snapshot_products(rows), snapshot_history(rows, n), keys)
+    """The catalog of the file path, from scanned lines."""
     # the histories lie in the days of these snapshots; their list is there already
     years = newest_snapshots(rows, n).select(F.year("snapshot_ts").alias("year")).filter(F.col("year").isNotNull())
-    calendar = holiday_calendar(years)
-    return pricing_context(with_history, matches, calendar).drop("name", "snapshot_store")
+    return _file_catalog(snapshot_products(rows), snapshot_history(rows, n), years, matches)
+
+
+def snapshot_folder_catalog(
+    spark: SparkSession, path: str | list[str], matches: DataFrame, n: int = lx.HISTORY_SNAPSHOTS
+) -> DataFrame:
+    """The catalog of the file path, from a folder of snapshots: the newest one per store
+    is read for the products and the newest n for the histories, older ones never."""
+    chosen = chosen_files(spark, path, n)
+    newest = scan_files(spark, path, [r.path for r in chosen if r.place == 1])
+    lines = scan_files(spark, path, [r.path for r in chosen])
+    days = sorted({r.snapshot_ts.year for r in chosen if r.snapshot_ts})
+    years = spark.range(1).select(F.explode(F.lit(days).cast("array<int>")).alias("year"))
+    return _file_catalog(first_products(priced_lines(newest)), line_history(priced_lines(lines)), years, matches)
 
 
 def table_catalog(

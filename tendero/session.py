@@ -62,3 +62,21 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tendero-")
         spark.conf.set("spark.tendero.localScratch", base)
     return f"{base.rstrip('/')}/tendero/{label}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path itself, as the cluster sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder on the cluster's file system; nothing there is no error."""
+    fs, at = file_system(spark, path)
+    return fs.delete(at, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    fs, at = file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 
 from ..functions import dates, lexicon as lx
 from ..functions import text as tx
+from ..functions.money import money
 from ..schemas import CATALOG_ENTRY, CATALOG_FILE_ROW, EXPORT_ROW, MATCH, SNAPSHOT_ROW
+from ..session import remove
 
 # A snapshot is a file, or a folder written by Spark, of this name.
 SNAPSHOT_NAME = r"([^/_=]+)_([0-9]{8}T[0-9]{6}Z)\.jsonl"
@@ -41,16 +43,78 @@ def scan_snapshots(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ).withColumn("snapshot_day", F.to_date("snapshot_ts"))
 
 
+def priced_lines(lines: DataFrame) -> DataFrame:
+    """Scanned lines with ``price`` and ``list_price`` as money."""
+    return lines.withColumns({"price": money(F.col("price_cop")), "list_price": money(F.col("list_price_cop"))})
+
+
+def list_snapshots(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, length, snapshot_store, snapshot_ts) of snapshot files, by their names.
+
+    No file is opened: only the listing is read, which Spark spreads over tasks
+    for large folders.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.json*")
+        .load(path)
+        .select("path", "length")
+    )
+    return files.select(
+        "*",
+        F.regexp_extract("path", SNAPSHOT_NAME, 1).alias("snapshot_store"),
+        dates.parse_stamp(F.regexp_extract("path", SNAPSHOT_NAME, 2)).alias("snapshot_ts"),
+    )
+
+
+def newest_files(listing: DataFrame, n: int) -> DataFrame:
+    """Listed files of the newest n snapshots per store."""
+    return listing.join(newest_snapshots(listing, n), ["snapshot_store", "snapshot_ts"], "left_semi")
+
+
+def expired_files(listing: DataFrame, keep: int = lx.KEEP_SNAPSHOTS) -> DataFrame:
+    """Listed files of older snapshots than the newest ``keep``; none for 0 or less.
+    A file whose name has no store and stamp is no snapshot and does not expire."""
+    named = listing.filter(F.col("snapshot_ts").isNotNull())
+    if keep <= 0:
+        return named.filter(F.lit(False))
+    return named.join(newest_snapshots(named, keep), ["snapshot_store", "snapshot_ts"], "left_anti")
+
+
+def remove_expired(spark: SparkSession, path: str | list[str], keep: int = lx.KEEP_SNAPSHOTS) -> int:
+    """Remove the files of expired snapshots; the number removed."""
+    return sum(remove(spark, r["path"]) for r in expired_files(list_snapshots(spark, path), keep).select("path").toLocalIterator())
+
+
+def chosen_files(spark: SparkSession, path: str | list[str], n: int) -> list:
+    """(path, snapshot_ts, place) of the files of the newest n snapshots per store, newest
+    first. They come to the driver, which holds the paths of every scan anyway."""
+    listing = list_snapshots(spark, path)
+    keys = ["snapshot_store", "snapshot_ts"]
+    chosen = listing.join(numbered_snapshots(listing).filter(F.col("place") <= n), keys)
+    return chosen.select("path", "snapshot_ts", "place").orderBy("place", "path").collect()
+
+
+def scan_files(spark: SparkSession, path: str | list[str], paths: list[str]) -> DataFrame:
+    """``scan_snapshots`` of these files of ``path``, which may be none."""
+    return scan_snapshots(spark, paths) if paths else scan_snapshots(spark, path).filter(F.lit(False))
+
+
+def scan_newest_snapshots(spark: SparkSession, path: str | list[str], n: int = 1) -> DataFrame:
+    """``scan_snapshots`` of the newest n snapshots per store; no other file is read."""
+    return scan_files(spark, path, [r.path for r in chosen_files(spark, path, n)])
+
+
+def numbered_snapshots(rows: DataFrame) -> DataFrame:
+    """(snapshot_store, snapshot_ts, place): snapshots with their place per store, newest first."""
+    newest_first = Window.partitionBy("snapshot_store").orderBy(F.desc("snapshot_ts"))
+    return rows.select("snapshot_store", "snapshot_ts").distinct().withColumn("place", F.row_number().over(newest_first))
+
+
 def newest_snapshots(rows: DataFrame, n: int) -> DataFrame:
     """(snapshot_store, snapshot_ts) of the newest n snapshots per store."""
-    newest_first = Window.partitionBy("snapshot_store").orderBy(F.desc("snapshot_ts"))
-    return (
-        rows.select("snapshot_store", "snapshot_ts")
-        .distinct()
-        .withColumn("_place", F.row_number().over(newest_first))
-        .filter(F.col("_place") <= n)
-        .drop("_place")
-    )
+    return numbered_snapshots(rows).filter(F.col("place") <= n).drop("place")
 
 
 def latest_snapshots(rows: DataFrame, n: int = 1) -> DataFrame:

@@ -83,14 +83,19 @@ def write_history_json(export: DataFrame, points: DataFrame, path: str, scanned:
     header.write.mode("errorifexists").json(f"{path}/header")
 
 
-def append_prices(prices: DataFrame, path: str, day: str = "captured_at") -> None:
+def append_prices(prices: DataFrame, path: str, day: str = "captured_at", batch: int | None = None) -> None:
     """Append observations, one folder per day.
 
     Rows are rebalanced by day: AQE splits a day that holds a large share of
-    the rows over many tasks and packs small days together.
+    the rows over many tasks and packs small days together. With a ``batch``
+    number the rows lie under it, and the same batch written again replaces
+    what it wrote before, so that a retry stores nothing twice.
     """
-    dated = prices.withColumn("day", F.to_date(day))
-    dated.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    dated = prices.withColumn("day", F.to_date(day)).hint("rebalance", "day")
+    if batch is None:
+        dated.write.mode("append").partitionBy("day").parquet(path)
+    else:
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
 
 
 def write_snapshots(rows: DataFrame, path: str) -> None:

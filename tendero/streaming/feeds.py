@@ -3,14 +3,17 @@
 State that outlives a batch is kept as small per-batch deltas (one row per key
 touched), written under the batch's number: a batch that runs again after a
 failure replaces its own delta, and a batch costs what it touches, not what is
-stored. Readers merge the deltas; ``compact`` folds them into a base, and
-readers take the newest base and the deltas after it.
+stored. Readers merge the deltas; every so many batches they are folded into a
+base, readers take the newest base and the deltas after it, and what two bases
+cover is removed.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +22,9 @@ from ..functions import text as tx
 from ..functions.money import from_cents, is_drop, mean_money
 from ..operators.identity import catalog_keys, new_product_id, resolve, with_identity
 from ..operators.ingest import bad_rows, good_rows, latest_update, quarantine
+from ..session import children, remove
+
+FOLD_EVERY = 16  # batches between two bases
 
 
 def file_stream(
@@ -95,6 +101,61 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+@dataclass(frozen=True)
+class Deltas:
+    """Per-batch deltas in ``deltas`` and their folds in ``bases``; ``merge`` makes one
+    row per key of any number of them, in any order."""
+
+    deltas: str
+    bases: str
+    merge: Callable[[DataFrame], DataFrame]
+
+    def _numbers(self, spark: SparkSession, path: str, name: str) -> list[int]:
+        there = [int(c.split("=")[1]) for c in children(spark, path) if c.startswith(f"{name}=")]
+        return sorted(n for n in there if "_SUCCESS" in children(spark, f"{path}/{name}={n}"))
+
+    def _parts(self, spark: SparkSession, before: int | None) -> tuple[list[str], int]:
+        """The folders that hold the state of all batches (below ``before``), and the newest
+        batch among them. A base that holds later batches does not count."""
+        fine = [n for n in self._numbers(spark, self.bases, "upto") if before is None or n < before]
+        base = max(fine, default=-1)
+        later = [n for n in self._numbers(spark, self.deltas, "batch_id") if n > base and (before is None or n < before)]
+        paths = [f"{self.bases}/upto={base}"] if base >= 0 else []
+        return paths + [f"{self.deltas}/batch_id={n}" for n in later], max([base, *later])
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        write_batch(df, self.deltas, batch_id)
+
+    def state(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """One row per key after all batches, or after those below ``before``; None without any."""
+        paths, _ = self._parts(spark, before)
+        return self.merge(spark.read.parquet(*paths)) if paths else None
+
+    def compact(self, spark: SparkSession, before: int | None = None) -> None:
+        """Fold all batches (below ``before``) into a new base, and remove what the base
+        before it covers: a reader that took that one still finds all it needs."""
+        paths, upto = self._parts(spark, before)
+        bases = self._numbers(spark, self.bases, "upto")
+        if len(paths) < 2 and (upto in bases or not paths):
+            return
+        self.merge(spark.read.parquet(*paths)).write.mode("overwrite").parquet(f"{self.bases}/upto={upto}")
+        previous = max((n for n in bases if n < upto), default=None)
+        if previous is not None:
+            for n in self._numbers(spark, self.deltas, "batch_id"):
+                if n <= previous:
+                    remove(spark, f"{self.deltas}/batch_id={n}")
+            for n in bases:
+                if n < previous:
+                    remove(spark, f"{self.bases}/upto={n}")
+
+    def compact_if_due(self, spark: SparkSession, batch_id: int, every: int | None) -> None:
+        """Fold the batches below this one, which may run again, once ``every`` lie beyond
+        the newest base. None: never."""
+        paths, _ = self._parts(spark, batch_id)
+        if every is not None and sum("/batch_id=" in p for p in paths) >= every:
+            self.compact(spark, batch_id)
+
+
 # --- current price and drops ------------------------------------------------
 
 
@@ -109,30 +170,26 @@ def merge_deltas(deltas: DataFrame, key: str = "key") -> DataFrame:
     return deltas.groupBy(key).agg(F.max("newest").alias("newest"), F.max("highest").alias("highest"))
 
 
-def stream_current(points: DataFrame, path: str, checkpoint: str, key: str = "key") -> None:
+def price_deltas(path: str, key: str = "key") -> Deltas:
+    return Deltas(f"{path}/delta", f"{path}/base", lambda rows: merge_deltas(rows, key))
+
+
+def stream_current(points: DataFrame, path: str, checkpoint: str, key: str = "key", fold_every: int | None = FOLD_EVERY) -> None:
     """Maintain the current and the highest price of every key."""
-    run_batches(
-        points, lambda batch, batch_id: write_batch(price_delta(batch, key), f"{path}/delta", batch_id), checkpoint
-    )
+    deltas = price_deltas(path, key)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        deltas.write(price_delta(batch, key), batch_id)
+        deltas.compact_if_due(batch.sparkSession, batch_id, fold_every)
 
-def _base(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    """The newest fold of deltas, if there is one, and the last batch it holds."""
-    try:
-        folds = spark.read.parquet(f"{path}/base")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None, -1
-    last = folds.agg(F.max("upto")).first()[0]
-    return folds.filter(F.col("upto") == last).drop("upto"), last
+    run_batches(points, write, checkpoint)
 
 
 def read_current(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
     """Current and highest price of every key: the base and the deltas after it."""
-    base, last = _base(spark, path)
-    later = spark.read.parquet(f"{path}/delta").filter(F.col("batch_id") > last).drop("batch_id")
-    state = merge_deltas(later if base is None else base.unionByName(later), key)
+    state = price_deltas(path, key).state(spark)
+    if state is None:
+        raise ValueError(f"no batch in {path}")
     return state.select(
         key,
         F.col("newest.price").alias("price"),
@@ -142,19 +199,8 @@ def read_current(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, key: str = "key") -> None:
-    """Fold the base and all deltas so far into a new base beside them.
-
-    Batches that are written meanwhile have higher numbers and stay deltas; readers
-    take the new base as soon as it is there. Folded deltas may be removed later.
-    """
-    deltas = spark.read.parquet(f"{path}/delta")
-    upto = deltas.agg(F.max("batch_id")).first()[0]
-    base, last = _base(spark, path)
-    if upto == last:
-        return
-    later = deltas.filter((F.col("batch_id") > last) & (F.col("batch_id") <= upto)).drop("batch_id")
-    folded = merge_deltas(later if base is None else base.unionByName(later), key)
-    folded.write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
+    """Fold the base and all deltas so far into a new base; the stream must not run."""
+    price_deltas(path, key).compact(spark)
 
 
 def stream_drops(current: DataFrame, ratio: float = lx.DROP_RATIO) -> DataFrame:
@@ -162,6 +208,57 @@ def stream_drops(current: DataFrame, ratio: float = lx.DROP_RATIO) -> DataFrame:
     return current.filter(is_drop(F.col("price"), F.col("highest"), ratio))
 
 
+def crossings(
+    points: DataFrame, state: DataFrame | None = None, key: str = "key", ratio: float = lx.DROP_RATIO, slot: str = "hour"
+) -> DataFrame:
+    """(key, ts, event_id, price, highest): the points at which a key's current price comes
+    to lie below ``ratio`` of the highest seen; none while it stays there.
+
+    Points follow each other by stamp after what ``state`` (key, newest, highest) has
+    seen. A late point does not become the current price, but may raise the highest
+    and so bring the crossing about; ``price`` is the current one. Points without a
+    price do not count. A key is cut into slots of time that carry on from each
+    other, so that no task sorts all points of a key.
+    """
+    at = F.struct("ts", "event_id", "price")
+    slotted = points.filter(F.col("price").isNotNull()).select(key, "ts", "event_id", "price", F.date_trunc(slot, "ts").alias("_slot"))
+    slots = slotted.groupBy(key, "_slot").agg(F.max(at).alias("newest"), F.max("price").alias("highest"))
+    known = slots if state is None else slots.unionByName(
+        state.join(slots.select(key).distinct(), key, "left_semi").select(key, F.lit(None).cast("timestamp").alias("_slot"), "newest", "highest")
+    )
+    before = Window.partitionBy(key).orderBy(F.asc_nulls_first("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = known.select(key, "_slot", F.max("newest").over(before).alias("_newest"), F.max("highest").over(before).alias("_highest"))
+    inside = Window.partitionBy(key, "_slot").orderBy("ts", "event_id", "price")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = (
+        slotted.join(carried.filter(F.col("_slot").isNotNull()), [key, "_slot"])
+        .withColumn("current", F.greatest("_newest", F.max(at).over(so_far)))
+        .withColumn("highest", F.greatest("_highest", F.max("price").over(so_far)))
+    )
+    below = running.withColumn("_below", is_drop(F.col("current.price"), F.col("highest"), ratio))
+    carried_below = F.coalesce(is_drop(F.col("_newest.price"), F.col("_highest"), ratio), F.lit(False))
+    was = F.coalesce(F.lag("_below").over(inside), carried_below)
+    crossed = below.withColumn("_was", was).filter(F.col("_below") & ~F.col("_was"))
+    return crossed.select(key, "ts", "event_id", F.col("current.price").alias("price"), "highest")
+
+
+def stream_alerts(
+    points: DataFrame, path: str, checkpoint: str, key: str = "key", ratio: float = lx.DROP_RATIO, fold_every: int | None = FOLD_EVERY
+) -> None:
+    """Maintain the current prices as ``stream_current`` does, and write an alert under
+    ``alerts`` whenever a key crosses the ratio. A batch that runs again starts from
+    the state before it and replaces its own alerts."""
+    deltas = price_deltas(path, key)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        write_batch(crossings(batch, deltas.state(spark, batch_id), key, ratio), f"{path}/alerts", batch_id)
+        deltas.write(price_delta(batch, key), batch_id)
+        deltas.compact_if_due(spark, batch_id, fold_every)
+
+    run_batches(points, write, checkpoint)
+
+
 # --- ingest -----------------------------------------------------------------
 
 
@@ -235,7 +332,20 @@ def delivery_counts(checked: DataFrame, products: DataFrame | None) -> DataFrame
     )
 
 
-def write_ingest_batch(batch: DataFrame, path: str, batch_id: int, products: DataFrame | None = None) -> None:
+def merge_listing_deltas(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("store_slug", "sku").agg(
+        *[F.max(c).alias(c) for c in ("newest", "image_url", "barcode")],
+        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
+    )
+
+
+def listing_deltas(path: str) -> Deltas:
+    return Deltas(f"{path}/listings", f"{path}/listings-base", merge_listing_deltas)
+
+
+def write_ingest_batch(
+    batch: DataFrame, path: str, batch_id: int, products: DataFrame | None = None, fold_every: int | None = FOLD_EVERY
+) -> None:
     """Listings, prices, rejected rows and counts of one delivery.
 
     The checked batch is kept while its four outputs are written; blocks lost
@@ -244,28 +354,30 @@ def write_ingest_batch(batch: DataFrame, path: str, batch_id: int, products: Dat
     checked = quarantine(batch).persist()
     try:
         good = prepare_listings(good_rows(checked), products)
-        write_batch(listing_delta(good), f"{path}/listings", batch_id)
+        listings = listing_deltas(path)
+        listings.write(listing_delta(good), batch_id)
         prices = good.select(
             "store_slug", "sku", "price", "list_price", "currency", "available", "teasers", "captured_at"
         )
         write_batch(prices, f"{path}/prices", batch_id)
         write_batch(bad_rows(checked), f"{path}/rejected", batch_id)
         write_batch(delivery_counts(checked, products), f"{path}/runs", batch_id)
+        listings.compact_if_due(batch.sparkSession, batch_id, fold_every)
     finally:
         checked.unpersist()
 
 
-def stream_ingest(observations: DataFrame, path: str, checkpoint: str, products: DataFrame | None = None) -> None:
-    run_batches(observations, lambda batch, n: write_ingest_batch(batch, path, n, products), checkpoint)
+def stream_ingest(
+    observations: DataFrame, path: str, checkpoint: str, products: DataFrame | None = None, fold_every: int | None = FOLD_EVERY
+) -> None:
+    run_batches(observations, lambda batch, n: write_ingest_batch(batch, path, n, products, fold_every), checkpoint)
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """Listings over all deliveries."""
-    rows = spark.read.parquet(f"{path}/listings")
-    merged = rows.groupBy("store_slug", "sku").agg(
-        *[F.max(c).alias(c) for c in ("newest", "image_url", "barcode", "last_seen_at")],
-        F.min("first_seen_at").alias("first_seen_at"),
-    )
+    merged = listing_deltas(path).state(spark)
+    if merged is None:
+        raise ValueError(f"no delivery in {path}")
     return merged.select(
         "store_slug", "sku",
         *[F.col(f"newest.{c}").alias(c) for c in LISTING_TEXT if c != "captured_at"],

@@ -12,26 +12,13 @@ from ..operators import history as his
 from ..operators import ingest as ing
 from ..plans import exports
 from ..schemas import CATALOG_FILE_ROW
-from ..session import scratch_dir
-from ..sources import files, sinks
+from ..sources import files, keyed as tables, sinks
 from ..sources.tables import Tables
 from .base import CTES, query
+from .staging import snapshot_folder, staged
 from .texts import ENTRY
 
 AS_OF = "2001-08-01 00:00:00"
-_STAGED: dict[tuple, str] = {}
-
-
-def staged(t, label: str, write) -> str:
-    """Path of something derived from the given tables, written once per session."""
-    key = (t.spark.sparkContext.applicationId, t.directory, label)
-    if key not in _STAGED:
-        path = scratch_dir(t.spark, label)
-        write(path)
-        _STAGED[key] = path
-    return _STAGED[key]
-
-
 def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
@@ -44,8 +31,7 @@ def text_lines(df):
 
 
 def snapshot_files(t):
-    path = staged(t, "snapshots", lambda p: sinks.write_snapshots(t.snapshot_rows, p))
-    return files.scan_snapshots(t.spark, path)
+    return files.scan_snapshots(t.spark, snapshot_folder(t))
 
 
 @query(
@@ -98,6 +84,26 @@ def _(t):
     )
 
 
+@query("a2_newest_snapshot_files", LATEST.replace(", line_order FROM", " FROM"), "snapshot_rows")
+def _(t):
+    """As a2_latest_snapshots, from written snapshots: only the chosen files are read."""
+    rows = files.priced_lines(files.scan_newest_snapshots(t.spark, snapshot_folder(t), 3))
+    return rows.select("snapshot_store", "snapshot_day", "url", "name", "price")
+
+
+@query(
+    "b8_expired_snapshot_files",
+    """SELECT snapshot_store, snapshot_day FROM (
+           SELECT DISTINCT snapshot_store, snapshot_day FROM snapshot_rows)
+       QUALIFY dense_rank() OVER (PARTITION BY snapshot_store ORDER BY snapshot_day DESC) > 5""",
+    "snapshot_rows",
+)
+def _(t):
+    """Snapshots that a retention of five would remove, by their names alone."""
+    expired = files.expired_files(files.list_snapshots(t.spark, snapshot_folder(t)), 5)
+    return expired.select("snapshot_store", F.to_date("snapshot_ts").alias("snapshot_day")).distinct()
+
+
 @query(
     "a3_scan_catalog_json",
     """SELECT CAST(p_partkey AS VARCHAR) AS product, p_name AS name, CASE WHEN p_size % 8 = 0 THEN 0 ELSE 2 END AS categories, 2 AS items,
@@ -312,6 +318,25 @@ def _(t):
     return ing.upsert(older_mart(t), catalog(t), ["id"]).select("id", "store", "price")
 
 
+def keyed(t, label: str, rows, key: list[str], updates, merge) -> str:
+    def write(path: str) -> None:
+        tables.write_keyed(rows(t), path, key)
+        tables.merge_keyed(t.spark, path, updates(t), merge, 1)
+
+    return staged(t, label, write)
+
+
+@query(
+    "b4_upsert_key_folders",
+    """SELECT id, store, price FROM mart UNION ALL SELECT id, store, price FROM older_mart WHERE id NOT IN (SELECT id FROM mart)""",
+    "older_mart",
+)
+def _(t):
+    """As b4_upsert, into a table of key folders."""
+    path = keyed(t, "mart-folders", older_mart, ["id"], catalog, lambda old, new: ing.upsert(old, new, ["id"]))
+    return tables.read_keyed(t.spark, path).select("id", "store", "price")
+
+
 @query("b5_prune_global", "SELECT id, store, price FROM older_mart WHERE id IN (SELECT id FROM mart)", "older_mart")
 def _(t):
     return ing.prune_global(older_mart(t), catalog(t)).select("id", "store", "price")
@@ -368,6 +393,58 @@ def _(t):
     )
 
 
+def price_points(t):
+    return t.points.select(F.col("key").alias("listing_id"), "event_id", "price", F.col("ts").alias("captured_at"))
+
+
+def price_folder(t) -> str:
+    """Prices in two batches, the second one delivered three times."""
+
+    def write(path: str) -> None:
+        rows = price_points(t)
+        sinks.append_prices(rows.filter("event_id % 3 = 0"), path, batch=0)
+        for _ in range(3):
+            sinks.append_prices(rows.filter("event_id % 3 <> 0"), path, batch=1)
+
+    return staged(t, "price-batches", write)
+
+
+@query(
+    "b7_n6_append_batch_once",
+    "SELECT date AS day, count(*) AS rows, CAST(sum(price) AS DECIMAL(18,2)) AS total FROM points GROUP BY date",
+    "points",
+)
+def _(t):
+    written = t.spark.read.parquet(price_folder(t))
+    return written.groupBy("day").agg(F.count("*").alias("rows"), F.sum("price").cast("decimal(18,2)").alias("total"))
+
+
+@query(
+    "d9_lookback_day_folders",
+    """SELECT key AS listing_id, event_id, price FROM points
+       WHERE ts >= (SELECT max(ts) FROM points) - INTERVAL 7 DAY""",
+    "points",
+)
+def _(t):
+    """The last week of prices; older day folders are not read."""
+    newest = t.points.agg(F.max("ts")).first()[0]
+    return cur.lookback(t.spark.read.parquet(price_folder(t)), newest, 7).select("listing_id", "event_id", "price")
+
+
+@query(
+    "d9_prices_on_busy_days",
+    """SELECT key AS listing_id, event_id, price FROM points SEMI JOIN (
+           SELECT date FROM points GROUP BY date HAVING count(*) > (SELECT count(*) / count(DISTINCT date) FROM points)) USING (date)""",
+    "points",
+)
+def _(t):
+    """Prices of days with more points than the mean: the days prune the scan at run time."""
+    days = t.points.groupBy(F.col("date").alias("day")).agg(F.count("*").alias("n"))
+    mean = t.points.agg(F.count("*") / F.count_distinct("date")).first()[0]
+    busy = days.filter(F.col("n") > F.lit(mean)).select("day")
+    return cur.on_days(t.spark.read.parquet(price_folder(t)), busy).select("listing_id", "event_id", "price")
+
+
 @query(
     "b9_to_mart_rows",
     """SELECT CASE WHEN p_size % 3 = 0 THEN p_type || '-' || p_partkey ELSE 'id' || p_partkey END AS id, p_type AS store, title, p_retailprice AS price,

@@ -16,7 +16,8 @@ from ..operators import history as his
 from ..operators.catalog import observations
 from ..plans import exports
 from ..sources.sinks import csv_rows
-from .base import CTES, avg2, cents, pct, query
+from .base import CTES, ORACLES, avg2, cents, pct, query
+from .staging import snapshot_folder
 
 # --- derived tables ---------------------------------------------------------
 
@@ -515,6 +516,17 @@ def _(t):
     )
 
 
+@query(
+    "q1_snapshot_folder_catalog",
+    f"SELECT * REPLACE (CAST(scraped_date AS VARCHAR) AS scraped_date) FROM ({ORACLES['q1_snapshot_catalog']})",
+)
+def _(t):
+    """As q1_snapshot_catalog, from written snapshots: only the newest ones are read."""
+    return exports.snapshot_folder_catalog(t.spark, snapshot_folder(t), t.matches).select(
+        *Q_COLUMNS.split(", "), history_text("history").alias("history"), *context_columns()
+    )
+
+
 CTES["table_rows"] = (
     ("export_rows",),
     "SELECT listing_id AS rid, price, CASE WHEN list_price > price THEN list_price END AS list_price FROM export_rows",

@@ -9,8 +9,10 @@ from ..functions import text as tx
 from ..operators import catalog as cat
 from ..operators import identity as idn
 from ..operators import ingest as ing
+from ..sources import keyed
 from ..streaming.feeds import prepare_listings
-from .base import CTES, cents, norm, query, slug
+from .base import CTES, ORACLES, cents, norm, query, slug
+from .staging import staged
 
 AS_OF = "2002-01-01"
 CUT = "1999-01-01"
@@ -216,6 +218,25 @@ def _(t):
     )
 
 
+@query("n1_merge_key_folders", f"SELECT * EXCLUDE (inserted) FROM ({ORACLES['n1_merge_listings']})")
+def _(t):
+    """As n1_merge_listings, into a table of key folders; the delivery comes in twice."""
+
+    def merge(old, new):
+        return ing.merge_listings(old, new, F.lit(AS_OF).cast("timestamp"))
+
+    def write(path: str) -> None:
+        keyed.write_keyed(stored(t), path, ing.LISTING_KEY)
+        for _ in range(2):
+            keyed.merge_keyed(t.spark, path, updates(t), merge, 1)
+
+    return keyed.read_keyed(t.spark, staged(t, "listing-folders", write)).select(
+        "store_slug", "sku", "title", "image_url", "barcode", "store_product_id",
+        F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_seen_at").alias("last_seen"),
+        "product_id", "match_method",
+    )
+
+
 @query(
     "n2_link_listings",
     f"""SELECT s.store_slug, s.sku, s.title,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -15,7 +16,10 @@ TABLES = (
 
 
 def duck(sf_dir: str):
-    con = duckdb.connect()
+    """A connection of its own: one that a fatal error invalidates takes no other down.
+    Large results spill to a temporary folder instead of failing."""
+    folder = tempfile.mkdtemp(prefix="tendero-duck-")
+    con = duckdb.connect(config={"memory_limit": "6GB", "temp_directory": folder, "threads": 4})
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
@@ -69,7 +73,7 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
-    con, sqls, bad = duck(sf_dir), oracle_sql(), []
+    sqls, bad = oracle_sql(), []
     for name, build in queries().items():
         if len(args) > 1 and not any(name.startswith(a) for a in args[1:]):
             continue
@@ -78,7 +82,8 @@ def main() -> int:
             df = build(spark, sf_dir)
             if name in sqls:
                 times = []
-                problem = compare(df, con, sqls[name], times)
+                with duck(sf_dir) as con:
+                    problem = compare(df, con, sqls[name], times)
                 n = f"spark {times[0]:.2f}s"
             else:
                 n, problem = f"{df.count()} rows, no SQL", None

@@ -82,3 +82,34 @@ def test_exports_of_both_shapes(spark):
     with open(f"{folder}/c.js", "w") as out:
         out.write("window.__CATALOG__ = " + json.dumps({"products": [{"id": "x", "title": "T;}", "price": 2}]}) + ";\n")
     assert [(r.id, r.title) for r in files.scan_wrapped_catalog(spark, f"{folder}/c.js").collect()] == [("x", "T;}")]
+
+
+def test_only_the_newest_snapshots_are_read(spark):
+    folder = scratch_dir(spark, "raw")
+    for store in ("exito", "d1"):
+        for day in range(1, 13):
+            snapshot(folder, store, f"202401{day:02d}T080000Z", [row("Ron", 100 + day, "u1", store=store), row("Vino", 50 + day, "u2", store=store)])
+    with open(f"{folder}/notes.jsonl", "w") as out:  # no snapshot by its name
+        out.write(json.dumps(row("Otro", 1, "u3")) + "\n")
+
+    newest = files.scan_newest_snapshots(spark, folder, 3)
+    names = {os.path.basename(f) for f in newest.inputFiles()}
+    assert names == {f"{s}_202401{d}T080000Z.jsonl" for s in ("exito", "d1") for d in (10, 11, 12)}
+    every = scan(spark, folder)
+    assert sorted(map(tuple, newest.select("snapshot_store", "snapshot_ts", "url", "price_cop").collect())) == sorted(
+        map(tuple, files.latest_snapshots(every, 3).select("snapshot_store", "snapshot_ts", "url", "price_cop").collect())
+    )
+    none = files.scan_matches(spark, f"{folder}/none.json")
+    pruned = exports.snapshot_folder_catalog(spark, folder, none, 4)
+    read = {os.path.basename(f) for f in pruned.inputFiles() if f.endswith("Z.jsonl")}
+    assert read == {f"{s}_202401{d:02d}T080000Z.jsonl" for s in ("exito", "d1") for d in (9, 10, 11, 12)}
+    whole = exports.snapshot_catalog(every, none, 4)
+    assert sorted(map(repr, pruned.collect())) == sorted(map(repr, whole.collect())) and pruned.count() == 4
+
+    listing = files.list_snapshots(spark, folder)
+    assert files.expired_files(listing, 0).count() == 0 and files.expired_files(listing, 8).count() == 8
+    assert files.remove_expired(spark, folder, 8) == 8
+    assert sorted(os.listdir(folder))[:2] == ["d1_20240105T080000Z.jsonl", "d1_20240106T080000Z.jsonl"] and "notes.jsonl" in os.listdir(folder)
+    empty = scratch_dir(spark, "raw")
+    snapshot(empty, "x", "later", [])
+    assert files.scan_newest_snapshots(spark, empty, 2).count() == 0

@@ -9,9 +9,10 @@ from tests.check_oracles import compare, duck
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def con():
-    return duck(SF)
+    with duck(SF) as connection:
+        yield connection
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
