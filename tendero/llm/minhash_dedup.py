@@ -7,10 +7,9 @@
 2. Bands of bins are bucket keys. A bucket gives a star and not its pairs: every
    member is set against one hub, the least node, exactly and on the whole sets.
 3. Links contract to components. A bucket whose other members are in one component
-   is done; the rest get another star from the next hub.
-4. What is left after some rounds (members unlike their hubs) meets in cells of two
-   blocks, where signatures drop clearly different pairs and sets decide the others.
-   No member is left out at any step.
+   is done. The rest, members unlike their hubs, meet in cells of two blocks, where
+   signatures drop clearly different pairs and sets decide the others. No member is
+   left out at any step.
 
 A pair at the threshold agrees in no band with a chance of about 2e-8.
 """
@@ -37,12 +36,10 @@ class Settings:
     percent: int = 85  # least similarity, 100 * intersection / union
     bands: int = 30
     rows: int = 5
-    rounds: int = 3  # of stars before the cells
+    rounds: int = 1  # of stars before the cells
     broadcast: int = 1_000_000  # text hashes that may be broadcast (8 bytes each); more are joined by shuffle
     block: int = 400  # members of a block; a star or a cell has two blocks at most
-    # bins of the signature that agree, below which a cell drops a pair: at the threshold
-    # 127 of 150 agree on average, and short sets spread most
-    agreeing: float = 0.3
+    loss: float = 1e-9  # bound of the chance that signatures drop a pair at the threshold from a cell
 
     @property
     def bins(self) -> int:
@@ -74,6 +71,21 @@ def one_permutation(shingles: np.ndarray, bins: int, ask: np.ndarray) -> np.ndar
     return (mix(least) >> U64(48)).astype(np.uint16)
 
 
+def least_agreeing(sizes: np.ndarray, s: Settings) -> np.ndarray:
+    """How many bins must agree for sets of these sizes at least: with the bins that a
+    set fills as independent trials, a pair at the threshold stays below with a chance
+    of ``loss`` at most (Chernoff)."""
+    filled = s.bins * (1 - np.exp(-np.asarray(sizes, float) / s.bins))
+    p, low, high = s.percent / 100, np.zeros(len(filled)), np.full(len(filled), s.percent / 100)
+    for _ in range(40):
+        x = (low + high) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.where(x > 0, x * np.log(x / p), 0) + (1 - x) * np.log((1 - x) / (1 - p))
+        far = filled * gap >= -np.log(s.loss)
+        low, high = np.where(far, x, low), np.where(far, high, x)
+    return np.floor(low * s.bins)
+
+
 def lowered(values: list[str | None]) -> list[str]:
     """A-Z lower-cased and nothing else."""
     return [v.encode().lower().decode() for v in values]
@@ -114,7 +126,7 @@ def sets(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def band_keys(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(key, node): one row per band of every node; keys of different bands differ."""
+    """(key, band, node): one row per band of every node; keys of different bands differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, s.bands + 1, dtype=U64) * U64(0x8CB92BA72F3D8DD7))
@@ -126,11 +138,11 @@ def band_keys(nodes: DataFrame, s: Settings = Settings()) -> DataFrame:
             key = np.zeros((n, s.bands), U64)
             for r in range(s.rows):
                 key = mix(key + values[:, :, r].astype(U64) + U64(1)) ^ salt
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), s.bands)))], ["key", "node"]
-            )
+            band = np.tile(np.arange(s.bands, dtype=np.int32), n)
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(n), s.bands)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), node], ["key", "band", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "key long, node binary")
+    return nodes.select("node", "signature").mapInArrow(run, "key long, band int, node binary")
 
 
 def linked(shared: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
@@ -184,14 +196,16 @@ def verified_stars(edges: DataFrame, shingles: DataFrame, s: Settings) -> DataFr
 
 
 def verified_cells(members: DataFrame, info: DataFrame, shingles: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): links between members (key, node, root) of different components in one
+    """(a, b): links between members (key, band, node, root) of different components in one
     bucket. A bucket is dealt to blocks, and each two blocks are a cell; signatures
-    choose what is verified in a cell, and only its members travel, never pairs."""
+    choose what is verified in a cell, and only its members travel, never pairs. A
+    pair of several buckets is judged in the first: was that bucket done, the pair
+    is in one component or one of the two has met it as its hub."""
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.join(blocks, "key").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root").join(info, "node")
+    cells = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "root").join(info, "node")
 
     def cell_runs(table: pa.Table) -> Iterator[tuple[int, int]]:
         keys = [table.column(c).to_numpy() for c in range(3)]
@@ -200,10 +214,11 @@ def verified_cells(members: DataFrame, info: DataFrame, shingles: DataFrame, s:
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches):
-            key, i, j, own = (table.column(k).to_numpy() for k in range(4))
-            node, root = (np.array(table.column(k).to_pylist(), object) for k in (4, 5))
-            size = table.column(6).to_numpy()
-            values = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint16).reshape(len(key), s.bins)
+            key, i, j, own, band = (table.column(k).to_numpy() for k in range(5))
+            node, root = (np.array(table.column(k).to_pylist(), object) for k in (5, 6))
+            size = table.column(7).to_numpy()
+            values = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint16).reshape(len(key), s.bins)
+            least = least_agreeing(size, s)
             at, partners = [], []
             for x, y in cell_runs(table):
                 _, code = np.unique(root[x:y], return_inverse=True)
@@ -216,7 +231,10 @@ def verified_cells(members: DataFrame, info: DataFrame, shingles: DataFrame, s:
                     small, big = np.minimum(size[x:y], size[m]), np.maximum(size[x:y], size[m])
                     fits &= (code != code[m - x]) & (100 * small >= s.percent * big)
                     some = np.flatnonzero(fits) + x
-                    some = some[(values[some] == values[m]).sum(axis=1) >= s.agreeing * s.bins] if len(some) else some
+                    if len(some):
+                        same = values[some] == values[m]
+                        earlier = same[:, : band[m] * s.rows].reshape(len(some), band[m], s.rows).all(axis=2).any(axis=1)
+                        some = some[(same.sum(axis=1) >= np.minimum(least[some], least[m])) & ~earlier]
                     if len(some):
                         lists[m] = some
                 for m in sorted({*lists, *(int(o) for v in lists.values() for o in v)}):
@@ -246,7 +264,7 @@ def verified_cells(members: DataFrame, info: DataFrame, shingles: DataFrame, s:
                         b += found
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    ordered = cells.select("key", "i", "j", "own", "node", "root", "n_shingles", "signature")
+    ordered = cells.select("key", "i", "j", "own", "band", "node", "root", "n_shingles", "signature")
     ordered = ordered.repartition(tasks(cells), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     proposed = staged(ordered.mapInArrow(propose, "key long, i int, j int, node binary, partners array<binary>"), "cells")
     with_sets = proposed.join(shingles, "node").select("key", "i", "j", "node", "partners", "shingles")
@@ -268,7 +286,7 @@ def node_roots(nodes: DataFrame, text: DataFrame, s: Settings = Settings()) -> D
     links, roots = None, None
     for n in range(s.rounds + 1):
         members = alive.withColumn("root", F.col("node")) if roots is None else alive.join(roots, "node", "left").select(
-            "key", "node", F.coalesce("root", "node").alias("root")
+            "key", "band", "node", F.coalesce("root", "node").alias("root")
         )
         open_keys = members.groupBy("key").agg(F.min("node").alias("hub"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
         members = staged(members.join(open_keys.select("key", "hub"), "key"), "open-buckets")
@@ -281,10 +299,11 @@ def node_roots(nodes: DataFrame, text: DataFrame, s: Settings = Settings()) -> D
             edges = members.join(hubs, "key").filter("hub <> node and root <> hub_root").select("hub", "node").distinct()
             found = verified_stars(staged(edges, "stars"), shingles, s)
             # a hub has met all others of its bucket
-            alive = members.filter("hub <> node").select("key", "node")
+            alive = members.filter("hub <> node").select("key", "band", "node")
         found = staged(found.distinct(), "star-links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links, "star-components")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = components(links, "star-components")
     return nodes.select("node", F.col("node").alias("root")) if roots is None else roots
 
 
