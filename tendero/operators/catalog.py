@@ -270,6 +270,28 @@ def page(df: DataFrame, limit: int = lx.PAGE_LIMIT_DEFAULT, offset: int = 0) ->
     return df.offset(offset).limit(limit) if offset else df.limit(limit)
 
 
+def _behind(name: str, up: bool, value) -> Column:
+    """Rows that come after a value in Spark's order: nulls first going up, last going down."""
+    column = F.col(name)
+    if up:
+        return column.isNotNull() if value is None else F.coalesce(column > F.lit(value), F.lit(False))
+    return F.lit(False) if value is None else column.isNull() | (column < F.lit(value))
+
+
+def page_after(df: DataFrame, last: dict, mode: str = "name", limit: int = lx.PAGE_LIMIT_DEFAULT) -> DataFrame:
+    """The page that follows the row ``last`` (a mapping of the sort keys, such as the last
+    row of the page before). What lies before it is filtered out and never sorted, so
+    a deep page costs no more than the second one."""
+    if not 1 <= limit <= lx.PAGE_LIMIT_MAX:
+        raise ValueError(f"limit must lie in 1..{lx.PAGE_LIMIT_MAX}")
+    keys = [*SORT_MODES.get(mode, SORT_MODES["name"]), ("product_id", True)]
+    after, same = F.lit(False), F.lit(True)
+    for name, up in keys:
+        after = after | (same & _behind(name, up, last[name]))
+        same = same & F.col(name).eqNullSafe(F.lit(last[name]))
+    return sort_products(df.filter(after), mode).limit(limit)
+
+
 def top_brands(facet: DataFrame, limit: int = lx.BRAND_LIMIT_DEFAULT, offset: int = 0) -> DataFrame:
     if not 1 <= limit <= lx.BRAND_LIMIT_MAX:
         raise ValueError(f"limit must lie in 1..{lx.BRAND_LIMIT_MAX}")

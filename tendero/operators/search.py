@@ -20,7 +20,7 @@ from .catalog import ProductFilter, product_summary
 from .current import first_per
 
 
-def _code(gram: Column) -> Column:
+def code(gram: Column) -> Column:
     """A trigram as one number, three code points of 21 bits: exact, and arrays of
     numbers intersect faster than arrays of strings."""
 
@@ -33,7 +33,7 @@ def _code(gram: Column) -> Column:
 def _ordered_grams(texts: DataFrame, frequency: DataFrame, column: str) -> DataFrame:
     """Texts with their trigrams (``grams``, codes) from rare to frequent."""
     grams = texts.select(column, F.explode(tx.trigrams(column)).alias("gram"))
-    coded = grams.select(column, _code(F.col("gram")).alias("gram"))
+    coded = grams.select(column, code(F.col("gram")).alias("gram"))
     ranked = coded.join(frequency, "gram", "left").groupBy(column).agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g")
     )
@@ -42,7 +42,8 @@ def _ordered_grams(texts: DataFrame, frequency: DataFrame, column: str) -> DataF
     return ranked.select(column, F.col("g.gram").alias("grams"), (F.size("g") - known).alias("unknown"))
 
 
-def _prefix(grams: Column, min_sim: float) -> Column:
+def needed_prefix(grams: Column, min_sim: float) -> Column:
+    """As many of the first trigrams as a text that is similar enough cannot avoid."""
     size = F.size(grams)
     # the small allowance keeps 0.3 * 10 from being rounded up past 3
     needed = F.ceil(size * F.lit(min_sim) - F.lit(1e-9)).cast("int")
@@ -60,14 +61,14 @@ def trigram_join(
     rights = right.select(right_text).distinct()
     frequency = (
         rights.select(F.explode(tx.trigrams(right_text)).alias("gram"))
-        .select(_code(F.col("gram")).alias("gram"))
+        .select(code(F.col("gram")).alias("gram"))
         .groupBy("gram")
         .agg(F.count("*").alias("n"))
     )
 
     def side(texts: DataFrame, column: str, alias: str) -> DataFrame:
         prefixed = _ordered_grams(texts, frequency, column).withColumn(
-            "prefix", _prefix(F.col("grams"), min_sim)
+            "prefix", needed_prefix(F.col("grams"), min_sim)
         )
         return prefixed.select(
             column,
@@ -139,17 +140,19 @@ def matching_names(names: DataFrame, needles: DataFrame, min_sim: float) -> Data
 
 def search(
     tables, needles: DataFrame, min_sim: float = lx.SIMILARITY_THRESHOLD,
-    store: str | None = None, limit: int | None = None, offset: int = 0,
+    store: str | None = None, limit: int | None = None, offset: int = 0, postings=None,
 ) -> DataFrame:
     """Products matching each needle with their store summary, best first.
 
-    ``place`` numbers the products of a needle when a limit is given.
+    ``place`` numbers the products of a needle when a limit is given. With stored
+    ``postings`` of the catalog's names none of these is cut into trigrams again.
     """
     products = product_summary(tables, ProductFilter(store=store))
     # all catalog names, priced or not: the join to the summaries drops the rest,
     # and the names need no prices
     names = tables.products.select(F.col("normalized_name").alias("name"))
-    found = matching_names(names, needles, min_sim).withColumnRenamed("name", "normalized_name")
+    found = matching_names(names, needles, min_sim) if postings is None else postings.matching_names(needles, min_sim)
+    found = found.withColumnRenamed("name", "normalized_name")
     if limit is None:
         return products.join(found, "normalized_name")
     # products of one name are equally similar: the first of each name are enough for a page

@@ -317,6 +317,14 @@ def _(t):
     return cat.page(cat.sort_products(cat.product_summary(t)), 20, 40).select(*PRODUCT)
 
 
+@query("g2_page_after_key", summary_sql(tail="ORDER BY name, product_id LIMIT 20 OFFSET 40"), "star")
+def _(t):
+    """As g2_page, by the last key of the page before."""
+    summary = cat.product_summary(t)
+    last = cat.page(cat.sort_products(summary.select("name", "product_id")), 40).collect()[-1]
+    return cat.page_after(summary, last.asDict(), "name", 20).select(*PRODUCT)
+
+
 @query(
     "g3_top_brands",
     """SELECT slug, b.name AS name, count(DISTINCT product_id) AS product_count

@@ -9,7 +9,9 @@ from ..functions import text as tx
 from ..functions.money import money, resolve_price
 from ..operators import search as se
 from ..sources import files, nested
-from .base import CTES, norm, query, slug
+from ..operators.postings import Postings, add_names
+from .base import CTES, ORACLES, norm, query, slug
+from .staging import staged
 
 alternatives = "|".join
 
@@ -519,3 +521,38 @@ def _(t):
     return se.similar_candidates(waiting, t.products).select(
         "normalized_title", "product_id", "name", F.round("similarity", 9).alias("similarity"), "place"
     )
+
+
+def stored_postings(t) -> Postings:
+    """Postings of the catalog's names, written in two batches, the second one twice."""
+
+    def write(path: str) -> None:
+        names = t.products.select(F.col("normalized_name").alias("name"), "product_id")
+        add_names(names.filter("product_id % 2 = 0"), path, 0)
+        for _ in range(2):
+            add_names(names, path, 1)
+
+    return Postings(t.spark, staged(t, "postings", write))
+
+
+@query("l2_stored_matching_names", ORACLES["l2_matching_names"])
+def _(t):
+    """As l2_matching_names, from stored postings."""
+    found = stored_postings(t).matching_names(needles(t))
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+@query("l2_search_stored_products", ORACLES["l2_search_products"])
+def _(t):
+    """As l2_search_products, from stored postings."""
+    rows = se.search(t, needles(t), limit=lx.PAGE_LIMIT_DEFAULT, postings=stored_postings(t))
+    return rows.select("needle", "product_id", "store_count", "min_price", "max_price", "place")
+
+
+@query("l3_stored_candidates", ORACLES["l3_e13_g7_similar_candidates"])
+def _(t):
+    """As l3_e13_g7_similar_candidates, from stored postings."""
+    waiting = t.listings.filter("needs_review")
+    return stored_postings(t).similar_candidates(waiting, t.products).select(
+        "normalized_title", "product_id", "name", F.round("similarity", 9).alias("similarity"), "place"
+    )
