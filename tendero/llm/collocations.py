@@ -4,8 +4,8 @@
 2. Every shard of texts gives its windows, the sequence of up to ``longest`` words
    that starts at each place and ends at the end of the piece or before a word too
    rare to stand in a candidate. The sorted different windows become a count
-   transducer: an acyclic automaton over words whose arcs carry the number of
-   occurrences of the sequence that leads over them; equal states are shared.
+   transducer: an acyclic automaton over words, built as they come, that gives every
+   sequence the number of its occurrences.
 3. Transducers are cut by prefix range (the first two words), so that every longer
    sequence has all its occurrences in one range. There the transducers of all
    shards are united and their weights summed; arcs that reach ``least`` are the
@@ -28,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +98,8 @@ def by_language(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[
 
 
 def word_counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(lang, hash, word, f) of all different words of ``docs`` (lang, text)."""
-    limit = s.shard // 4
+    """(lang, word, f) of all different words of ``docs`` (lang, text)."""
+    limit = s.shard // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, dict[int, list]] = {}
@@ -108,10 +109,10 @@ def word_counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             for lang, words in seen.items():
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([lang] * len(words), pa.string()), pa.array(np.fromiter(words, U64, len(words)).view(np.int64)),
-                        pa.array([w for w, _ in words.values()], pa.string()), pa.array([n for _, n in words.values()], pa.int64()),
+                        pa.array([lang] * len(words), pa.string()), pa.array([w for w, _ in words.values()], pa.string()),
+                        pa.array([n for _, n in words.values()], pa.int64()),
                     ],
-                    ["lang", "hash", "word", "n"],
+                    ["lang", "word", "n"],
                 )
 
         for lang, chunk in by_language(batches, s.chunk):
@@ -131,8 +132,54 @@ def word_counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 seen, size = {}, 0
         yield from rows()
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, hash long, word string, n long")
-    return counted.groupBy("lang", "hash", "word").agg(F.sum("n").alias("f"))
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("f"))
+
+
+def hashed(words: DataFrame) -> DataFrame:
+    """(lang, hash, word, f) of words (lang, word, f)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = tokens("\n".join(batch.column(1).to_pylist()).encode())[0].view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(1), batch.column(2)], ["lang", "hash", "word", "f"])
+
+    return words.select("lang", "word", "f").mapInArrow(run, "lang string, hash long, word string, f long")
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Frequent words of a language: hashes in order, and the rank of each by count."""
+
+    hashes: np.ndarray
+    ranks: np.ndarray
+
+    def ranked(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are frequent, and the ranks of those."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        there = self.hashes[at] == hashes
+        return there, self.ranks[at[there]]
+
+    def by_rank(self) -> np.ndarray:
+        out = np.empty_like(self.hashes)
+        out[self.ranks.astype(np.int64)] = self.hashes
+        return out
+
+
+def frequent_words(known: DataFrame) -> dict[str, Frequent]:
+    """The frequent words (lang, hash, f) of each language; the caller bounds their number."""
+    table = known.select("lang", "hash", "f").toArrow()
+    langs, hashes, counts = (table.column(k).to_numpy() for k in range(3))
+    out = {}
+    for name in set(langs.tolist()):
+        rows = np.flatnonzero(langs == name)
+        h, f = hashes[rows].view(U64), counts[rows]
+        order = np.argsort(h)
+        h, f = h[order], f[order]
+        ranks = np.empty(len(h), U64)
+        ranks[np.lexsort((h, -f))] = np.arange(len(h), dtype=U64)
+        out[name] = Frequent(h, ranks)
+    return out
 
 
 # --- transducers --------------------------------------------------------------------
@@ -140,8 +187,8 @@ def word_counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 @dataclass
 class Counts:
-    """Different windows, sorted: ids into ``words`` (sorted hashes) plus 1, 0 behind
-    the end of a shorter window, and how often each occurs."""
+    """Different windows, sorted: ids into ``words`` (sorted hashes, or ranks of frequent
+    words) plus 1, 0 behind the end of a shorter window, and how often each occurs."""
 
     words: np.ndarray
     windows: np.ndarray
@@ -210,88 +257,65 @@ def levels(c: Counts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def packed(c: Counts) -> bytes:
-    """The windows as a transducer. States of each depth are shared where they have
-    the same arcs (label, weight, target); they are registered from the last depth
-    to the first, as windows come sorted and a state is complete when its last arc is."""
+    """The windows as a transducer: for each depth the labels of the arcs in order, how
+    many arcs leave the state behind each, and how many windows end there. As windows
+    come sorted, a state is complete when the next one begins, and its arcs follow those
+    of the state before. States without arcs are one and take no room."""
     used, ids = np.unique(c.windows, return_inverse=True)
-    if len(used) and used[0] == 0:
-        words = c.words[used[1:].astype(np.int64) - 1]
-        labels = ids.reshape(c.windows.shape)
-    else:
-        words = c.words[used.astype(np.int64) - 1]
-        labels = ids.reshape(c.windows.shape) + 1
+    padded = int(len(used) > 0 and used[0] == 0)
+    words = c.words[used[padded:].astype(np.int64) - 1]
+    labels = ids.reshape(c.windows.shape) - padded
     depth = levels(c)
-    states, target = [], None
-    for k in range(len(depth) - 1, -1, -1):
-        heads, parent, weight = depth[k]
-        label = labels[heads, k]
-        if target is None:
-            target = np.zeros(len(heads), np.int64)
-        order = np.lexsort((target, weight, label))
-        change = np.ones(len(order), bool)
-        change[1:] = (np.diff(label[order]) != 0) | (np.diff(weight[order]) != 0) | (np.diff(target[order]) != 0)
-        code = np.empty(len(order), np.int64)
-        code[order] = np.cumsum(change) - 1
-        if k == 0:
-            states.append((label, weight, target, None))
-            break
-        # states of the sequences of k words; 0 is the one without arcs
-        first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if len(parent) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(parent))
-        register: dict[bytes, int] = {}
-        number, kept = np.zeros(len(depth[k - 1][0]), np.int64), []
-        raw, size = code.tobytes(), ends - first
-        for p, a, b in zip(parent[first].tolist(), first.tolist(), ends.tolist(), strict=True):
-            key = raw[8 * a : 8 * b]
-            state = register.get(key)
-            if state is None:
-                state = register[key] = len(register) + 1
-                kept.append(p)
-            number[p] = state
-        place = np.searchsorted(parent[first], kept) if kept else np.zeros(0, np.int64)
-        arcs = _ranges(first[place], size[place])
-        states.append((label[arcs], weight[arcs], target[arcs], size[place]))
-        target = number
-    small = [tuple(None if a is None else a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for a in s) for s in states]
-    return zstandard.ZstdCompressor(1).compress(pickle.dumps((words, small[::-1]), protocol=5))
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of several ranges, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = []
+    for k, (heads, _, weight) in enumerate(depth):
+        parents = depth[k + 1][1] if k + 1 < len(depth) else np.zeros(0, np.int64)
+        deeper = depth[k + 1][2] if k + 1 < len(depth) else np.zeros(0, np.int64)
+        arcs = np.bincount(parents, minlength=len(heads))
+        end = weight - np.bincount(parents, deeper, len(heads)).astype(np.int64)
+        out.append((labels[heads, k], arcs, end))
+    steps = np.diff(words, prepend=U64(0))
+    return zstandard.ZstdCompressor(3).compress(pickle.dumps((_planes(steps), [[_planes(a) for a in part] for part in out]), protocol=5))
+
+
+def _planes(a: np.ndarray) -> list[bytes]:
+    """Numbers as bytes of equal weight, as many as the largest needs: high ones repeat."""
+    wide = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    used = 8 - next((k for k in range(8) if wide[:, 7 - k].any()), 8)
+    return [len(a).to_bytes(8, "little"), *(wide[:, k].tobytes() for k in range(used))]
+
+
+def _numbers(planes: list[bytes]) -> np.ndarray:
+    out = np.zeros(int.from_bytes(planes[0], "little"), np.int64)
+    for k, plane in enumerate(planes[1:]):
+        out |= np.frombuffer(plane, np.uint8).astype(np.int64) << (8 * k)
+    return out
 
 
 def unpacked(data: bytes) -> Counts:
-    words, states = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-    width = len(states)
-    label, weight, target, _ = (None if a is None else a.astype(np.int64) for a in states[0])
-    windows = np.zeros((len(label), width), np.uint32)
-    windows[:, 0] = label
+    steps, depth = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    words = np.cumsum(_numbers(steps).view(U64))
+    depth = [[_numbers(a) for a in part] for part in depth]
+    width = len(depth)
+    windows = np.zeros((1, width), np.uint32)
+    parent = np.zeros(len(depth[0][0]), np.int64)
     out = []
-    for k in range(1, width):
-        labels, weights, targets, sizes = (a.astype(np.int64) for a in states[k])
-        sizes = np.concatenate([[0], sizes])
-        begin = np.cumsum(sizes) - sizes
-        count = sizes[target]
-        parent, arcs = np.repeat(np.arange(len(target)), count), _ranges(begin[target], count)
-        rest = weight - np.bincount(parent, weights[arcs], len(weight)).astype(np.int64)
-        out.append((windows[rest > 0], rest[rest > 0]))
+    for k, (labels, arcs, end) in enumerate(depth):
         windows = windows[parent]
-        windows[:, k] = labels[arcs]
-        weight, target = weights[arcs], targets[arcs]
-    out.append((windows, weight))
+        windows[:, k] = labels + 1
+        out.append((windows[end > 0], end[end > 0]))
+        parent = np.repeat(np.arange(len(arcs)), arcs)
     return summed(words, np.concatenate([w for w, _ in out]), np.concatenate([n for _, n in out]))
 
 
-def transducers(docs: DataFrame, ranges: int, frequent: dict[str, np.ndarray] | None, s: Settings = Settings()) -> DataFrame:
+def transducers(docs: DataFrame, ranges: int, frequent: Broadcast | None, s: Settings = Settings()) -> DataFrame:
     """(lang, part, automaton) of ``docs`` (lang, text): transducers of shards, cut by
-    prefix range. ``frequent``: sorted word hashes per language; windows end before
-    other words. None: no window is cut."""
-    shared = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
-    nothing = np.zeros(0, U64)
+    prefix range. ``frequent``: the frequent words per language, by which words are
+    known and before others of which windows end. None: words are known by their
+    hashes and no window is cut."""
 
     def cut(lang: str, c: Counts) -> Iterator[pa.RecordBatch]:
+        if not len(c):
+            return
         pair = c.words[c.windows[:, 0].astype(np.int64) - 1] * U64(3) + c.words[c.windows[:, 1].astype(np.int64) - 1]
         part = (mix(pair) % U64(ranges)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -302,7 +326,7 @@ def transducers(docs: DataFrame, ranges: int, frequent: dict[str, np.ndarray] |
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if shared is None else shared.value
+        known = None if frequent is None else frequent.value
         held: dict[str, list] = {}  # words waiting to be windows
         made: dict[str, list[Counts]] = {}
 
@@ -319,13 +343,10 @@ def transducers(docs: DataFrame, ranges: int, frequent: dict[str, np.ndarray] |
         for lang, chunk in by_language(batches, s.chunk):
             hashes, _, _, piece = tokens(chunk)
             if known is not None:
-                words = known.get(lang, nothing)
-                at = np.searchsorted(words, hashes)
-                there = np.zeros(len(hashes), bool)
-                inside = at < len(words)
-                there[inside] = words[at[inside]] == hashes[inside]
-                piece = piece + np.cumsum(~there)
-                hashes, piece = hashes[there], piece[there]
+                if lang not in known:
+                    continue
+                there, hashes = known[lang].ranked(hashes)
+                piece = (piece + np.cumsum(~there))[there]
             if not len(hashes):
                 continue
             held.setdefault(lang, []).append((hashes, piece))
@@ -341,14 +362,15 @@ def transducers(docs: DataFrame, ranges: int, frequent: dict[str, np.ndarray] |
     return docs.select("lang", "text").mapInArrow(run, "lang string, part long, automaton binary")
 
 
-def frequent_sequences(automata: DataFrame, ranges: int, s: Settings = Settings()) -> DataFrame:
+def frequent_sequences(automata: DataFrame, ranges: int, frequent: Broadcast | None, s: Settings = Settings()) -> DataFrame:
     """(lang, words, f, firsts): sequences of two words or more that occur ``least``
     times, as word hashes, with the counts of their first 2, 3, ... words."""
 
     def found(lang: str, c: Counts) -> pa.RecordBatch:
         words, counts, firsts = [], [], []
         path: np.ndarray | None = None  # counts along the path, by sequence of the length before
-        hashes = np.concatenate([[U64(0)], c.words]).view(np.int64)
+        named = c.words if frequent is None else frequent.value[lang].by_rank()[c.words.astype(np.int64)]
+        hashes = np.concatenate([[U64(0)], named]).view(np.int64)
         for k, (heads, parent, weight) in enumerate(levels(c)):
             if k == 0:
                 path = np.zeros((len(heads), 0), np.int64)
@@ -446,17 +468,15 @@ def collocations(docs: DataFrame, s: Settings = Settings(), text: str = "text",
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = staged(word_counts(source, s), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    known = words.filter(F.col("f") >= s.least)
-    size = known.count()
+    known = staged(hashed(words.filter(F.col("f") >= s.least)), "frequent-words")
     frequent = None
-    if 8 * size <= s.broadcast:  # bounded by s.broadcast
-        frequent = {}
-        table = known.select("lang", "hash").toArrow()
-        langs, hashes = table.column(0).to_numpy(), table.column(1).to_numpy().view(U64)
-        frequent = {name: np.sort(hashes[langs == name]) for name in set(langs.tolist())}
+    if 16 * known.count() <= s.broadcast:  # a hash and a rank each
+        frequent = spark.sparkContext.broadcast(frequent_words(known))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-(totals.agg(F.sum("n")).first()[0] or 0) // s.span), 1)
     automata = transducers(source, ranges, frequent, s)
-    sequences = staged(frequent_sequences(automata, ranges, s), "sequences")
+    sequences = staged(frequent_sequences(automata, ranges, frequent, s), "sequences")
+    if frequent is not None:
+        frequent.unpersist()
 
     every = scored(sequences, known, totals).join(inside_longer(sequences), ["lang", "words"], "left")
     every = staged(every.filter(F.coalesce(F.col("longer") < F.col("a"), F.lit(True))).drop("longer"), "scores")
