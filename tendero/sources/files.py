@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import dates, lexicon as lx
@@ -136,14 +137,59 @@ def scan_catalog_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(CATALOG_ENTRY).json(path)
 
 
+# What stands before and behind the records of a list, an object or a script.
+LIST_HEAD = r'\A\s*(?:window\.__CATALOG__\s*=\s*)?(?:\{[^\[\]]*?"products"\s*:\s*)?\['
+LIST_TAIL = r"\]\s*(?:\}\s*)?(?:;\s*)?\z"
+RECORD_END = "},"
+
+
+def split_records(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, list[str]]:
+    """(file, place, p): the records of JSON lists, cut at the ends of objects by the reader,
+    so that a large document is read by several tasks; and the files that cannot be
+    cut so. A file can if every piece of it is an object by itself, which no piece of
+    a nested object or of a text is: where one does not parse, the file is left out
+    and has to be read whole.
+    """
+    pieces = spark.read.option("lineSep", RECORD_END).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    # one row per block of a file: where its pieces begin
+    blocks = pieces.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    blocks = blocks.select(
+        "file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("pieces")
+    )
+    placed = pieces.join(blocks, ["file", "block"]).withColumn("place", F.col("before") + F.col("row") - F.col("first"))
+    is_last = F.col("place") == F.col("pieces") - 1
+    body = F.when(F.col("place") == 0, F.regexp_replace("value", LIST_HEAD, "")).otherwise(F.col("value"))
+    body = tx.strip(F.when(is_last, F.regexp_replace(body, LIST_TAIL, "")).otherwise(F.concat(body, F.lit("}"))))
+    headed = (F.col("place") > 0) | F.col("value").rlike(LIST_HEAD)
+    tailed = ~is_last | F.col("value").rlike(LIST_TAIL)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = placed.select(
+        "file", F.col("place").cast("int").alias("place"), F.from_json(body, f"{schema}, _bad STRING", options).alias("p"),
+        (headed & tailed & F.startswith(body, F.lit("{"))).alias("fine"),
+    )
+    broken = parsed.filter(~F.col("fine") | F.col("p").isNull() | F.col("p._bad").isNotNull()).select("file").distinct()
+    files = [r.file for r in broken.collect()]  # paths of files, which the driver lists for every scan
+    return parsed.filter(~F.col("file").isin(files)) if files else parsed, files
+
+
 def parse_export(documents: DataFrame, column: str = "value") -> DataFrame:
     """Products of JSON export documents: a list, or an object with ``products``."""
     body = F.trim(F.col(column))
     wrapped = F.from_json(body, f"products ARRAY<STRUCT<{EXPORT_ROW}>>")["products"]
     bare = F.from_json(body, f"ARRAY<STRUCT<{EXPORT_ROW}>>")
     items = F.when(F.startswith(body, F.lit("[")), bare).otherwise(wrapped)
+    return export_rows(documents.select(F.posexplode(items).alias("place", "p")))
+
+
+def export_rows(records: DataFrame) -> DataFrame:
+    """Products of parsed export records (place, p)."""
     # an entry without an id is numbered by its place in the document
-    p = documents.select(F.posexplode(items).alias("place", "p")).select("place", "p.*")
+    p = records.select("place", "p.*")
     own = F.when(F.coalesce("id", F.lit("")).isin("", "0"), F.col("place").cast("string")).otherwise(F.col("id"))
 
     def first_text(*names: str) -> Column:
@@ -167,6 +213,21 @@ def scan_export(spark: SparkSession, path: str | list[str], per_line: bool = Fal
     return parse_export(spark.read.text(path, wholetext=not per_line))
 
 
+def scan_large_exports(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``scan_export`` of one document per file, a large document read by several tasks."""
+    records, whole = split_records(spark, path, EXPORT_ROW)
+    rows = export_rows(records)
+    return rows.unionByName(scan_export(spark, whole)) if whole else rows
+
+
+def scan_large_catalogs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``scan_wrapped_catalog`` of one script per file, a large one read by several tasks."""
+    records, whole = split_records(spark, path, CATALOG_FILE_ROW)
+    names = StructType.fromDDL(CATALOG_FILE_ROW).names
+    rows = records.select(*(F.col(f"p.{c}").alias(c) for c in names))
+    return rows.unionByName(scan_wrapped_catalog(spark, whole)) if whole else rows
+
+
 def parse_wrapped_catalog(documents: DataFrame, column: str = "value") -> DataFrame:
     """Products of ``window.__CATALOG__ = {...};`` scripts."""
     body = F.regexp_extract(

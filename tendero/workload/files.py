@@ -14,7 +14,7 @@ from ..plans import exports
 from ..schemas import CATALOG_FILE_ROW
 from ..sources import files, keyed as tables, sinks
 from ..sources.tables import Tables
-from .base import CTES, query
+from .base import CTES, ORACLES, query
 from .staging import snapshot_folder, staged
 from .texts import ENTRY
 
@@ -166,6 +166,36 @@ def _(t):
     return files.scan_wrapped_catalog(t.spark, path, per_line=True).select("id", "title", "price", "url")
 
 
+def one_document(t, label: str, head: str, tail: str) -> str:
+    """All parts as records of one document in one file."""
+
+    def write(path: str) -> None:
+        parts = t.read("part")
+        first, last = parts.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+        key = F.col("p_partkey")
+        lead, end = F.when(key == first, head).otherwise(""), F.when(key == last, tail).otherwise(",")
+        lines = parts.select("p_partkey", F.concat(lead, F.expr(EXPORT_ITEM), end).alias("value"))
+        lines.coalesce(1).sortWithinPartitions("p_partkey").select("value").write.text(path)
+
+    return staged(t, label, write)
+
+
+@query(
+    "a4_scan_large_export",
+    ORACLES["a4_scan_export"].replace("PARTITION BY p_partkey // 200 ORDER BY p_partkey", "ORDER BY p_partkey"),
+)
+def _(t):
+    """As a4_scan_export, from one document that is cut at its records."""
+    return files.scan_large_exports(t.spark, one_document(t, "one-export", "[", "]"))
+
+
+@query("a5_scan_large_catalog", ORACLES["a5_scan_wrapped_catalog"])
+def _(t):
+    """As a5_scan_wrapped_catalog, from one script that is cut at its records."""
+    path = one_document(t, "one-script", 'window.__CATALOG__ = {"products":[', "]};")
+    return files.scan_large_catalogs(t.spark, path).select("id", "title", "price", "url")
+
+
 def write_tables(t, path: str) -> None:
     for name in ("stores", "brands", "categories", "products", "listings", "prices", "runs"):
         getattr(t, name).write.parquet(f"{path}/{name}")

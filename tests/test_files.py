@@ -113,3 +113,40 @@ def test_only_the_newest_snapshots_are_read(spark):
     empty = scratch_dir(spark, "raw")
     snapshot(empty, "x", "later", [])
     assert files.scan_newest_snapshots(spark, empty, 2).count() == 0
+
+
+def test_large_documents_are_read_by_several_tasks(spark):
+    folder = scratch_dir(spark, "large")
+    os.makedirs(folder)
+    items = [{"id": k if k % 5 else None, "title": f"T {k} " + "x" * 50, "store": "s", "price": k} for k in range(400)]
+    odd = [{"id": 1, "title": 'has "},{" inside', "store": "s", "price": 1}, {"title": "b", "store": "s", "price": 2}]
+    documents = {
+        "list": items, "object": {"source": "x", "products": items}, "odd": odd, "more": {"products": items[:3], "total": 3}, "empty": [],
+        "none": {"products": []}, "one": [{"title": "only", "store": "s", "price": 3}],
+        "nested": [{"title": "n", "store": "s", "price": 4, "products": [{"title": "no"}, {"title": "no"}]}, {"title": "m", "store": "s", "price": 5}],
+    }
+    for name, body in documents.items():
+        for indent in (None, 1):
+            with open(f"{folder}/{name}-{indent}.json", "w") as out:
+                json.dump(body, out, indent=indent)
+    with open(f"{folder}/broken.json", "w") as out:
+        out.write('[{"title": "lost", "store": "s", "price": 3},')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        whole = files.scan_export(spark, folder)
+        cut, left = files.split_records(spark, folder, files.EXPORT_ROW)
+        names = {os.path.basename(f) for f in left}
+        assert {n for n in names if not n.startswith(("odd", "more", "empty", "none", "nested", "broken"))} == set() and "odd-None.json" in names
+        assert cut.rdd.getNumPartitions() > 4
+        got = files.scan_large_exports(spark, folder)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect())) and got.count() > 1500
+        script = f"{folder}/c.js"
+        with open(script, "w") as out:
+            out.write("window.__CATALOG__ = " + json.dumps({"products": items}) + ";\n")
+        assert sorted(map(repr, files.scan_large_catalogs(spark, script).collect())) == sorted(
+            map(repr, files.scan_wrapped_catalog(spark, script).collect())
+        )
+        assert len({(r.file, r.block) for r in spark.read.option("lineSep", "},").text(script).selectExpr("_metadata.file_path AS file", "_metadata.file_block_start AS block").collect()}) > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
