@@ -9,7 +9,9 @@ from ..operators import catalog as cat
 from ..operators import current as cur
 from ..operators.catalog import ProductFilter
 from ..plans import exports, products as plans
-from .base import pct, query
+from ..sources.layout import BucketedTables, write_by_listing
+from .base import ORACLES, pct, query
+from .staging import staged
 
 PRODUCT = ["product_id", "name", "brand_slug", "category_slug", "store_count", "min_price", "max_price"]
 
@@ -189,6 +191,42 @@ def _(t):
     return cat.observations(t).select("listing_id", "product_id", "store_slug", "price_id", "price")
 
 
+BUCKETS = 16
+
+
+def by_listing(t) -> BucketedTables:
+    """The tables in buckets by listing, in a database named after their folder."""
+
+    def name_of(path: str) -> str:
+        return path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+
+    path = staged(t, "by-listing", lambda p: write_by_listing(t, name_of(p), p, BUCKETS))
+    return BucketedTables(t.spark, name_of(path))
+
+
+@query("d1_bucketed_current_prices", ORACLES["d1_current_prices"])
+def _(t):
+    """As d1_current_prices, without an exchange."""
+    return cur.current_prices(by_listing(t).prices).select(
+        "listing_id", "price_id", "price", "list_price", "available", F.to_date("captured_at").alias("day")
+    )
+
+
+@query("e2_bucketed_listing_prices", ORACLES["e2_listing_prices"])
+def _(t):
+    """As e2_listing_prices, without an exchange by listing."""
+    return cat.listing_prices(by_listing(t)).select(
+        "listing_id", "product_id", "store_slug", "store_name", "store_website", "store_active", "price",
+        "available", "url",
+    )
+
+
+@query("e3_bucketed_observations", ORACLES["e3_observations"])
+def _(t):
+    """As e3_observations, without an exchange."""
+    return cat.observations(by_listing(t)).select("listing_id", "product_id", "store_slug", "price_id", "price")
+
+
 @query(
     "e5_export_rows",
     "SELECT * EXCLUDE (captured_at), CAST(captured_at AS DATE) AS day FROM export_rows",

@@ -40,6 +40,18 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in text
 
 
+def test_bucketed_tables_meet_without_an_exchange(spark):
+    before, threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "20k"  # stores are small, listings are not
+    for name in ("d1_bucketed_current_prices", "e3_bucketed_observations", "e2_bucketed_listing_prices"):
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            text = plan(QUERIES[name](spark, SF))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert not re.search(r"Exchange hashpartitioning\(listing_id", text), name
+        assert "SelectedBucketsCount: 16 out of 16" in text, name
+
+
 def hot_points(spark, n):
     """A series with far more points than all others together."""
     key = F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string")))
