@@ -48,8 +48,8 @@ def local_session(cpus: int | str = "*", app: str = "tendero", **conf: str) -> S
     return tune(builder.getOrCreate())
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder for staged tables and stream checkpoints.
+def scratch_base(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables.
 
     It lies in the shared folder named by ``spark.checkpoint.dir``, which every
     executor can reach. Only a local session, whose executors are the driver, may
@@ -61,7 +61,18 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tendero-")
         spark.conf.set("spark.tendero.localScratch", base)
-    return f"{base.rstrip('/')}/tendero/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tendero/{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder for staged tables and stream checkpoints."""
+    return f"{scratch_base(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has staged. Call it when its results are written:
+    a result that is not yet computed may still read a staged table."""
+    remove(spark, scratch_base(spark))
 
 
 def file_system(spark: SparkSession, path: str):

@@ -66,7 +66,7 @@ def compare(df, con, sql, times=None) -> str | None:
 
 def main() -> int:
     from __spark_entry__ import oracle_sql, queries
-    from tendero.session import local_session
+    from tendero.session import clear_scratch, local_session
 
     args = sys.argv[1:]
     sf = args[0] if args else "0.01"
@@ -93,6 +93,7 @@ def main() -> int:
         if problem:
             bad.append(name)
         print(f"{'FAIL' if problem else 'ok  '} {took:6.2f}s {name} {problem or n}", flush=True)
+    clear_scratch(spark)
     print(f"{len(bad)} failures: {bad}")
     return 1 if bad else 0
 

@@ -1,6 +1,6 @@
 import pytest
 
-from tendero.session import local_session
+from tendero.session import clear_scratch, local_session
 
 
 @pytest.fixture(scope="session")
@@ -8,4 +8,5 @@ def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
