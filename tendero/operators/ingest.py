@@ -293,16 +293,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _rule(df: DataFrame, table: str, rule: str, keys: list[str], *more: Column) -> DataFrame:
-    """(table_name, rule, key, ...) of the rows that have all parts of a key."""
+    """(table_name, rule, high, low, ...) of the rows that have all parts of a key. Two
+    hashes name a key: rows stay narrow and fixed in size whatever the keys are."""
     present = df.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
-    return present.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), key.alias("key"), *more)
+    parts = [F.col(k).cast("string") for k in keys]
+    return present.select(
+        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
+        F.xxhash64(*parts).alias("high"), F.xxhash64(F.lit("low"), *parts).alias("low"), *more,
+    )
 
 
 def _repeated(uses: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
     """Keys of all unique rules that occur more than once, in one grouping."""
     every = _union([_rule(df, table, f"unique {', '.join(keys)}", keys) for table, df, keys in uses])
-    counted = every.groupBy("table_name", "rule", "key").agg(F.count("*").alias("n"))
+    counted = every.groupBy("table_name", "rule", "high", "low").agg(F.count("*").alias("n"))
     return counted.groupBy("table_name", "rule").agg(F.count_if(F.col("n") > 1).alias("violations"))
 
 
@@ -314,7 +318,7 @@ def _orphans(uses: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFram
         rule = f"{key} exists"
         parts.append(_rule(df, table, rule, [key], F.lit(1).alias("n"), F.lit(0).alias("parent")))
         parts.append(_rule(parent, table, rule, [parent_key], F.lit(0).alias("n"), F.lit(1).alias("parent")))
-    keyed = _union(parts).groupBy("table_name", "rule", "key").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
+    keyed = _union(parts).groupBy("table_name", "rule", "high", "low").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
     lost = F.when(F.col("parent") == 0, F.col("n")).otherwise(0)
     return keyed.groupBy("table_name", "rule").agg(F.sum(lost).alias("violations"))
 
