@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join: all pairs of documents whose sets of word shingles
 have a similarity of at least the threshold.
 
-1. Every text gives its shingle set, a digest of it and MinHash values. Documents
-   with equal sets become one class representative with a count.
+1. Every text gives its shingle set, a digest of it and MinHash values. Equal sets
+   become one numbered class with a count.
 2. Bands of MinHash values propose pairs. With 20 bands of three values a pair at
    0.8 is missed with a chance of 5.9e-7. Buckets of one member leave; a large bucket
    is cut into blocks and each pair of blocks is a cell of bounded size, so no task
@@ -86,8 +86,8 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, high, low, signature): size, 128-bit digest and MinHash
-    values of the shingle set of every whole text."""
+    """(doc_id, version, n_shingles, high, low, signature): hash of every whole text, and
+    size, 128-bit digest and MinHash values of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(s.values)
@@ -101,14 +101,15 @@ def signatures(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 values.append(minhash(shingles, seeds).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
+                    batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
                     pa.array(values, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "high", "low", "signature"],
+                ["doc_id", "version", "n_shingles", "high", "low", "signature"],
             )
 
-    source = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, high long, low long, signature binary")
+    source = texts(docs).withColumn("version", F.xxhash64("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, version long, n_shingles long, high long, low long, signature binary")
 
 
 def band_keys(representatives: DataFrame, s: Settings) -> DataFrame:
@@ -294,14 +295,17 @@ def verified(cells: DataFrame, s: Settings) -> DataFrame:
 
 
 def _sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """(rep, shingles): the sorted shingle hashes of texts as bytes."""
+    """(high, low, shingles): digest and sorted shingle hashes of texts, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist(), s.words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "shingles"])
+            found = [x.tobytes() for x in shingle_sets(batch.column(0).to_pylist(), s.words)]
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(x), "<i8") for x in found], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(found, pa.binary())], ["high", "low", "shingles"]
+            )
 
-    return docs.mapInArrow(run, "rep long, shingles binary")
+    return docs.select("text").mapInArrow(run, "high long, low long, shingles binary")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -338,22 +342,18 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, class_id, n_links, n_shingles) of every document.
+def linked_rows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, version, root, n_links, n_shingles) of every row: ``version`` is the hash
+    of its text, ``root`` numbers the group that links connect.
 
-    ``class_id`` is the least doc_id of the group that links connect, ``n_links``
-    the number of other documents at or above the threshold, equal ones included.
-    A text of fewer words than a shingle, but not none, is one shingle; texts
-    without words equal each other; a null text has no words. A row without an id
-    takes part only through the class of its text, which is null if no equal text
-    has an id. Repeated rows stay repeated and count as copies.
+    The nodes of all steps are the different shingle sets, numbered as they are
+    written; ids play no part, so several texts of one id are several nodes.
     """
     marked = staged(signatures(docs, s), "shingles")
-    classes = marked.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("count"))
-    # one document stands for each class; it carries the signature of all
-    chosen = marked.filter("signature is not null").select(F.col("doc_id").alias("rep"), "high", "low", "signature")
-    reps = chosen.join(classes, ["high", "low", "rep"]).dropDuplicates(["rep"])
-    reps = staged(reps.select("rep", "count", "signature"), "representatives")
+    same = marked.groupBy("high", "low").agg(F.count("*").alias("count"), F.min(F.struct("version", "signature")).alias("one"))
+    classes = same.select(F.monotonically_increasing_id().alias("rep"), "high", "low", "count", "one.version", "one.signature")
+    classes = staged(classes, "classes")
+    reps = classes.filter("signature is not null").select("rep", "count", "signature")
 
     bands = band_keys(reps, s)
     buckets = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -361,30 +361,57 @@ def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     pairs = staged(proposed(cells_of(members, s), s), "cells")
 
     # without the broadcast all texts would cross the network for the few that have partners
-    needed = small(staged(pairs.select("rep").distinct(), "verified-ids"), s.broadcast)
-    wanted = texts(docs).select(F.col("doc_id").cast("long").alias("rep"), "text").join(needed, "rep", "left_semi")
-    sets = staged(_sets(wanted, s).join(reps.select("rep", "count"), "rep"), "sets")
-    sets = sets.dropDuplicates(["rep"])
+    chosen = classes.join(pairs.select("rep").distinct(), "rep", "left_semi")
+    needed = small(staged(chosen.select("version").distinct(), "verified-texts"), s.broadcast)
+    wanted = texts(docs).select("text", F.xxhash64("text").alias("version")).join(needed, "version", "left_semi")
+    sets = _sets(wanted, s).join(chosen.select("rep", "count", "high", "low"), ["high", "low"])
+    sets = staged(sets.select("rep", "count", "shingles"), "sets").dropDuplicates(["rep"])
     found = staged(verified(pairs.join(sets, "rep"), s), "links")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")), "components")
     by_class = (
-        classes.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-        .select("high", "low", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
+        classes.select("rep", "high", "low", "count").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+        .select("high", "low", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"))
     )
-    return marked.join(by_class, ["high", "low"]).select("doc_id", "class_id", "n_links", "n_shingles")
+    return marked.join(by_class, ["high", "low"]).select("doc_id", "version", "root", "n_links", "n_shingles")
+
+
+def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(doc_id, class_id, n_links, n_shingles) of every document.
+
+    ``class_id`` is the least doc_id of the group that links connect, ``n_links``
+    the number of other documents at or above the threshold, equal ones included.
+    A text of fewer words than a shingle, but not none, is one shingle; texts
+    without words equal each other; a null text has no words. A row without an id
+    is linked like any other; its class is null if no row of its group has an id.
+    Repeated rows stay repeated and count as copies; several texts of one id are
+    linked each for itself. Ids may have any type with an order.
+    """
+    rows = staged(linked_rows(docs, s), "linked-rows")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "root").select("doc_id", "class_id", "n_links", "n_shingles")
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` with one document of each group, the one of least id; all columns stay.
+    """``docs`` with one row of each group, the one of least id; all columns stay.
 
-    Of rows that repeat an id, or have none but the same text, one stays, the first
-    by text.
+    Of several texts of that id in the group the one of least hash stays, and of rows
+    that repeat both one. A group without ids keeps a row without one.
     """
-    classes = join(docs.select("doc_id", "text"), s)
-    drop = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    kept = docs.join(drop, F.col("doc_id") == F.col("__dropped"), "left_anti")
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    first = Window.partitionBy("doc_id", own).orderBy("text")
-    return kept.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
+    rows = linked_rows(docs.select("doc_id", "text"), s)
+    rows = staged(rows.groupBy("root", "doc_id", "version").agg(F.count("*").alias("n")), "grouped-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"))
+    judged = rows.join(first, "root").withColumn("kept", place == F.col("first"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+
+    def matching(some: DataFrame, how: str, source: DataFrame) -> DataFrame:
+        named = some.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
+        return source.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__version")), how)
+
+    kept = matching(judged.filter(~F.coalesce("kept", F.lit(False))), "left_anti", docs)
+    repeated = judged.filter("kept and n > 1")
+    one = Window.partitionBy("doc_id", "text").orderBy("text")
+    again = matching(repeated, "left_semi", kept).withColumn("__row", F.row_number().over(one)).filter("__row = 1").drop("__row")
+    return matching(repeated, "left_anti", kept).unionByName(again)
