@@ -76,8 +76,8 @@ def benchmark_windows(benchmark: DataFrame, s: Settings = Settings()) -> DataFra
 
 def hits(docs: DataFrame, windows: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Verified hits beside every document: (doc_id, version, copy, n_words, at, length,
-    item_id), one row per place and item; a document without hits has one row of
-    nulls. ``version`` tells texts of one id apart, ``copy`` numbers nothing: it is
+    item), one row per place and item, which is a struct as its item_id may be null; a
+    document without hits has one row of nulls. ``version`` tells texts of one id apart, ``copy`` numbers nothing: it is
     true in one row per row of the input.
     """
     kinds = windows.groupBy("length").agg(F.countDistinct("hash").alias("n")).collect()  # ten rows at most
@@ -111,14 +111,16 @@ def hits(docs: DataFrame, windows: DataFrame, s: Settings = Settings()) -> DataF
         "doc_id", "version", "n_words", (F.coalesce("place", F.lit(0)) == 0).alias("copy"),
         "hit.at", "hit.length", "hit.hash", "hit.window",
     )
-    return placed.join(windows, ["hash", "length", "window"], "left").select(
-        "doc_id", "version", "copy", "n_words", "at", "length", "item_id"
+    items = windows.select("hash", "length", "window", F.struct("item_id").alias("item"))
+    return placed.join(items, ["hash", "length", "window"], "left").select(
+        "doc_id", "version", "copy", "n_words", "at", "length", "item"
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_words, spans, items): every document with the words hit, as
-    struct(first, last) runs, and the benchmark items found in it, sorted as strings.
+    """(doc_id, version, n_words, spans, items): every document with the hash of its text,
+    the words hit, as struct(first, last) runs, and the benchmark items found in it,
+    sorted as strings. Items without an id are one item, a null that comes last.
 
     A null text has no words. Rows of one id and text give as many equal rows;
     columns other than doc_id and text are left out. Without a benchmark nothing is
@@ -128,11 +130,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings
     each = hits(docs, windows, s)
     # copies: rows that count as the first of their document; items multiply them, so they are counted per place
     one = each.groupBy("doc_id", "version", "n_words", "at", "length", "copy").agg(
-        F.collect_set("item_id").alias("items"), F.count("*").alias("rows")
+        F.collect_set("item").alias("items"), F.count("*").alias("rows")
     )
     by_doc = one.groupBy("doc_id", "version", "n_words").agg(
         F.sum(F.when(F.col("copy"), F.col("rows") / F.greatest(F.size("items"), F.lit(1)))).cast("int").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("items"))), lambda x: x["item_id"])).alias("items"),
         F.array_sort(F.collect_set(F.when(F.size("items") > 0, F.struct("at", (F.col("at") + F.col("length") - 1).alias("last"))))).alias("places"),
     )
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["at"], p["last"])))))
@@ -143,12 +145,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings
         return F.arrays_zip(first, last)
 
     return by_doc.select(
-        "doc_id", "n_words", let(covered, runs).cast("array<struct<first: int, last: int>>").alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")
+        "doc_id", "version", "n_words", let(covered, runs).cast("array<struct<first: int, last: int>>").alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")
     ).drop("copy")
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Counts of words hit and items found, and a digest of the items."""
+    """Counts of words hit and items found, and a digest of the items that have ids."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     return decontaminated(docs, benchmark, s).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -157,16 +159,20 @@ def digests(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` without the rows whose id has a contaminated text; all columns stay.
-    Rows without an id stay."""
-    hit = digests(docs, benchmark, s).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
+    """``docs`` without the rows whose text is contaminated, whatever their id; all
+    columns stay. Of several texts of one id only the contaminated ones go."""
+    hit = decontaminated(docs, benchmark, s).filter(F.size("spans") > 0)
+    hit = hit.select(F.col("doc_id").alias("__hit"), F.col("version").alias("__version")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__version"))
+    return docs.join(hit, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with the words hit cut out of the texts; what stands between words
-    stays. All columns stay; ids are taken to be unique."""
-    spans = decontaminated(docs, benchmark, s).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit"), F.col("spans").alias("__spans"))
+    stays. All columns and rows stay; several texts of one id are cut each for itself."""
+    spans = decontaminated(docs, benchmark, s).filter(F.size("spans") > 0)
+    spans = spans.select(F.col("doc_id").alias("__hit"), F.col("version").alias("__version"), F.col("spans").alias("__spans")).dropDuplicates(["__hit", "__version"])
+    same = F.col("doc_id").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__version"))
     words = F.regexp_extract_all(F.col("text"), F.lit(RAW_WORD), F.lit(0))
     gaps = F.split("text", RAW_WORD)
 
@@ -177,4 +183,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
         return F.array_join(F.zip_with(parts["gaps"], kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(let(F.struct(words.alias("words"), gaps.alias("gaps")), cut))
-    return docs.join(spans, F.col("doc_id") == F.col("__hit"), "left").withColumn("text", text).drop("__hit", "__spans")
+    return docs.join(spans, same, "left").withColumn("text", text).drop("__hit", "__version", "__spans")
