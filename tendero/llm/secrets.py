@@ -1,10 +1,10 @@
 """Secrets in texts: known shapes, and strings that no dictionary compresses.
 
-Known shapes are found by pattern. Beyond them, a token after a word such as
-"auth" or "credential" is weighed by zstandard: how many bytes does it add to the
-compressed code around it, with a dictionary of identifiers, key names and the
-surrounding words primed? Names and prose are nearly free; a random string costs
-almost as much as it is long, and is reported.
+Known shapes are found by pattern. Beyond them, every token of twelve characters or
+more in the neighbourhood of a word such as "auth" or "credential", on either side,
+is weighed by zstandard: how many bytes does it add to the compressed code around
+it, with a dictionary of identifiers, key names and common words primed? Names and
+prose are cheap; a random string costs almost as much as it is long, and is reported.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Context that makes a string worth weighing, and what may hold a secret.
 SENSITIVE = re.compile(r"(?i:auth|bearer|credential|private|signature|cookie|session|passphrase|access|secret|token|key)", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{20,}")
-DIGIT = re.compile(r"[0-9]")
-REACH = 48  # code points before a candidate in which a sensitive word must stand
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_~-]{12,}={0,2}")  # below that, the frame of the compressor outweighs the string
+# What may be a word of a language the dictionary does not hold is weighed from this length on.
+WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+LONG_WORD = 20
+REACH = 48  # code points before or after a candidate in which a sensitive word must stand
 AROUND = 400  # code points of surrounding text the compressor has seen
 
 IDENTIFIERS = " ".join(
@@ -45,12 +47,18 @@ IDENTIFIERS = " ".join(
     for a in ("access", "api", "auth", "client", "user", "session", "private", "public", "request", "response")
     for b in ("key", "token", "secret", "id", "name", "value", "header", "config", "signature", "password")
 ) + " https://www.example.com/index.html?page= abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789"
+# Endings and beginnings that long ordinary words are made of.
+COMMON = (
+    " international information administration representation communication implementation authentication authorization"
+    " configuration documentation understanding requirements environmental development responsibility characteristics"
+    " organization application approximately unfortunately significantly particularly independent experience government"
+)
 
 
 @dataclass(frozen=True)
 class Settings:
-    novelty: float = 0.7  # marginal compressed bytes per byte of a candidate
-    level: int = 3
+    novelty: float = 0.8  # marginal compressed bytes per byte of a candidate
+    level: int = 19
 
 
 def assigned(text: str) -> list[tuple[int, int]]:
@@ -70,24 +78,32 @@ def known(text: str) -> list[tuple[int, int, str]]:
 
 
 class Novelty:
-    """Marginal compressed size of strings, with identifiers as dictionary."""
+    """Marginal compressed size of strings, with identifiers and what stands around them
+    as dictionary. Pieces are short and follow a text that the dictionary holds, so
+    that their literals are stored, not coded: the size counts what is in neither."""
+
+    LEAD = " client_secret config_header user-token "
+    PIECE = 48
 
     def __init__(self, settings: Settings):
         self.settings = settings
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.zstd = zstandard.ZstdCompressor(settings.level, dict_data=primed, write_content_size=False, write_checksum=False)
+        self.primed = (COMMON + IDENTIFIERS + self.LEAD).encode()
 
     def of(self, before: str, candidate: str, after: str) -> float:
         """Compressed bytes that the candidate adds to its surroundings, per byte."""
-        around = (before + " " + after).encode()
-        data = candidate.encode()
-        return (len(self.zstd.compress(around + b" " + data)) - len(self.zstd.compress(around))) / len(data)
+        known = zstandard.ZstdCompressionDict(self.primed + (before + " " + after).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        zstd = zstandard.ZstdCompressor(self.settings.level, dict_data=known, write_content_size=False, write_checksum=False)
+        data, lead = candidate.encode(), self.LEAD.encode()
+        bare = len(zstd.compress(lead))
+        return sum(len(zstd.compress(lead + data[k : k + self.PIECE])) - bare for k in range(0, len(data), self.PIECE)) / len(data)
 
     def found(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         out = []
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if not DIGIT.search(m[0]) or not SENSITIVE.search(text, max(0, a - REACH), a):
+            if b - a < LONG_WORD and WORD.fullmatch(m[0]):
+                continue
+            if not SENSITIVE.search(text, max(0, a - REACH), a) and not SENSITIVE.search(text, b, b + REACH):
                 continue
             if any(x < b and a < y for x, y, _ in taken):
                 continue
