@@ -27,29 +27,32 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-# A small labelled table for training: hosts and paths of invented sites.
-_GOOD_HOSTS = (
-    "www.library.example.com", "news.city.example.net", "blog.garden.example.com", "docs.tools.example.net",
-    "museum.example.org", "university.example.net", "weather.example.com", "blog.thereon.example.net",
-    "m.thention.example.com", "www.rentand.example.net", "history.example.com", "science.example.net",
-    "thtion.example.com", "therer.example.net", "blog.thatin.example.com", "handion.example.net",
-    "www.railway.example.com", "m.recipes.example.net", "cinema.example.com", "www.theatre.example.net",
-    "bakery.example.com", "m.school.example.net", "blog.travel.example.com", "parliament.example.net",
+# A small labelled table for training: words that sites of each label are named after.
+# Prefixes, endings and the plain paths are the same for both labels, so that only the
+# words tell them apart.
+_GOOD_WORDS = (
+    "library", "news", "garden", "docs", "museum", "university", "weather", "history", "science", "railway", "recipes",
+    "cinema", "theatre", "bakery", "school", "travel", "parliament", "hospital", "orchestra", "archive", "geology", "botany",
+    "chess", "sailing", "pottery", "bridge", "harbour", "village", "research", "journal", "atlas", "gazette",
 )
-_BAD_HOSTS = (
-    "cheap-pills.example.com", "www.cheap-meds.example.net", "spam-farm.example.net", "free-casino.example.com",
-    "win-money-now.example.net", "xxx-videos.example.com", "click-farm.example.com", "best-loans.example.net",
-    "replica-watches.example.com", "free-spam.example.net", "casino-bonus.example.net", "buy-pills.example.com",
-    "www.spam-links.example.com", "adult-cams.example.net", "lottery-prize.example.com", "cheap-spam-farm.example.net",
-    "m.adult-dating.example.com", "sports-bets.example.com", "free-bonus.example.net", "ads-server.example.com",
-    "track-clicks.example.net", "ad-tracker.example.com", "m.free-prizes.example.com", "x-rated.example.net",
+_BAD_WORDS = (
+    "pills", "meds", "spam", "casino", "money", "xxx", "clicks", "loans", "replica", "bonus", "jackpot", "adult", "lottery",
+    "dating", "bets", "prizes", "ads", "tracker", "viagra", "poker", "escort", "payday", "crypto-doubler", "slots", "porn",
+    "warez", "keygen", "cheap", "free-gifts", "win-big", "webcam", "banner",
 )
-_PATHS = ("/en/12", "/de/345/", "/fr/678.html", "/es/9", "/en/about", "/", "/en/950", "/articles/2020/07")
+_SHAPES = ("{a}.invalid", "www.{a}-{b}.test", "{a}{b}.com", "{b}.{a}.net", "m.{a}-{b}.org", "{a}-online.info")
+_PLAIN_PATHS = ("", "/", "/index.html", "/about", "/2021/07/19", "/p/8841", "/a/b/c")
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """The labelled URLs: (url, bad)."""
-    rows = [(f"https://{h}{p}", bad) for bad, hosts in ((0, _GOOD_HOSTS), (1, _BAD_HOSTS)) for h in hosts for p in _PATHS]
+    """The labelled URLs: (url, bad). Every word meets two others of its label."""
+    rows = []
+    for bad, words in enumerate((_GOOD_WORDS, _BAD_WORDS)):
+        for k, a in enumerate(words):
+            for step in (1, 7):
+                b = words[(k + step) % len(words)]
+                shape = _SHAPES[(k + step) % len(_SHAPES)]
+                rows += [(f"https://{shape.format(a=a, b=b)}{path}", bad) for path in (*_PLAIN_PATHS, f"/{a}/{b}", f"/{b}?q={a}")]
     return spark.createDataFrame(rows, "url string, bad int")
 
 
