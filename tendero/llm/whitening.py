@@ -35,7 +35,7 @@ class Settings:
     extra: int = 28  # columns of the block beyond the components
     degree: int = 8  # of the polynomial; passes per iteration
     bound_steps: int = 8  # Lanczos passes that bound the spectrum
-    tolerance: float = 1e-13  # of a residual, relative to the largest eigenvalue
+    tolerance: float = 1e-15  # of a residual, relative to the largest eigenvalue; or as far as rounding lets it fall
     iterations: int = 60
     block: int = 4096  # vectors packed into one row
 
@@ -216,7 +216,7 @@ def leading(multiply: Callable[[np.ndarray], np.ndarray], dims: int, s: Settings
         residual = np.linalg.norm(vq[:, :k] - q[:, :k] * values[:k], axis=0).max()
         stalled = stalled + 1 if residual > 0.5 * best else 0
         best = min(best, residual)
-        if residual <= s.tolerance * max(values[0], 0) or stalled >= 3 or width == dims:
+        if residual <= s.tolerance * max(values[0], 0) or stalled >= 2 or width == dims:
             break
         # T_m of the unwanted interval mapped to [-1, 1]: large above it, at most one inside
         high = max(float(values[-1]), low)
