@@ -6,11 +6,14 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_dir, tune
 
 # Rows of one Arrow batch: texts are long, and a batch must fit beside the JVM heap.
 BATCH_ROWS = 512
+# What one broadcast may take: the driver builds it beside its heap's other contents.
+BROADCAST_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -47,8 +50,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """A written table, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """A written table, marked for broadcast if it has at most so many rows and they take
+    at most ``BROADCAST_BYTES`` there."""
+    n = df.count()
+    return F.broadcast(df) if n <= rows and n * row_bytes(df) <= BROADCAST_BYTES else df
+
+
+def row_bytes(df: DataFrame) -> int:
+    """What a row of numbers takes in a hashed relation, about: its fields, and the row's
+    and the table's own."""
+
+    def width(kind: T.DataType) -> int:
+        return 8 + sum(width(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 8
+
+    return 48 + width(df.schema)
 
 
 class Generations(dict):

@@ -196,7 +196,8 @@ def edited_fingerprints(docs: DataFrame, settings: Settings = Settings()) -> Dat
 
 
 def digests(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``edited_fingerprints`` with a digest in place of the edited text."""
+    """``edited_fingerprints`` with a digest in place of the edited text. Ids are integers;
+    one of another type is cast, and what is no number is an error (null outside ANSI mode)."""
     return edited_fingerprints(docs, settings).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint", "near_edited", "near_next",

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import staged, texts
+from .common import BROADCAST_BYTES, row_bytes, small, staged, texts
 from .hashing import _BYTE, U64, mix, powers
 
 SEGMENT = 1 << 18  # suffixes handled at once; runs end at its borders
@@ -122,7 +122,8 @@ def by_document(docs: DataFrame, lists: DataFrame, how: str, s: Settings) -> Dat
     """Texts joined with a written list per document, broadcast if it is short."""
     held = lists.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "items")
     size = lists.agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items")).first()
-    if size.n <= s.broadcast_rows and (size.items or 0) <= s.broadcast_spans:
+    fits = size.n * row_bytes(held) + (size.items or 0) * 16 <= BROADCAST_BYTES
+    if fits and size.n <= s.broadcast_rows and (size.items or 0) <= s.broadcast_spans:
         held = F.broadcast(held)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version"))
     return versions(docs).join(held, same, how).drop("__id", "__version")
@@ -192,8 +193,7 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     every = staged(first_digits(docs, s), "runs")
     # pass 1: grams that occur once take their suffixes along
     together = staged(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
-    if together.count() <= s.broadcast_rows:
-        together = F.broadcast(together)
+    together = small(together, s.broadcast_rows)
     left = staged(every.join(together, "gram"), "runs-left")
     # pass 2: equal runs
     kinds = left.groupBy("gram", "high", "low").agg(
@@ -254,7 +254,8 @@ def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     A null text is empty; a text shorter than the threshold has no window. Every
     occurrence of a repeated string goes, also within one text and in rows that
-    repeat an id. Cuts fall between bytes, so ``kept`` is binary.
+    repeat an id. Cuts fall between bytes, so ``kept`` is binary. Ids are integers; one
+    of another type is cast, and what is no number is an error (null outside ANSI mode).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
