@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 
 from tendero.llm import collocations, minhash_dedup, whitening
+from tendero.llm.common import read
 from tendero.llm.hashing import U64, mix
+from tendero.llm.queries import QUERIES
 
 from .conftest import table, words
-from .test_operators import same
+from .test_operators import SF, same
 
 # --- 11 -----------------------------------------------------------------------
 
@@ -72,6 +74,11 @@ def test_collocations(spark, prose, s):
     same(collocations.collocations(phrases(spark, prose), s).collect(), want)
 
 
+def test_collocations_of_a_whole_table(spark):
+    docs = [(r.lang, r.text) for r in read(spark, SF, "documents").collect()]
+    same(QUERIES["op11_collocations"](spark, SF).collect(), plain_collocations(docs, collocations.Settings()))
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(phrases(spark, [])).count() == 0
     assert collocations.collocations(phrases(spark, [("en", None), ("en", "")])).count() == 0
@@ -149,6 +156,15 @@ def test_whitening(spark, embeddings):
         assert abs(abs(r.whitened) - abs(want)) < 1e-8 and (not sign or abs(sign * r.whitened - want) < 1e-8)
 
 
+def test_whitening_of_a_whole_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in read(spark, SF, "embeddings").collect()]
+    n, deviation, _, explained = plain_whitening(rows, whitening.Settings())
+    got = QUERIES["op12_whitening"](spark, SF).collect()
+    assert len(got) == 4 * len(deviation)
+    assert all(r.n == n and r.deviation == deviation[r.vec_id] and r.identity_error < 1e-9 for r in got)
+    assert all(abs(r.explained / explained[r.component - 1] - 1) < 1e-9 for r in got)
+
+
 def test_whitening_of_close_eigenvalues():
     """Clustered spectrum, as of noise: still double precision, by products alone."""
     rng = np.random.default_rng(8)
