@@ -173,17 +173,19 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text", la
         for s in range(longest + 1)
     ]
     place = {name: i for i, name in enumerate(languages)}
-    rows = top.collect()
-    size_of: list[int] = []
-    for r in rows:
-        known = model.words if r.size == 0 else model.grams[r.size - 1]
-        if known.setdefault(r.item, len(size_of)) == len(size_of):
-            size_of.append(r.size)
+    table = top.toArrow()  # bounded by the settings; columns, as rows of it would be ten times as large
+    items, sizes = table.column("item").to_pylist(), table.column("size").to_numpy()
+    at, size_of = np.empty(len(items), np.int64), []
+    for k, (item, size) in enumerate(zip(items, sizes.tolist(), strict=True)):
+        known = model.words if size == 0 else model.grams[size - 1]
+        at[k] = row = known.setdefault(item, len(size_of))
+        if row == len(size_of):
+            size_of.append(size)
     model.table = np.array(floors, np.float32)[size_of]
-    for r in rows:
-        known = model.words if r.size == 0 else model.grams[r.size - 1]
-        total, kinds = sums[(r.lang, r.size)]
-        model.table[known[r.item], place[r.lang]] = np.log((r.n + a) / (total + a * kinds))
+    counts = [sums[name, size] for name, size in zip(table.column("lang").to_pylist(), sizes.tolist(), strict=True)]
+    total, kinds = np.array(counts, float).T
+    column = np.array([place[name] for name in table.column("lang").to_pylist()])
+    model.table[at, column] = np.log((table.column("n").to_numpy() + a) / (total + a * kinds))
     return model
 
 
