@@ -9,8 +9,8 @@ each of which stands for one character or none. Two lines are at most k edits ap
 if and only if both fit one pattern of k stars, so all lines of a pattern are near
 each other, and each is set against the earliest. Patterns are narrowed down, and
 no step loses a pair: k edits leave one of k + 1 pieces intact, up to a shift, and
-only lines that share a piece go on; then the stars are known by windows that hold
-them, a line is hashed outside its windows, and windows on which a line agrees with
+only lines that share a piece go on. Where few share one, each is set against the
+earlier of them at once. For the others the stars are known by windows that hold them, a line is hashed outside its windows, and windows on which a line agrees with
 an earlier one are cut again, down to single places. Bounds of 1 to k are searched
 in turn, and what a smaller bound removes asks no more for a witness. The pair is
 verified by its edit distance.
@@ -37,6 +37,8 @@ class Settings:
     shortest: int | None = None  # characters of a line that equal lines are looked for; None: ``least``
     edits: int = 1  # 0: equal lines alone; up to MOST_EDITS
     block: int = 64  # a search for k edits cuts each window into the (k + 1)th root of this
+    bucket: int = 200  # lines that share a piece, up to which each is set against the earlier ones; more meet in patterns
+    bucket_characters: int = 1 << 20  # and characters that these lines may have together
     broadcast: int = 500_000  # rows of ids that may be broadcast; more are joined by shuffle
 
     def __post_init__(self):
@@ -90,7 +92,9 @@ def narrowed(state: DataFrame, text: DataFrame, stars: int, pieces: int) -> Data
     where the window of each begins, and 1 for a star without a character. ``key``
     is the line outside the windows, at the places they leave.
     """
-    rows = state.withColumn("step", F.ceil(F.col("wide") / pieces).cast("int")).join(text, ["a", "b"])
+    # few rows come in and many go out: dealt to all tasks, however small they are
+    tasks = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = state.withColumn("step", F.ceil(F.col("wide") / pieces).cast("int")).join(text, ["a", "b"]).repartition(tasks, "a", "b")
     size, step = F.col("size"), F.col("step")
     cut = F.array(F.array().cast("array<struct<lo: int, none: int>>"))
 
@@ -146,6 +150,21 @@ def witnessed(text: DataFrame, stars: int, s: Settings) -> DataFrame:
     return both.filter(F.levenshtein("line", "earlier", stars).between(0, stars)).select("a", "b").distinct()
 
 
+def near_in_small_buckets(keyed: DataFrame, text: DataFrame, s: Settings) -> DataFrame:
+    """(a, b) of lines that have an earlier line within the edits among the few that share
+    a piece with them. ``keyed`` has the keys (key, a, b) of such buckets; each is
+    an array of ``s.bucket`` lines at most, judged in its row."""
+    member = F.struct("place", "a", "b", "line")
+    buckets = keyed.join(text.select("a", "b", "line", "place"), ["a", "b"]).groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
+
+    def near(x: Column, i: Column) -> Column:
+        earlier = F.slice("m", F.lit(1), i)
+        return F.exists(earlier, lambda y: F.levenshtein(x["line"], y["line"], s.edits) >= 0)
+
+    found = F.filter("m", lambda x, i: near(x, i))
+    return buckets.select(F.explode(F.transform(found, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))).alias("x")).select("x.a", "x.b").distinct()
+
+
 def near_lines(docs: DataFrame, s: Settings) -> DataFrame:
     """(a, b) of lines that have an earlier line within the edits."""
     lines = lines_of(docs, s.least)
@@ -161,8 +180,19 @@ def near_lines(docs: DataFrame, s: Settings) -> DataFrame:
         .select("a", "b", "line", F.struct("doc_id", "version", "at").alias("place")),
         "near-lines",
     )
-    near = staged(witnessed(text.withColumn("open", F.lit(True)), 1, s), "near-1")
-    for stars in range(2, s.edits + 1):
+    # buckets of a few lines are judged whole; patterns are for the lines of the others
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = F.explode(F.array_distinct(piece_keys(F.col("line"), s.edits))).alias("key")
+    keyed = staged(text.repartition(tasks, "a").select("a", "b", F.length("line").alias("size"), each), "piece-keys")
+    sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("characters")).filter("n > 1")
+    few = ((F.col("n") <= s.bucket) & (F.col("characters") <= s.bucket_characters)).alias("few")
+    keyed = staged(keyed.drop("size").join(sized.select("key", few), "key"), "bucket-keys")
+    near = staged(near_in_small_buckets(keyed.filter("few").drop("few"), text, s), "near-0")
+    many = staged(keyed.filter("not few").select("a", "b").distinct(), "crowded")
+    text = staged(text.join(many, ["a", "b"], "left_semi"), "crowded-lines")
+    if text.isEmpty():
+        return near
+    for stars in range(1, s.edits + 1):
         known = near.withColumn("known", F.lit(True))
         state = text.join(known, ["a", "b"], "left").select("a", "b", "line", "place", F.col("known").isNull().alias("open"))
         near = staged(near.unionByName(witnessed(state, stars, s)), f"near-{stars}")
