@@ -143,3 +143,18 @@ def test_money_rules(spark):
     assert r.low.list_price is None
     [m] = spark.sql("SELECT CAST(v AS DECIMAL(18,2)) AS v FROM VALUES (0.01), (0.02) AS t(v)").agg(mean_money("v").alias("m")).collect()
     assert str(m.m) == "0.02"
+
+
+def test_titles_are_searched_for_a_size_once(spark):
+    rows = spark.createDataFrame([("Ron añejo 750 ML",), ("Agua 1,5 L x6 unds",), ("Té",), (None,)], "title STRING")
+    sized = tx.with_quantity(rows)
+    want = rows.select("title", tx.parse_quantity("title").alias("q")).select("title", "q.*")
+    assert sized.collect() == want.collect()
+    plan = sized._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # the amount and the unit, each once
+
+
+def test_plain_text_skips_the_accent_table(spark):
+    rows = spark.createDataFrame([("Canción",), ("plain",), ("é",), ("",), (None,)], "t STRING")
+    assert [r[0] for r in rows.select(tx.strip_accents("t")).collect()] == ["Cancion", "plain", "e", "", None]
+    assert "octet_length" in rows.select(tx.strip_accents("t"))._jdf.queryExecution().analyzed().toString()
