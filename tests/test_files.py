@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tendero.operators.current import daily_last_by_snapshot, first_by_url, valid_snapshot_rows
 from tendero.plans import exports
 from tendero.session import scratch_dir
-from tendero.sources import files
+from tendero.sources import files, sinks
 
 
 def snapshot(folder, store, stamp, rows):
@@ -150,3 +150,34 @@ def test_large_documents_are_read_by_several_tasks(spark):
         assert len({(r.file, r.block) for r in spark.read.option("lineSep", "},").text(script).selectExpr("_metadata.file_path AS file", "_metadata.file_block_start AS block").collect()}) > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_files_are_packed_and_keep_their_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 7)  # several files of a task
+    rows = spark.range(50).selectExpr(
+        "'s' AS store", "concat('n', id) AS name", "CAST(id AS DECIMAL(18,2)) AS price", "concat('u', id) AS url", "'' AS image_url",
+        "'c' AS category", "'S' AS store_name", "DATE '2024-01-31' AS scraped_date", "CAST(id AS DECIMAL(18,2)) AS list_price",
+        "'my-shop' AS snapshot_store", "TIMESTAMP '2024-01-31 10:00:00' AS snapshot_ts", "id AS line_order",
+    )
+    path = str(tmp_path / "snapshots")
+    sinks.write_snapshots(rows, path)
+    written = [p.name for p in tmp_path.rglob("part-*")]
+    assert len(written) > 7 and all(n.endswith(".json.gz") for n in written)
+    lines = files.scan_snapshots(spark, path)
+    assert [r.name for r in lines.orderBy("line_order").collect()] == [f"n{i}" for i in range(50)]
+    assert lines.select("snapshot_store", "snapshot_day").distinct().collect()[0][0] == "my-shop"
+    sinks.write_catalog(rows.drop("line_order"), str(tmp_path / "catalog"), "x", F.lit("2024-01-31").cast("timestamp"))
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "catalog" / "products").glob("part-*"))
+
+
+def test_snapshot_names_in_long_paths(spark):
+    import re
+
+    old = r"([^/_=]+)_([0-9]{8}T[0-9]{6}Z)\.jsonl"
+    names = ["/a/b_c/snapshot=x-y_20240131T235959Z.jsonl/part-0.json", "/d_20240131T235959Z.jsonl", "_20240131T235959Z.jsonl",
+             "/a_b_20240131T235959Z.jsonl", "/s_2024.jsonl", "/q_20240131T235959Z_20230131T235959Z.jsonl", "", "/a=b_20240131T235959Z.jsonl"]
+    for n in names:
+        want = re.search(old, n)
+        got = spark.sql("SELECT 1").select(F.regexp_extract(F.lit(n), files.SNAPSHOT_NAME, 1), F.regexp_extract(F.lit(n), files.SNAPSHOT_NAME, 2)).first()
+        assert tuple(got) == (want.groups() if want else ("", ""))
+    assert "++" in files.SNAPSHOT_NAME  # no step back within a word
