@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tendero.session import scratch_dir
+from tendero.sources.tables import GivenTables
 from tendero.streaming import feeds
 
 SCHEMA = "key STRING, event_id BIGINT, ts TIMESTAMP, price DECIMAL(18,2)"
@@ -142,3 +143,14 @@ def test_files_read_do_not_grow_with_batches(spark):
         if n:
             assert float(deltas.state(spark, n).first().newest.price) == 101 - n
     assert len(os.listdir(f"{folder}/base")) <= 2
+
+
+def test_known_products_are_keyed_once_for_all_batches(spark, tmp_path, monkeypatch):
+    t = GivenTables(spark, "/root/testdata/sf0.001")
+    calls, seen = [], []
+    monkeypatch.setattr(feeds, "write_ingest_batch", lambda batch, path, n, products, every: (calls.append(n), seen.append(products.columns)))
+    t.deliveries.limit(40).repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = feeds.file_stream(spark, str(tmp_path / "in"), t.deliveries.schema, files_per_trigger=1)
+    feeds.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), t.known_products)
+    assert calls == [0, 1, 2, 3]
+    assert all(c == ["identity_kind", "identity", "known_id"] for c in seen)
