@@ -439,6 +439,35 @@ def test_line_dedup_of_short_lines(spark):
         line_dedup.Settings(shortest=11)
 
 
+def test_line_dedup_judges_ends_before_whole_lines(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = []
+    for n in (10, 63, 64, 65, 130, 300):
+        for _ in range(40):
+            a = "".join(rng.choice("abcü ") for _ in range(n))
+            b = a
+            for _ in range(rng.randint(0, 3)):
+                p, add = rng.choice([0, rng.randint(0, len(b)), len(b) - 1]), rng.choice(["", "a", "z"])
+                b = b[:p] + add + b[p + rng.randint(0, 1) :]
+            rows.append((a, b))
+    got = spark.createDataFrame(rows, "x string, y string").select(
+        line_dedup.near_pair(F.col("x"), F.col("y"), 2).alias("near"), (F.levenshtein("x", "y") <= 2).alias("want")
+    ).collect()
+    assert {r.want for r in got} == {True, False} and all(r.near == r.want for r in got)
+
+
+def test_line_dedup_joins_the_text_once_for_the_windows_of_a_line(spark):
+    star = "named_struct('lo', CAST(id div 5 AS INT), 'none', 0)"
+    windows = spark.range(450).selectExpr("id % 5 AS a", "id % 5 AS b", "90 AS size", "1 AS wide", f"array({star}) AS stars")
+    dealt = line_dedup.by_line(windows)
+    assert dealt.count() <= 5 * line_dedup.PARTS
+    text = spark.range(5).selectExpr("id AS a", "id AS b", "repeat('x', 90) AS line", "id AS place", "true AS open")
+    rows = line_dedup.narrowed(dealt, text, 1, 2)
+    assert [r["count"] for r in rows.groupBy("a").count().collect()] == [90] * 5
+
+
 def test_line_dedup_keeps_columns(docs, no_docs):
     kept = line_dedup.dedup(docs)
     assert kept.columns == [*docs.columns, "__lines", "__removed"]
