@@ -439,6 +439,14 @@ def test_line_dedup_of_short_lines(spark):
         line_dedup.Settings(shortest=11)
 
 
+def test_bpe_cuts_words_with_a_mark_as_the_pattern_does():
+    import public_tokenizers
+
+    coder = bpe.Encoder(bpe.Vocabulary(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()))
+    for word in ("word", "word.", "word;", "word..", "don't", "it's.", "x1", "1", ".", "", "wörd", "wörd,", "a.b", "w\u0301", "!", "a)", "(a)"):
+        assert coder.after_blank(word) == coder.piece(" " + word), word
+
+
 def test_line_dedup_judges_ends_before_whole_lines(spark):
     from pyspark.sql import functions as F
 
