@@ -26,6 +26,13 @@ class BucketedTables(Tables):
         return self.spark.table(f"{self.directory}.{name}")
 
 
+def buckets_of(prices: DataFrame, least: int, rows: int) -> int:
+    """A number of buckets that follows the prices, a multiple of ``least``: a task sorts one
+    bucket when it is written and again when it is joined, and with a fixed number
+    both sorts go to disk once the table has grown."""
+    return least * max(1, -(-prices.count() // (least * rows)))
+
+
 def write_by_listing(tables: Tables, database: str, path: str, buckets: int) -> BucketedTables:
     """Write all tables under ``path`` and register them in ``database``.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tendero.operators import cart, current, history
+from tendero.sources.layout import buckets_of
 from tendero.sources.tables import GivenTables
 from tendero.workload import QUERIES
 
@@ -52,6 +53,10 @@ def test_bucketed_tables_meet_without_an_exchange(spark):
         assert "SelectedBucketsCount: 16 out of 16" in text, name
 
 
+def test_buckets_follow_the_prices(spark):
+    assert [buckets_of(spark.range(n), 16, 10) for n in (0, 1, 160, 161, 4000)] == [16, 16, 16, 32, 400]
+
+
 def hot_points(spark, n):
     """A series with far more points than all others together."""
     key = F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string")))
