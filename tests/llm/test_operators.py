@@ -80,6 +80,12 @@ def test_bpe_is_exact(docs, rows):
     same(bpe.digests(docs, vocabulary_path()).collect(), want)
 
 
+def test_bpe_keeps_encoder_and_decoder_in_different_stages(docs, no_docs):
+    text = bpe.digests(docs, vocabulary_path())._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1
+    assert bpe.digests(no_docs, vocabulary_path()).collect() == []
+
+
 def test_bpe_on_odd_texts():
     from tokenizers import Tokenizer
 
