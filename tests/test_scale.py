@@ -85,6 +85,18 @@ def test_long_history_comes_in_parts_and_stays_whole(spark):
     assert got == {k: sorted(v) for k, v in want.items()}
 
 
+def test_the_export_forms_its_points_once(spark):
+    points = hot_points(spark, 900)
+    out = history.series_export(points, 500)
+    assert "Range (" in plan(points) and "Range (" not in plan(out)
+    hot = out.filter("key = 'hot'").orderBy("part").collect()
+    assert [len(r.history) for r in hot] == [500, 100] and hot[1].daily_series is None
+    whole = history.series_summary(points).filter("key = 'hot'").first()
+    assert [hot[0][c] for c in whole.asDict()] == list(whole)
+    days = history.daily_series(points).filter("key = 'hot'").orderBy("date").collect()
+    assert [tuple(d) for d in hot[0].daily_series] == [tuple(d)[1:] for d in days]
+
+
 def test_hot_product_is_split_by_aqe(spark):
     """A product in most carts: the join to its offers runs as a skew join."""
     conf = {
