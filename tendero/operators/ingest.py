@@ -20,11 +20,15 @@ def upsert(target: DataFrame, updates: DataFrame, key: list[str], order: list[Co
     """Target with updated rows replaced whole and new rows added.
 
     Of updates that share a key the first by ``order`` counts; without an order
-    their own text decides, so that the result does not depend on arrival.
+    their own text decides, so that the result does not depend on arrival. Whether any
+    share one is counted first, on the keys alone: without such, no update has to be
+    ordered, and only columns that are asked for cross the network.
     """
-    order = order or [F.asc(F.to_json(F.struct(*updates.columns)))]
-    one = first_per(updates, key, order)
-    return one.unionByName(target.join(one.select(*key), key, "left_anti"))
+    repeated = updates.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    one = updates
+    if not repeated.isEmpty():
+        one = first_per(updates, key, order or [F.asc(F.to_json(F.struct(*updates.columns)))])
+    return one.unionByName(target.join(updates.select(*key).distinct(), key, "left_anti"))
 
 
 def prune_global(target: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:

@@ -168,3 +168,16 @@ def test_upsert_keeps_one_row_per_key(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     updates = spark.createDataFrame([(2, "y"), (2, "x"), (3, "z")], "k int, v string")
     assert sorted(map(tuple, ing.upsert(target, updates, ["k"]).collect())) == [(1, "a"), (2, "x"), (3, "z")]
+
+
+def test_upsert_orders_updates_only_where_keys_repeat(spark):
+    target = spark.createDataFrame([(1, "a", "x"), (None, "n", "x")], "k int, v string, w string")
+    once = spark.createDataFrame([(1, "b", "y"), (2, "c", "y"), (None, "m", "y")], "k int, v string, w string")
+    out = ing.upsert(target, once, ["k"]).select("k")
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "to_json" not in text
+    assert sorted(map(repr, out.collect())) == sorted(["Row(k=1)", "Row(k=2)", "Row(k=None)", "Row(k=None)"])
+    twice = once.unionByName(once.withColumn("v", F.lit("a")))
+    assert sorted(map(repr, map(tuple, ing.upsert(target, twice, ["k"]).collect()))) == sorted(
+        map(repr, [(1, "a", "y"), (2, "a", "y"), (None, "a", "y"), (None, "n", "x")])
+    )
