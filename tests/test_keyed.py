@@ -54,6 +54,14 @@ def test_a_merge_writes_the_touched_folders_alone(spark):
     assert content(keyed.read_keyed(spark, path)) == before
 
 
+def test_folders_are_packed(spark):
+    path = scratch_dir(spark, "keyed")
+    keyed.write_keyed(rows(spark, 100, 1), path, ["id"], 2)
+    keyed.merge_keyed(spark, path, rows(spark, 10, 2), upsert, 1)
+    files = [f for _, _, names in os.walk(f"{path}/data") for f in names if f.endswith(".parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_a_failed_merge_is_not_seen_and_can_run_again(spark):
     path = scratch_dir(spark, "keyed")
     keyed.write_keyed(rows(spark, 100, 1), path, ["id"], 8)
