@@ -11,7 +11,8 @@ from tendero.operators import history as his
 from tendero.operators import ingest as ing
 from tendero.session import scratch_dir
 from tendero.sources import keyed, sinks
-from tendero.sources.tables import Tables
+from tendero.sources.tables import GivenTables, Tables
+from tendero.workload.files import older_mart, stored_catalog
 
 from .test_scale import plan
 
@@ -62,6 +63,12 @@ def test_folders_are_packed(spark):
     assert files and all(f.endswith(".zstd.parquet") for f in files)
 
 
+def test_old_and_new_rows_read_the_catalog_as_written(spark):
+    t = GivenTables(spark, "/root/testdata/sf0.001")
+    text = plan(older_mart(t, stored_catalog).unionByName(stored_catalog(t)))
+    assert "catalog-rows" in text and "lineitem" not in text
+
+
 def test_a_failed_merge_is_not_seen_and_can_run_again(spark):
     path = scratch_dir(spark, "keyed")
     keyed.write_keyed(rows(spark, 100, 1), path, ["id"], 8)
