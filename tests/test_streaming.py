@@ -3,12 +3,16 @@
 import os
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from tendero.operators.ingest import latest_update
 from tendero.session import scratch_dir
 from tendero.sources.tables import GivenTables
 from tendero.streaming import feeds
+from tendero.workload import streams
 
 SCHEMA = "key STRING, event_id BIGINT, ts TIMESTAMP, price DECIMAL(18,2)"
 START = datetime(2024, 1, 1)
@@ -154,3 +158,51 @@ def test_known_products_are_keyed_once_for_all_batches(spark, tmp_path, monkeypa
     feeds.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), t.known_products)
     assert calls == [0, 1, 2, 3]
     assert all(c == ["identity_kind", "identity", "known_id"] for c in seen)
+
+
+OBSERVED = """store_slug STRING, sku STRING, store_product_id STRING, title STRING, url STRING, barcode STRING, brand STRING,
+    category_path STRING, image_url STRING, price DECIMAL(18,2), list_price DECIMAL(18,2), currency STRING, available BOOLEAN,
+    teasers STRING, captured_at TIMESTAMP"""
+
+
+def observed(spark, *rows):
+    """(sku, title, barcode, image, price, hour) as observations of one store."""
+    at = lambda h: None if h is None else START + timedelta(hours=h)
+    full = [("a", s, "p", t, "u", c, "Viejo", "A/B", i, Decimal(p), None, "COP", True, "[]", at(h)) for s, t, c, i, p, h in rows]
+    return spark.createDataFrame(full, OBSERVED)
+
+
+def test_observations_of_one_moment_follow_the_batch_rule(spark):
+    """The cheaper one stands, then the first title, in one batch or in two, also without a stamp."""
+    rows = [
+        ("1", "Ron 1 ml", None, "x", 9, 5), ("1", "Ron 2 ml", None, None, 8, 5), ("1", "Ron 3 ml", "7701234567890", None, 8, 4),
+        ("2", "Vino 1 ml", None, None, 7, 5), ("2", "Vino 2 ml", None, None, 7, 5), ("3", "Gin 1 ml", None, None, 7, None),
+        ("3", "Gin 2 ml", None, None, 7, 1),
+    ]
+    want = {r.sku: r.title for r in latest_update(observed(spark, *rows)).collect()}
+    assert want == {"1": "Ron 2 ml", "2": "Vino 1 ml", "3": "Gin 2 ml"}
+    for cut in (0, 1, 4, 6):
+        path = scratch_dir(spark, "ties")
+        for n, part in enumerate([rows[cut:], rows[:cut]]):
+            feeds.write_ingest_batch(observed(spark, *part), path, n)
+        got = {r.sku: r for r in feeds.read_listings(spark, path).collect()}
+        assert {k: r.title for k, r in got.items()} == want
+        assert (got["1"].image_url, got["1"].barcode, got["1"].quantity) == ("x", "7701234567890", 2)
+        assert (got["1"].first_seen_at, got["1"].last_seen_at) == (START + timedelta(hours=4), START + timedelta(hours=5))
+        assert got["3"].first_seen_at == got["3"].last_seen_at == START + timedelta(hours=1)
+
+
+def test_products_are_looked_up_once_per_listing(spark):
+    t = GivenTables(spark, "/root/testdata/sf0.001")
+    delta = feeds.listing_delta(t.deliveries, t.known_products)
+    text = delta._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join LeftOuter") < text.index("Aggregate [sku")  # the tree starts at its top
+    counts = feeds.delivery_counts(feeds.quarantine(t.deliveries), delta, t.known_products)
+    assert "LeftOuter, ((store_slug" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_delivery_is_written_in_row_groups_that_tasks_share(spark, tmp_path):
+    rows = spark.range(400_000).select(F.sha2(F.col("id").cast("string"), 256).alias("title"))
+    rows.coalesce(1).write.options(**streams.DELIVERED).parquet(str(tmp_path / "in"))
+    [file] = (tmp_path / "in").glob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups >= 2
