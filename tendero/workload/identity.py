@@ -228,7 +228,7 @@ def _(t):
     def write(path: str) -> None:
         keyed.write_keyed(stored(t), path, ing.LISTING_KEY)
         for _ in range(2):
-            keyed.merge_keyed(t.spark, path, updates(t), merge, 1)
+            keyed.merge_keyed(t.spark, path, updates(t), merge, 1, by_key=True)
 
     return keyed.read_keyed(t.spark, staged(t, "listing-folders", write)).select(
         "store_slug", "sku", "title", "image_url", "barcode", "store_product_id",

@@ -86,6 +86,53 @@ def test_a_failed_merge_is_not_seen_and_can_run_again(spark):
     assert content(keyed.read_keyed(spark, path)) == content(upsert(rows(spark, 100, 1), rows(spark, 50, 2)))
 
 
+def test_an_exchange_by_key_deals_rows_to_their_folders(spark):
+    for key in (["id"], ["id", "other"]):
+        dealt = rows(spark, 3000, 1).repartition(24, *key)
+        same = dealt.select(F.pmod(F.spark_partition_id(), F.lit(8)) == keyed.folder_of(key, 8))
+        assert [r[0] for r in same.distinct().collect()] == [True]
+    before = spark.conf.get(keyed.PARTITIONS)
+    with keyed._exchanges_by_folder(spark, 64):
+        assert int(spark.conf.get(keyed.PARTITIONS)) % 64 == 0
+    assert spark.conf.get(keyed.PARTITIONS) == before
+
+
+def outer(old, new):
+    """New rows beside old ones, by the key."""
+    price = F.coalesce(new["price"], old["price"]).alias("price")
+    return old.join(new, "id", "full_outer").select("id", price, F.coalesce(new["other"], old["other"]).alias("other"))
+
+
+@pytest.mark.parametrize("by", [keyed.HASH, None])
+@pytest.mark.parametrize("by_key", [True, False])
+def test_merges_by_key_and_tables_of_the_old_hash(spark, by, by_key):
+    path = scratch_dir(spark, "keyed")
+    old, new = rows(spark, 500, 1), rows(spark, 300, 2, 400)
+    if by:
+        keyed.write_keyed(old, path, ["id"], 8)
+    else:  # as it was written before: xxhash64, and a manifest that names no hash
+        old.limit(0).write.parquet(f"{path}/schema")
+        held = keyed._write(old, path, ["id"], 8, 0, keyed.OLD_HASH)
+        keyed._commit(spark, path, dict.fromkeys(held, 0), ["id"], 8, 0, None)
+    keyed.merge_keyed(spark, path, new, outer, 1, by_key=by_key)
+    want = sorted([(f"k{i}", 2 if i >= 400 else 1, None if i % 5 == 0 else i) for i in range(700)], key=repr)
+    assert content(keyed.read_keyed(spark, path)) == want
+    # a second merge finds every key in its folder
+    keyed.merge_keyed(spark, path, rows(spark, 700, 3), upsert, 2)
+    assert content(keyed.read_keyed(spark, path)) == content(rows(spark, 700, 3))
+
+
+def test_stored_updates_are_not_written_again(spark, monkeypatch):
+    path = scratch_dir(spark, "keyed")
+    rows(spark, 50, 2).write.parquet(f"{path}/new")
+    keyed.write_keyed(rows(spark, 100, 1), f"{path}/table", ["id"], 8)
+    monkeypatch.setattr(keyed, "scratch_dir", None)
+    stored = spark.read.parquet(f"{path}/new")
+    keyed.merge_keyed(spark, f"{path}/table", stored, upsert, 1, stored=True)
+    assert content(keyed.read_keyed(spark, f"{path}/table")) == content(upsert(rows(spark, 100, 1), stored))
+    assert stored.count() == 50
+
+
 def test_empty_tables(spark):
     path = scratch_dir(spark, "keyed")
     keyed.write_keyed(rows(spark, 0, 1), path, ["id"], 8)
