@@ -181,3 +181,18 @@ def test_snapshot_names_in_long_paths(spark):
         got = spark.sql("SELECT 1").select(F.regexp_extract(F.lit(n), files.SNAPSHOT_NAME, 1), F.regexp_extract(F.lit(n), files.SNAPSHOT_NAME, 2)).first()
         assert tuple(got) == (want.groups() if want else ("", ""))
     assert "++" in files.SNAPSHOT_NAME  # no step back within a word
+
+
+def test_documents_of_a_catalog_follow_its_size(spark, tmp_path):
+    """At most so many products in each, whatever the ids; every product once, with its nulls left out."""
+    rows = spark.range(1000).selectExpr("concat('n', id) AS id", "IF(id % 3 = 0, NULL, 'T\"];') AS title", "CAST(id AS DECIMAL(18,2)) AS price")
+    documents = [r.value for r in sinks.wrapped_catalog(rows, 20).collect()]
+    head, tail = 'window.__CATALOG__ = {"products":', "};"
+    assert all(d.startswith(head + "[") and d.endswith("]" + tail) for d in documents)
+    products = [json.loads(d[len(head) : -len(tail)]) for d in documents]
+    assert max(map(len, products)) <= 20 and len(products) <= 50 + 8
+    assert sorted(p["id"] for d in products for p in d) == sorted(f"n{i}" for i in range(1000))
+    assert all(("title" in p) == (int(p["id"][1:]) % 3 != 0) for d in products for p in d)
+    assert sinks.wrapped_catalog(rows.limit(0)).count() == 0
+    rows_again = files.parse_wrapped_catalog(sinks.wrapped_catalog(rows, 20))
+    assert rows_again.count() == 1000
