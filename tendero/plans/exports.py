@@ -11,7 +11,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.dates import holiday_calendar
 from ..functions.money import clean_list_price
-from ..operators.catalog import export_rows
+from ..operators.catalog import export_rows, exported_prices
 from ..operators.current import daily_last_by_snapshot, first_by_url, lookback, valid_snapshot_rows
 from ..operators.discount import pricing_context
 from ..operators.history import attach_history, collect_history, history_array
@@ -89,14 +89,14 @@ def table_catalog(
 
     Observations after ``as_of`` count too; the calendar has the years of the points.
     """
-    rows = export_rows(tables).select(
-        "listing_id",
+    prices = attach_history(exported_prices(tables), history_array(tables, as_of, days), ["listing_id"])
+    with_history = export_rows(tables, prices).select(
         tx.stable_id("store", "url").alias("id"),
         "title", "store", "store_name", "category", "price",
         clean_list_price(F.col("price"), F.col("list_price")).alias("list_price"),
         "img", "url", "barcode", "brand",
         F.to_date("captured_at").alias("scraped_date"),
+        "history",
     )
-    with_history = attach_history(rows, history_array(tables, as_of, days), ["listing_id"])
     years = lookback(tables.prices, as_of, days).select(F.year("captured_at").alias("year"))
-    return pricing_context(with_history, matches, holiday_calendar(years)).drop("listing_id")
+    return pricing_context(with_history, matches, holiday_calendar(years))

@@ -15,6 +15,7 @@ from ..operators.catalog import (
     prices_array,
     product_summary,
     sort_products,
+    sorted_prices,
     total,
 )
 from ..sources.tables import Tables
@@ -51,11 +52,13 @@ def product_prices(tables: Tables) -> DataFrame:
 def product_detail(tables: Tables, most: int = 1_000) -> DataFrame:
     """Every priced product with all its prices ascending, in parts of ``most``.
 
-    The first part has the ``cheapest`` offer.
+    The first part has the ``cheapest`` offer. The summary reads the sorted prices, so
+    that listings and current prices meet once.
     """
-    arrays = prices_array(listing_prices(tables), most)
+    placed = sorted_prices(listing_prices(tables))
+    arrays = prices_array(placed, most)
     cheapest = F.when(F.col("part") == 1, F.get("prices", F.lit(0)))
-    return product_summary(tables).join(arrays, "product_id").withColumn("cheapest", cheapest)
+    return product_summary(tables, offers=placed).join(arrays, "product_id").withColumn("cheapest", cheapest)
 
 
 def compare_products(tables: Tables) -> DataFrame:

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tendero.operators import cart, current, history
+from tendero.operators import cart, current, history, parts
+from tendero.plans import products
 from tendero.sources.layout import buckets_of
 from tendero.sources.tables import GivenTables
 from tendero.workload import QUERIES
@@ -97,6 +98,75 @@ def test_the_export_forms_its_points_once(spark):
     assert [tuple(d) for d in hot[0].daily_series] == [tuple(d)[1:] for d in days]
 
 
+def exchanges(df) -> list[str]:
+    """The columns of the hash exchanges of a plan, without their numbers."""
+    return [re.sub(r"#\d+L?", "", e) for e in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan(df))]
+
+
+def test_sorted_rows_are_numbered_over_the_whole_table(spark):
+    placed = parts.sorted_rows(hot_points(spark, 3000).select("key", "date", "price"), ["key"], ["date", "price"])
+    got = [tuple(r) for r in placed.orderBy("_row").select("key", "date", "price").collect()]
+    assert [r[0] for r in placed.select("_row").orderBy("_row").collect()] == list(range(3000)) and got == sorted(got)
+    assert placed.inputFiles()[0].endswith(".zstd.parquet") and len(placed.inputFiles()) > 1
+    empty = parts.in_parts(hot_points(spark, 0).select("key", "date"), ["key"], ["date"], ["date"], 5, "days")
+    assert empty.count() == 0
+
+
+def test_the_export_crosses_the_network_by_key_alone(spark):
+    with_threshold(spark, "-1")
+    try:
+        by = exchanges(history.series_export(hot_points(spark, 900), 500))
+        assert "key" in by and not [e for e in by if "date" in e or "part" in e or "_split" in e]
+    finally:
+        with_threshold(spark, None)
+
+
+def with_threshold(spark, value):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_a_long_history_is_split_by_aqe(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "30k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    points = hot_points(spark, 60_000)
+    placed = history.sorted_points(points)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sizes = [F.size("history").alias("n"), F.size("daily_series").alias("days")]
+        out = history.series_export(placed, 1000).select("key", "part", "count", *sizes)
+        rows = out.collect()
+        assert "skew=true" in plan(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    hot = sorted((r for r in rows if r.key == "hot"), key=lambda r: r.part)
+    assert [r.n for r in hot] == [1000] * 40 and hot[0]["count"] == 40_000 and hot[0].days == 600
+    assert sum(r.n for r in rows) == 60_000
+
+
+def test_listings_and_prices_meet_once_in_a_detail(spark):
+    t = GivenTables(spark, SF)
+    assert "lineitem" not in plan(products.product_detail(t, 10))
+
+
+def test_histories_join_where_the_prices_lie(spark):
+    """Prices, the pairs of listings and the points cross by listing; whole catalog rows do not."""
+    with_threshold(spark, "-1")
+    try:
+        by_listing = [e for e in exchanges(QUERIES["q2_table_catalog"](spark, SF)) if e == "listing_id"]
+    finally:
+        with_threshold(spark, None)
+    assert len(by_listing) == 3
+
+
 def test_hot_product_is_split_by_aqe(spark):
     """A product in most carts: the join to its offers runs as a skew join."""
     conf = {
