@@ -97,6 +97,17 @@ def test_an_exchange_by_key_deals_rows_to_their_folders(spark):
     assert spark.conf.get(keyed.PARTITIONS) == before
 
 
+def test_rows_in_files_by_key_need_no_other_exchange(spark):
+    path = scratch_dir(spark, "keyed")
+    keyed.write_dealt(rows(spark, 2000, 1), f"{path}/old", ["id"], 8)
+    keyed.write_dealt(rows(spark, 900, 2, 1500), f"{path}/new", ["id"], 8)
+    old, new = spark.read.parquet(f"{path}/old"), spark.read.parquet(f"{path}/new")
+    keyed.write_keyed(old, f"{path}/table", ["id"], 8, dealt=True)
+    assert content(keyed.read_keyed(spark, f"{path}/table")) == content(old) == content(rows(spark, 2000, 1))
+    keyed.merge_keyed(spark, f"{path}/table", new, upsert, 1, by_key=True, stored=True)
+    assert content(keyed.read_keyed(spark, f"{path}/table")) == content(upsert(rows(spark, 2000, 1), rows(spark, 900, 2, 1500)))
+
+
 def outer(old, new):
     """New rows beside old ones, by the key."""
     price = F.coalesce(new["price"], old["price"]).alias("price")
